@@ -76,6 +76,37 @@ ANNOTATION_LONG_COLUMNS = [
     "cds_start",
     "cds_end",
 ]
+TRANSCRIPT_FIELDS = [
+    "gene_symbol",
+    "gene_symbol_source",
+    "gene_id",
+    "hgnc_id",
+    "transcript_id",
+    "mane_select",
+    "mane_plus_clinical",
+    "canonical",
+    "strand",
+    "variant_allele",
+    "impact",
+    "consequence_terms",
+    "hgvsc",
+    "hgvsp",
+    "amino_acids",
+    "codons",
+    "protein_id",
+    "protein_start",
+    "protein_end",
+    "protein_id_source",
+    "protein_length",
+    "protein_id_version",
+    "swissprot",
+    "uniprot_isoform",
+    "uniparc",
+    "cdna_start",
+    "cdna_end",
+    "cds_start",
+    "cds_end",
+]
 PROTEIN_ID_PATTERN = r"^(ENSP\d+)"
 PROTEIN_CHANGE_PATTERN = r"(p\.[^ \t|]+)"
 VCF_INPUT_COLUMNS = [

@@ -37,71 +37,72 @@ def permute_vectors(
     return df.join(moved, key).withColumn(vec, F.col("__vec")).drop("__vec")
 
 
-def mode_frames(
+def mode_rows(
     df: DataFrame,
     blocks: Blocks,
     key: str = "variation_key",
     vec: str = "x",
+    keep: Sequence[str] = ("_y",),
     noise_std: float | None = 1.5,
     noise_alpha: float = 0.0,
+    noise: bool = True,
     permute: bool = True,
-    scales: Sequence[float] = (0.0, 0.25, 0.5, 1.0),
     noise_only: bool = True,
+    scales: Sequence[float] = (0.0, 0.25, 0.5, 1.0),
     seed: int = 13,
     group: Sequence[str] = (),
-) -> dict[str, DataFrame]:
-    """Mode name to the transformed frame; prompts are (re)built for every mode.
+) -> DataFrame:
+    """``(key, keep..., mode, x, prompt)``: every row once per mode, from one scan.
 
-    All frames but the permuted one are projections of ``df``.
+    All modes are expressions of the row; only the permuted vector needs a join.
     """
     v, k = F.col(vec), F.col(key)
-    frames = {
-        BASELINE: df,
-        "cond_only": prompts.blank_prompts(df),
-        "prompt_only": df.withColumn(vec, vectors.zero_all(v)),
-    }
+    full = prompts.prompt_context(df)
+    if permute:
+        moved = permute_vectors(df.select(key, *group, vec), key, vec, seed, group)
+        df = df.join(moved.select(key, F.col(vec).alias("__permuted")), key)
+    modes = [
+        (BASELINE, v, full),
+        ("cond_only", v, F.lit("")),
+        ("prompt_only", vectors.zero_all(v), full),
+    ]
     for name in blocks.present():
-        frames[f"cond_zero_{name}"] = df.withColumn(vec, vectors.zero_ranges(v, [blocks.span(name)]))
+        modes.append((f"cond_zero_{name}", vectors.zero_ranges(v, [blocks.span(name)]), full))
     shown = {c.lower() for c in prompts.prompt_columns(df)}
     for mode, fields in C.PROMPT_FIELD_MODES.items():
         if shown & set(fields):
-            frames[mode] = prompts.blank_fields(df, fields)
-    frames["cond+noise"] = df.withColumn(
-        vec, vectors.add_noise(v, k, seed, std=noise_std, alpha=noise_alpha)
-    )
+            modes.append((mode, v, prompts.prompt_context(df, fields)))
+    if noise:
+        modes.append(("cond+noise", vectors.add_noise(v, k, seed, noise_std, noise_alpha), full))
     if permute:
-        frames["cond+permute"] = permute_vectors(df, key, vec, seed, group)
+        modes.append(("cond+permute", F.col("__permuted"), full))
     if noise_only:
         std = 1.0 if noise_std is None else noise_std
-        frames["pure-noise"] = df.withColumn(vec, vectors.pure_noise(v, k, seed, std))
-    for s in scales:
-        frames[f"cond×scale={s:g}"] = df.withColumn(vec, vectors.scale(v, s))
-
-    def finish(mode: str, frame: DataFrame) -> DataFrame:
-        context = F.lit("") if mode == "cond_only" else prompts.prompt_context(frame)
-        return frame.withColumns({"prompt": prompts.prompt_text(context), "mode": F.lit(mode)})
-
-    return {mode: finish(mode, frame) for mode, frame in frames.items()}
+        modes.append(("pure-noise", vectors.pure_noise(v, k, seed, std), full))
+    modes += [(f"cond×scale={s:g}", vectors.scale(v, s), full) for s in scales]
+    variants = F.array(
+        *[
+            F.struct(F.lit(m).alias("mode"), x.alias("x"), prompts.prompt_text(c).alias("prompt"))
+            for m, x, c in modes
+        ]
+    )
+    return df.select(key, *keep, *group, F.inline(variants))
 
 
 def run_ablation(
-    frames: dict[str, DataFrame],
+    rows: DataFrame,
     scorer: Callable[[DataFrame], DataFrame],
     label: str = "_y",
     prob: str = "prob",
     pred: str = "pred",
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics per mode, deltas against the baseline) in one scored union. Runs a job.
+    """(metrics per mode, deltas against the baseline) of ``mode_rows``. Runs a job.
 
-    ``scorer`` adds the ``prob`` and ``pred`` columns to any mode's frame.
+    ``scorer`` adds the ``prob`` and ``pred`` columns.
     """
-    union = None
-    for frame in frames.values():
-        scored = scorer(frame).select("mode", label, prob, pred)
-        union = scored if union is None else union.unionByName(scored)
-    results = evaluate(union, label, prob, pred, ["mode"])
-    shown = ["accuracy", "f1", "roc_auc", "avg_precision"]
-    return results, deltas(results, BASELINE, shown)
+    scored = scorer(rows).select("mode", label, prob, pred)
+    results = evaluate(scored, label, prob, pred, ["mode"])
+    return results, deltas(results, BASELINE, ["accuracy", "f1", "roc_auc", "avg_precision"])
 
 
 def noise_report(df: DataFrame, key: str, vec: str, noisy: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Joins which stay spread out when one key holds a large share of the rows."""
+"""Joins under skew.
+
+Plain equi-joins here rely on adaptive execution, which splits a skewed partition at
+run time and needs no second pass over the data. Salting is used where the rows per
+key are known anyway, because a distinct or a group aggregate came before the join.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
+MAX_LOOKUP_ROWS = 50_000
 _SALT = "__salt"
 _SALTS = "__salts"
 
@@ -19,17 +25,17 @@ def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
+    counts: DataFrame,
     how: str = "left",
     hot_rows: int = HOT_KEY_ROWS,
-    null_safe: bool = False,
 ) -> DataFrame:
     """``left`` join ``right``; left keys above ``hot_rows`` rows are split.
 
-    Rows of a hot key get one of ``ceil(rows / hot_rows)`` salts and the right rows
-    of that key are copied once per salt. ``left`` may have any number of rows per
-    key, ``right`` should have few. At most ``MAX_HOT_KEYS`` keys (the largest) are
-    salted, which bounds the broadcast table; the others join as they are, so the
-    result does not depend on it. ``how`` is ``left`` or ``inner``.
+    ``counts`` holds the key columns and ``n``, the left rows per key (an upper bound
+    will do). Rows of a hot key get one of ``ceil(n / hot_rows)`` salts and the right
+    rows of that key are copied once per salt. At most ``MAX_HOT_KEYS`` keys (the
+    largest) are salted, which bounds the broadcast table; all others join as they
+    are, so the result does not depend on it. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -38,28 +44,20 @@ def salted_join(
     clash = sorted(set(payload) & set(left.columns))
     if clash:
         raise ValueError(f"columns on both sides: {', '.join(clash)}")
-    hot = (
-        left.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), *keys)
+    hot = F.broadcast(
+        counts.filter(F.col("n") > hot_rows)
+        .orderBy(F.desc("n"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(
             *[F.col(k).alias(f"__h_{k}") for k in keys],
-            F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias(_SALTS),
+            F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias(_SALTS),
         )
     )
-    hot = F.broadcast(hot)
-
-    def match(side: DataFrame, prefix: str, nulls_match: bool):
-        pairs = [(side[k], F.col(f"{prefix}{k}")) for k in keys]
-        tests = [a.eqNullSafe(b) if nulls_match else a == b for a, b in pairs]
-        return reduce(lambda a, b: a & b, tests)
 
     def with_salts(side: DataFrame) -> DataFrame:
         # Null keys are salted too: left rows without a key may be the hot group.
-        joined = side.join(hot, match(side, "__h_", True), "left")
-        return joined.drop(*[f"__h_{k}" for k in keys])
+        same = reduce(lambda a, b: a & b, [side[k].eqNullSafe(F.col(f"__h_{k}")) for k in keys])
+        return side.join(hot, same, "left").drop(*[f"__h_{k}" for k in keys])
 
     # The partition id tells exact copies of one row apart.
     spread = F.pmod(
@@ -69,13 +67,28 @@ def salted_join(
         _SALT, F.when(F.col(_SALTS).isNull(), F.lit(0)).otherwise(spread).cast("int")
     )
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1))
-    salted_right = with_salts(right).select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        *payload,
-        copies.alias("__r_salt"),
-    )
-    condition = match(salted_left, "__r_", null_safe) & (F.col(_SALT) == F.col("__r_salt"))
-    return salted_left.join(salted_right, condition, how).select(*left.columns, *payload)
+    salted_right = with_salts(right).select(*keys, *payload, copies.alias(_SALT))
+    joined = salted_left.join(salted_right, [*keys, _SALT], how)
+    return joined.select(*left.columns, *payload)
+
+
+def lookup_join(
+    left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = MAX_LOOKUP_ROWS
+) -> DataFrame:
+    """Join with a table that is usually small, broadcast only after a look at its size.
+
+    Counts ``lookup`` up to ``max_rows`` (a job on that table alone); a larger one is
+    joined by shuffle.
+    """
+    small = lookup.limit(max_rows + 1).count() <= max_rows
+    return left.join(F.broadcast(lookup) if small else lookup, list(on), how)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which a null key equals a null key; keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in on])
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in on])
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str) -> DataFrame:
@@ -92,7 +105,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     task sends one row per key at most, also for a key with very many copies.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    by = [F.col(c).asc_nulls_last() for c in order] + [F.col(c).asc_nulls_last() for c in rest]
+    by = [F.col(c).asc_nulls_last() for c in [*order, *rest]]
     if not by:
         return df.dropDuplicates(list(keys))
     ranked = df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
@@ -105,6 +118,4 @@ def merge_back(base: DataFrame, update: DataFrame, key: str, order: Sequence[str
     columns = [c for c in one.columns if c != key]
     keyed = one.select(F.col(key).cast("string").alias("__key"), *columns)
     kept = base.drop(*[c for c in columns if c in base.columns])
-    return salted_join(
-        kept.withColumn("__key", F.col(key).cast("string")), keyed, ["__key"], "left"
-    ).drop("__key")
+    return kept.withColumn("__key", F.col(key).cast("string")).join(keyed, "__key", "left").drop("__key")

@@ -91,47 +91,49 @@ def _with_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("prob", prob).drop("__v", "__p", "__raw", "__pred")
 
 
-def probe_report(
-    val: DataFrame, test: DataFrame, label: str = "_y", criterion: str = "youden"
-) -> DataFrame:
-    """Rows (split, at): metrics at 0.5 and at the best validation threshold. Runs jobs."""
-    cut = float(best_threshold(val, label, "prob", criterion).first()["threshold"])
-    both = val.select(label, "prob", F.lit("val").alias("split")).unionByName(
-        test.select(label, "prob", F.lit("test").alias("split"))
+def probe_report(scored: DataFrame, label: str = "_y", criterion: str = "youden") -> DataFrame:
+    """Rows (mode, split, at): metrics at 0.5 and at the best validation threshold. Runs jobs.
+
+    ``scored`` has ``mode``, ``split`` (val, test), the label and ``prob``.
+    """
+    val = scored.filter(F.col("split") == "val")
+    best = best_threshold(val, label, "prob", criterion, group=["mode"])
+    cuts = best.select("mode", F.lit("best").alias("at"), "threshold").unionByName(
+        best.select("mode", F.lit("0.5").alias("at"), F.lit(0.5).alias("threshold"))
     )
-    areas = curve_areas(both, label, "prob", ["split"])
-    rows = None
-    for name, threshold in (("0.5", 0.5), ("best", cut)):
-        at = threshold_metrics(both, label, "prob", threshold, ["split"])
-        at = at.select("*", F.lit(name).alias("at"), F.lit(threshold).alias("threshold"))
-        rows = at if rows is None else rows.unionByName(at)
-    return rows.join(areas, "split")
+    # Two thresholds per mode: every scored row is decided twice.
+    decided = scored.join(F.broadcast(cuts), "mode")
+    keys = ["mode", "split", "at", "threshold"]
+    rates = threshold_metrics(decided, label, "prob", F.col("threshold"), keys)
+    return rates.join(curve_areas(scored, label, "prob", ["mode", "split"]), ["mode", "split"])
 
 
-def run_probe(
+def score_mode(
     features: DataFrame, blocks: Blocks, mode: str, model: str = "logistic", label: str = "_y",
-    key: str = "variation_key", criterion: str = "youden", seed: int = 0, hidden: int = 512,
-    max_iter: int = 100,
+    key: str = "variation_key", seed: int = 0, hidden: int = 512, max_iter: int = 100,
 ) -> DataFrame:
-    """Fit one mode on the train split, report validation and test. Runs jobs."""
+    """``(mode, split, label, prob)`` of validation and test, fitted on train. Runs jobs."""
     base = features.select(
         key, "split", F.col(label).cast("int").alias(label), mode_vector(blocks, mode).alias("features")
     )
-    train, val, test = (base.filter(F.col("split") == s) for s in ("train", "val", "test"))
+    train, rest = base.filter(F.col("split") == "train"), base.filter(F.col("split") != "train")
     if model == "logistic":
-        scored = logistic_scores(train, [val, test], label, weighted=True)
+        (scored,) = logistic_scores(train, [rest], label, weighted=True)
     elif model == "perceptron":
         dim = sum(getattr(blocks, b) for b in mode.split("+"))
-        scored = perceptron_scores(train, [val, test], dim, key, label, hidden, max_iter, seed)
+        (scored,) = perceptron_scores(train, [rest], dim, key, label, hidden, max_iter, seed)
     else:
         raise ValueError("model must be 'logistic' or 'perceptron'")
-    return probe_report(*scored, label=label, criterion=criterion).withColumn("mode", F.lit(mode))
+    return scored.select(F.lit(mode).alias("mode"), "split", label, "prob")
 
 
-def run_probe_modes(features: DataFrame, blocks: Blocks, modes: Sequence[str] | None = None, **options) -> DataFrame:
-    """The report rows of several feature modes, by default all that are available."""
-    rows = None
+def run_probe_modes(
+    features: DataFrame, blocks: Blocks, modes: Sequence[str] | None = None, label: str = "_y",
+    criterion: str = "youden", **options,
+) -> DataFrame:
+    """One fit per feature mode (all available ones by default), one joint report. Runs jobs."""
+    scored = None
     for mode in modes or available_modes(blocks):
-        report = run_probe(features, blocks, mode, **options)
-        rows = report if rows is None else rows.unionByName(report)
-    return rows
+        rows = score_mode(features, blocks, mode, label=label, **options)
+        scored = rows if scored is None else scored.unionByName(rows)
+    return probe_report(scored, label, criterion)

@@ -11,16 +11,21 @@ from effectframe import constants as C
 from effectframe.functions import text
 
 
-def _field(df: DataFrame, names: Sequence[str]) -> Column:
-    return text.first_nonempty([F.col(n) for n in names if n in df.columns])
+def prompt_context(df: DataFrame, blank: Sequence[str] = ()) -> Column:
+    """Context lines of a row; empty fields leave no line, the consequence always does.
 
+    Columns named in ``blank`` (any case) count as empty.
+    """
+    hidden = {b.lower() for b in blank}
 
-def prompt_context(df: DataFrame) -> Column:
-    """Context lines of a row; empty fields leave no line, the consequence always does."""
-    gene = _field(df, ["gene_symbol", "GeneSymbol"])
-    hgvsc, hgvsp = _field(df, ["hgvsc"]), _field(df, ["hgvsp"])
-    most = F.translate(_field(df, ["most_severe_consequence"]), "_", " ")
-    terms = text.pretty_terms(_field(df, ["consequence_terms"]))
+    def field(*names: str) -> Column:
+        shown = [n for n in names if n in df.columns and n.lower() not in hidden]
+        return text.first_nonempty([F.col(n) for n in shown])
+
+    gene = field("gene_symbol", "GeneSymbol")
+    hgvsc, hgvsp = field("hgvsc"), field("hgvsp")
+    most = F.translate(field("most_severe_consequence"), "_", " ")
+    terms = text.pretty_terms(field("consequence_terms"))
 
     def line(head: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(head), value))

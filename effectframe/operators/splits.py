@@ -12,11 +12,14 @@ from effectframe.schemas import require_columns
 
 
 def majority_label(df: DataFrame, group: str, label: str = "_y") -> DataFrame:
-    """One row per group: rounded mean label, a half goes to the even side (0)."""
+    """One row per group: rounded mean label (a half goes to the even side, 0) and rows ``n``."""
     return (
         df.filter(F.col(group).isNotNull())
         .groupBy(group)
-        .agg(F.bround(F.avg(F.col(label).cast("double")), 0).cast("int").alias("group_label"))
+        .agg(
+            F.bround(F.avg(F.col(label).cast("double")), 0).cast("int").alias("group_label"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
 
 
@@ -29,7 +32,7 @@ def assign_groups(
 ) -> DataFrame:
     """``(group, group_label)`` plus ``split``, drawn per label class in md5 order."""
     ranked = hash_rank(
-        groups,
+        groups.select(group, "group_label"),
         F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")),
         tie_break=[group],
         rank_col="__rank",
@@ -65,8 +68,9 @@ def split_by_group(
     Rows without a group (null) belong to no split and are left out.
     """
     require_columns(df, [group, label])
-    assigned = assign_groups(majority_label(df, group, label), group, seed, test_size, val_size)
-    return salted_join(df, assigned.select(group, "split"), [group], "inner")
+    groups = majority_label(df, group, label)
+    assigned = assign_groups(groups, group, seed, test_size, val_size).select(group, "split")
+    return salted_join(df, assigned, [group], groups.select(group, "n"), "inner")
 
 
 def split_summary(df: DataFrame, label: str = "_y") -> DataFrame:
@@ -142,8 +146,13 @@ def balanced_sample(df: DataFrame, key: str, label: str = "_y", seed: int = 0) -
         .join(F.broadcast(sides), "__coin")
         .select("draw_key", "__class", (F.pmod(digits("row"), F.col("__size")) + 1).alias("__index"))
     )
-    # A class with few rows is drawn very often per row: both joins split hot keys.
-    picked = salted_join(draws, members, ["__class", "__index"], "inner")
+    # A row of a small class is drawn very often: the draws of each member are counted
+    # once for both joins.
+    times = draws.groupBy("__class", "__index").agg(F.count(F.lit(1)).alias("n"))
+    picked = salted_join(draws, members, ["__class", "__index"], times, "inner")
+    per_member = times.join(members, ["__class", "__index"]).select("__member", "n")
     rows = df.withColumnRenamed(key, "__member")
-    drawn = salted_join(picked.select("draw_key", "__member"), rows, ["__member"], "inner")
+    drawn = salted_join(
+        picked.select("draw_key", "__member"), rows, ["__member"], per_member, "inner"
+    )
     return drawn.withColumnRenamed("__member", key)

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from effectframe.constants import VARIANT_COLUMNS
+from effectframe.constants import ANNOTATION_LONG_COLUMNS, TRANSCRIPT_FIELDS, VARIANT_COLUMNS
 
 _LONG_VARIANT_COLUMNS = {"VariationID", "PositionVCF", "Start", "Stop"}
 
@@ -18,16 +18,18 @@ VARIANT_SCHEMA = T.StructType(
     ]
 )
 
-TRANSCRIPT_SCHEMA = T.StructType.fromDDL(
-    """
-    gene_symbol string, gene_symbol_source string, gene_id string, hgnc_id string,
-    transcript_id string, mane_select string, mane_plus_clinical string, canonical string,
-    strand string, variant_allele string, impact string, consequence_terms array<string>,
-    hgvsc string, hgvsp string, amino_acids string, codons string, protein_id string,
-    protein_start bigint, protein_end bigint, protein_id_source string, protein_length bigint,
-    protein_id_version string, swissprot array<string>, uniprot_isoform array<string>,
-    uniparc array<string>, cdna_start bigint, cdna_end bigint, cds_start bigint, cds_end bigint
-    """
+_LIST_TRANSCRIPT_FIELDS = {"consequence_terms", "swissprot", "uniprot_isoform", "uniparc"}
+_LONG_TRANSCRIPT_FIELDS = set(ANNOTATION_LONG_COLUMNS) | {"protein_length"}
+
+
+def _transcript_type(name: str) -> T.DataType:
+    if name in _LIST_TRANSCRIPT_FIELDS:
+        return T.ArrayType(T.StringType())
+    return T.LongType() if name in _LONG_TRANSCRIPT_FIELDS else T.StringType()
+
+
+TRANSCRIPT_SCHEMA = T.StructType(
+    [T.StructField(name, _transcript_type(name)) for name in TRANSCRIPT_FIELDS]
 )
 
 CONSEQUENCE_SCHEMA = T.StructType(
@@ -40,9 +42,9 @@ CONSEQUENCE_SCHEMA = T.StructType(
     ]
 )
 
-ONTOLOGY_SCHEMA = T.StructType.fromDDL(
-    "graphs array<struct<edges array<struct<sub string, pred string, obj string>>>>"
-)
+_EDGE = T.StructType([T.StructField(n, T.StringType()) for n in ("sub", "pred", "obj")])
+_GRAPH = T.StructType([T.StructField("edges", T.ArrayType(_EDGE))])
+ONTOLOGY_SCHEMA = T.StructType([T.StructField("graphs", T.ArrayType(_GRAPH))])
 
 
 class SchemaError(ValueError):
