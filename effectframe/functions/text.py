@@ -88,10 +88,15 @@ def variation_key(col: Column) -> Column:
 
 def pretty_terms(col: Column) -> Column:
     """``a_b,A_b, c`` becomes ``a b, c``: first spelling kept, case ignored."""
-    parts = F.transform(F.split(clean_str(col), ","), strip)
-    nice = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.translate(p, "_", " "))
-    lower = F.transform(nice, F.lower)
-    kept = F.filter(nice, lambda p, i: F.array_position(lower, F.lower(p)) == i + 1)
+    nice = F.translate(clean_str(col), "_", " ")
+    # The list work is for rows with a list only.
+    return F.when(F.contains(nice, F.lit(",")), _distinct_terms(nice)).otherwise(nice)
+
+
+def _distinct_terms(listed: Column) -> Column:
+    parts = F.filter(F.transform(F.split(listed, ","), strip), lambda p: p != "")
+    lower = F.transform(parts, F.lower)
+    kept = F.filter(parts, lambda p, i: F.array_position(lower, F.lower(p)) == i + 1)
     return F.array_join(kept, ", ")
 
 

@@ -5,7 +5,7 @@ Sums run in double; results which are vectors are ``array<float>``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from effectframe.constants import NOISE_STD_EPSILON, NORM_EPSILON
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A value captured by a lambda is computed again for every element; bound to a
+    lambda variable it is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
@@ -27,14 +36,17 @@ def l2_norm(vec: Column) -> Column:
 
 
 def population_std(vec: Column) -> Column:
-    n = F.size(vec)
-    mean = total(vec) / n
-    spread = F.aggregate(
+    def spread(v: Column, mean: Column) -> Column:
+        return F.aggregate(
+            v,
+            F.lit(0.0),
+            lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean),
+        )
+
+    return let(
         vec,
-        F.lit(0.0),
-        lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean),
+        lambda v: let(total(v) / F.size(v), lambda m: F.sqrt(spread(v, m) / F.size(v))),
     )
-    return F.sqrt(spread / n)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -42,26 +54,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(vec: Column) -> Column:
-    """``v / (|v| + 1e-8)``.
+    """``v / (|v| + 1e-8)``."""
 
-    The norm travels in a one-element array: a lambda variable is evaluated once
-    per row, a captured expression once per vector element.
-    """
-    return F.element_at(
-        F.transform(
-            F.array(l2_norm(vec) + F.lit(NORM_EPSILON)),
-            lambda n: F.transform(vec, lambda x: (x.cast("double") / n).cast("float")),
-        ),
-        1,
-    )
+    def divided(v: Column, n: Column) -> Column:
+        return F.transform(v, lambda x: (x.cast("double") / n).cast("float"))
+
+    return let(vec, lambda v: let(l2_norm(v) + F.lit(NORM_EPSILON), lambda n: divided(v, n)))
 
 
 def effect_vector(ref: Column, alt: Column) -> Column:
     """Unit vector from the reference embedding to the alternate one."""
-    return F.element_at(
-        F.transform(F.array(subtract(alt, ref)), l2_normalize),
-        1,
-    )
+    return l2_normalize(subtract(alt, ref))
 
 
 def concat_blocks(blocks: Sequence[Column]) -> Column:
@@ -75,7 +78,7 @@ def slice_block(vec: Column, start: int, length: int) -> Column:
 
 def scale(vec: Column, factor: float | Column) -> Column:
     f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(vec, lambda x: (x.cast("double") * f).cast("float"))
+    return let(f, lambda k: F.transform(vec, lambda x: (x.cast("double") * k).cast("float")))
 
 
 def zero_all(vec: Column) -> Column:
@@ -116,14 +119,11 @@ def add_noise(
     sigma = F.lit(float(std)) if std is not None else F.lit(float(alpha)) * (
         population_std(vec) + F.lit(NOISE_STD_EPSILON)
     )
-    return F.element_at(
-        F.transform(
-            F.array(sigma),
-            lambda s: F.transform(
-                vec, lambda x, i: (x.cast("double") + s * gaussian(key, i, seed)).cast("float")
-            ),
+    return let(
+        sigma,
+        lambda s: F.transform(
+            vec, lambda x, i: (x.cast("double") + s * gaussian(key, i, seed)).cast("float")
         ),
-        1,
     )
 
 

@@ -57,10 +57,14 @@ def mode_rows(
     All modes are expressions of the row; only the permuted vector needs a join.
     """
     v, k = F.col(vec), F.col(key)
-    full = prompts.prompt_context(df)
+    shown = {c.lower() for c in prompts.prompt_columns(df)}
+    fields = {m: f for m, f in C.PROMPT_FIELD_MODES.items() if shown & set(f)}
+    contexts = {"__full": (), **{f"__{m}": f for m, f in fields.items()}}
     if permute:
         moved = permute_vectors(df.select(key, *group, vec), key, vec, seed, group)
         df = df.join(moved.select(key, F.col(vec).alias("__permuted")), key)
+    df = prompts.with_contexts(df, contexts)
+    full = F.col("__full")
     modes = [
         (BASELINE, v, full),
         ("cond_only", v, F.lit("")),
@@ -68,10 +72,7 @@ def mode_rows(
     ]
     for name in blocks.present():
         modes.append((f"cond_zero_{name}", vectors.zero_ranges(v, [blocks.span(name)]), full))
-    shown = {c.lower() for c in prompts.prompt_columns(df)}
-    for mode, fields in C.PROMPT_FIELD_MODES.items():
-        if shown & set(fields):
-            modes.append((mode, v, prompts.prompt_context(df, fields)))
+    modes += [(m, v, F.col(f"__{m}")) for m in fields]
     if noise:
         modes.append(("cond+noise", vectors.add_noise(v, k, seed, noise_std, noise_alpha), full))
     if permute:

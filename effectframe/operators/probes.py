@@ -62,7 +62,7 @@ def logistic_scores(
         fit = with_class_weight(fit, label)
     estimator = LogisticRegression(
         featuresCol="__v", labelCol=label, regParam=reg, elasticNetParam=0.0,
-        standardization=False, maxIter=200, tol=1e-6, probabilityCol="__p",
+        standardization=False, maxIter=100, tol=1e-4, probabilityCol="__p",
         rawPredictionCol="__raw", predictionCol="__pred",
     )
     if weighted:

@@ -11,43 +11,59 @@ from effectframe import constants as C
 from effectframe.functions import text
 
 
-def prompt_context(df: DataFrame, blank: Sequence[str] = ()) -> Column:
-    """Context lines of a row; empty fields leave no line, the consequence always does.
+def with_contexts(df: DataFrame, contexts: dict[str, Sequence[str]]) -> DataFrame:
+    """Adds context columns: ``{new column: prompt columns (any case) left blank in it}``.
 
-    Columns named in ``blank`` (any case) count as empty.
+    Empty fields leave no line, the consequence always has one. The fields are
+    cleaned in a projection of their own, once per row for all contexts.
     """
-    hidden = {b.lower() for b in blank}
-
-    def field(*names: str) -> Column:
-        shown = [n for n in names if n in df.columns and n.lower() not in hidden]
-        return text.first_nonempty([F.col(n) for n in shown])
-
-    gene = field("gene_symbol", "GeneSymbol")
-    hgvsc, hgvsp = field("hgvsc"), field("hgvsp")
-    most = F.translate(field("most_severe_consequence"), "_", " ")
-    terms = text.pretty_terms(field("consequence_terms"))
-
-    def line(head: str, value: Column) -> Column:
-        return F.when(value != "", F.concat(F.lit(head), value))
-
-    extra = F.when((terms != "") & (F.lower(terms) != F.lower(most)), terms)
-    return F.concat_ws(
-        "\n",
-        line("Gene: ", gene),
-        line("HGVS.c: ", hgvsc),
-        line("HGVS.p: ", hgvsp),
-        F.concat(F.lit("Most severe consequence: "), most),
-        F.concat(F.lit("Consequence terms: "), extra),
+    sources = [
+        c
+        for c in ("gene_symbol", "GeneSymbol", "hgvsc", "hgvsp", "most_severe_consequence")
+        if c in df.columns
+    ]
+    cleaned = df.withColumns({f"__p_{c}": text.clean_str(F.col(c)) for c in sources})
+    most = F.translate(F.col("__p_most_severe_consequence"), "_", " ")
+    terms = "consequence_terms" in df.columns
+    cleaned = cleaned.withColumns(
+        {
+            "__p_most": most if "most_severe_consequence" in sources else F.lit(""),
+            "__p_terms": text.pretty_terms(F.col("consequence_terms")) if terms else F.lit(""),
+        }
     )
 
+    def context(blank: Sequence[str]) -> Column:
+        hidden = {b.lower() for b in blank}
+
+        def line(head: str, *names: str) -> Column:
+            shown = [F.col(f"__p_{n}") for n in names if n in sources and n.lower() not in hidden]
+            lines = [F.when(v != "", F.concat(F.lit(head), v)) for v in shown]
+            return F.coalesce(*lines) if lines else F.lit(None).cast("string")
+
+        most = F.lit("") if "most_severe_consequence" in hidden else F.col("__p_most")
+        extra = F.lit("") if "consequence_terms" in hidden else F.col("__p_terms")
+        differs = (extra != "") & (F.lower(extra) != F.lower(most))
+        return F.concat_ws(
+            "\n",
+            line("Gene: ", "gene_symbol", "GeneSymbol"),
+            line("HGVS.c: ", "hgvsc"),
+            line("HGVS.p: ", "hgvsp"),
+            F.concat(F.lit("Most severe consequence: "), most),
+            F.when(differs, F.concat(F.lit("Consequence terms: "), extra)),
+        )
+
+    kept = [c for c in df.columns if c not in contexts]
+    return cleaned.select(*kept, *[context(b).alias(name) for name, b in contexts.items()])
+
 
 def prompt_text(context: Column) -> Column:
     return F.concat(F.lit(C.PROMPT_HEAD), context, F.lit(C.PROMPT_TAIL))
 
 
-def with_prompts(df: DataFrame, label: str = "_y") -> DataFrame:
+def with_prompts(df: DataFrame, label: str = "_y", blank: Sequence[str] = ()) -> DataFrame:
     """Adds ``prompt`` and, with a label column, the ``target`` word."""
-    out = df.withColumn("prompt", prompt_text(prompt_context(df)))
+    out = with_contexts(df, {"__context": blank})
+    out = out.withColumn("prompt", prompt_text(F.col("__context"))).drop("__context")
     if label in df.columns:
         word = F.when(F.col(label) == 1, C.LABEL_WORDS[1]).otherwise(C.LABEL_WORDS[0])
         out = out.withColumn("target", word)

@@ -284,7 +284,7 @@ def _split_features(spark, folder):
 @query("probe_logistic")
 def probe_logistic(spark, folder):
     """Iterative fit: rows only."""
-    return probes.run_probe_modes(_split_features(spark, folder), BLOCKS, ["dna"])
+    return probes.run_probe_modes(cut_lineage(_split_features(spark, folder)), BLOCKS, ["dna"])
 
 
 @query("probe_modes")
@@ -297,5 +297,5 @@ def probe_modes(spark, folder):
 def probe_perceptron(spark, folder):
     """Two-layer network on a balanced resample; iterative fit, rows only."""
     return probes.run_probe_modes(
-        _split_features(spark, folder), BLOCKS, ["dna+go"], model="perceptron", hidden=32, max_iter=20
+        cut_lineage(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=32, max_iter=20
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from effectframe.constants import CURATED_EVIDENCE
 from effectframe.functions import text
 from effectframe.operators import graph, walks
 from effectframe.queries import standins as S
 from effectframe.queries.base import query, table
+from effectframe.session import cut_lineage
 
 _HUB = 60
 
@@ -48,8 +50,6 @@ def gaf_edges(spark, folder):
         F.when(F.col("s_nationkey") == 0, "taxon:10090").otherwise("taxon:9606|taxon:10090"),
     ]
     gaf = joined.select(F.concat_ws("\t", *fields).alias("value"))
-    from effectframe.constants import CURATED_EVIDENCE
-
     edges = graph.gene_term_edges(gaf, evidence=CURATED_EVIDENCE, aspects=["P", "F"])
     return edges.groupBy("gene", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -145,10 +145,7 @@ held AS (
     SELECT src, dst, held.src IS NOT NULL AS held_out FROM edges LEFT JOIN held USING (src, dst)""",
 )
 def edge_holdout(spark, folder):
-    train, held = graph.hold_out_edges(_edges(spark, folder))
-    return train.withColumn("held_out", F.lit(False)).unionByName(
-        held.withColumn("held_out", F.lit(True))
-    )
+    return graph.mark_held_out(cut_lineage(_edges(spark, folder)))
 
 
 _STEPS = 5
@@ -179,13 +176,13 @@ _UNION_SQL = " UNION ALL ".join(
     {_UNION_SQL}""",
 )
 def random_walks(spark, folder):
-    found = walks.random_walks(_edges(spark, folder), _STEPS, 2)
+    found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
     return found.select("walk", F.posexplode("nodes").alias("step", "node"))
 
 
 @query("walk_embeddings")
 def walk_embeddings(spark, folder):
     """Skip-gram training is iterative: rows only."""
-    found = walks.random_walks(_edges(spark, folder), _STEPS, 2)
+    found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
     genes = walks.gene_vectors(walks.skip_gram_vectors(found, dim=16, context=3))
     return genes.select("gene", F.size("vec").alias("dim"))

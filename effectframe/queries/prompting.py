@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from effectframe.functions import text
 from effectframe.operators import prompts
-from effectframe.queries.base import query, table
+from effectframe.queries.base import query, spread, table
 
 
 def _fields(spark, folder):
     """Prompt fields of every order, some of them blank, missing or ``nan``."""
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customers = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     return joined.select(
@@ -60,8 +60,8 @@ prompted AS (
 @query("prompt_context", f"WITH {_FIELDS_SQL} SELECT o_orderkey, ctx, target FROM prompted")
 def prompt_context(spark, folder):
     fields = _fields(spark, folder)
-    return prompts.with_prompts(fields).select(
-        "o_orderkey", prompts.prompt_context(fields).alias("ctx"), "target"
+    return prompts.with_contexts(prompts.with_prompts(fields), {"ctx": ()}).select(
+        "o_orderkey", "ctx", "target"
     )
 
 
@@ -104,11 +104,10 @@ def text_stats(spark, folder):
 )
 def prompt_blank(spark, folder):
     fields = _fields(spark, folder)
-    some = prompts.blank_fields(fields, ["HGVSP", "hgvs.p"])
-    none = prompts.blank_prompts(fields)
-    a = some.select("o_orderkey", prompts.prompt_context(some).alias("without_change"))
-    b = none.select("o_orderkey", prompts.prompt_context(none).alias("blank"))
-    return a.join(b, "o_orderkey")
+    both = prompts.with_contexts(
+        fields, {"without_change": ["HGVSP", "hgvs.p"], "blank": prompts.prompt_columns(fields)}
+    )
+    return both.select("o_orderkey", "without_change", "blank")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from effectframe.functions import text, vectors
 from effectframe.operators import audit, sequences, windows
 from effectframe.queries import standins as S
-from effectframe.queries.base import query, table
+from effectframe.queries.base import query, spread, table
 
 _CODES = 8
 
@@ -141,7 +141,7 @@ def seq_dedup(spark, folder):
     FROM slots""",
 )
 def kmer_embed(spark, folder):
-    docs = sequences.distinct_sequences(table(spark, folder, "documents"), ["text"])
+    docs = sequences.distinct_sequences(spread(table(spark, folder, "documents")), ["text"])
     encoded = sequences.kmer_encoder(4, 16)(docs)
     dims = encoded.select(F.col("seq_id").alias("digest"), F.posexplode("vec").alias("dim", "x"))
     return dims.filter(F.col("x") > 0).withColumn("x", F.round(F.col("x").cast("double"), 6))
@@ -160,7 +160,7 @@ def kmer_embed(spark, folder):
     SELECT conv_id || '-' || turn AS key, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS x FROM dims""",
 )
 def token_pooling(spark, folder):
-    chats = table(spark, folder, "conversations").select(
+    chats = spread(table(spark, folder, "conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("key"),
         F.posexplode(F.split("text", " ")).alias("pos", "token"),
     )
@@ -179,7 +179,7 @@ def token_pooling(spark, folder):
     FROM documents""",
 )
 def sanitize(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     return docs.select(
         "doc_id",
         F.md5(text.sanitize_dna(F.col("text")).cast("binary")).alias("dna"),

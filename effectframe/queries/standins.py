@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from effectframe.constants import REVIEW_STATUS
 from effectframe.functions.text import sanitize_dna
-from effectframe.queries.base import table
+from effectframe.queries.base import spread, table
 from effectframe.schemas import TRANSCRIPT_SCHEMA
 
 
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """One raw variant per order, in the shape of a variant summary."""
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customers = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     gene = F.concat(F.lit("GENE"), F.col("c_custkey"))
@@ -117,30 +117,32 @@ def protein_id(key: str):
 
 def consequences(spark: SparkSession, folder: str) -> DataFrame:
     """One nested record per order; its lines are the transcripts, in a fixed order."""
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    orders, lines = table(spark, folder, "orders"), spread(table(spark, folder, "lineitem"))
     flag, kind = F.col("l_returnflag"), F.col("l_linestatus")
     protein = F.when(flag != "R", protein_id("l_partkey"))
     null = F.lit(None).cast("string")
-    transcript = F.struct(
-        F.concat(F.lit("S"), "l_suppkey").alias("gene_symbol"),
-        F.lit("HGNC").alias("gene_symbol_source"),
-        F.concat(F.lit("ENST"), "l_orderkey").alias("transcript_id"),
-        F.when(kind == "F", "NM_1").alias("mane_select"),
-        F.when(kind == "F", "HIGH").otherwise("").alias("impact"),
-        F.array(F.lit("missense_variant"), F.lit(""), null, F.concat(F.lit("term_"), flag)).alias(
-            "consequence_terms"
+    given = {
+        "gene_symbol": F.concat(F.lit("S"), "l_suppkey"),
+        "gene_symbol_source": F.lit("HGNC"),
+        "transcript_id": F.concat(F.lit("ENST"), "l_orderkey"),
+        "mane_select": F.when(kind == "F", "NM_1"),
+        "impact": F.when(kind == "F", "HIGH").otherwise(""),
+        "consequence_terms": F.array(
+            F.lit("missense_variant"), F.lit(""), null, F.concat(F.lit("term_"), flag)
         ),
-        F.concat(F.lit("ENST"), "l_orderkey", F.lit(":c."), "l_suppkey", F.lit("A>G")).alias("hgvsc"),
-        F.when(
+        "hgvsc": F.concat(F.lit("ENST"), "l_orderkey", F.lit(":c."), "l_suppkey", F.lit("A>G")),
+        "hgvsp": F.when(
             (flag != "R") & (kind == "F"),
             F.concat(protein, F.lit(":p.Arg"), "l_linenumber", F.lit("Gly")),
-        ).alias("hgvsp"),
-        protein.alias("protein_id"),
-        F.col("l_linenumber").cast("long").alias("protein_start"),
-        F.array(null, F.lit("")).alias("swissprot"),
+        ),
+        "protein_id": protein,
+        "protein_start": F.col("l_linenumber").cast("long"),
+        "swissprot": F.array(null, F.lit("")),
+    }
+    # The reader's full schema; fields which are not given are null.
+    transcript = F.struct(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSCRIPT_SCHEMA.fields]
     )
-    # The struct takes the reader's full schema; absent fields are null.
-    transcript = F.from_json(F.to_json(transcript), TRANSCRIPT_SCHEMA)
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", transcript.alias("t"))
     # An order has a handful of lines; the list is as long as that.
     per_order = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("ts"))
@@ -226,7 +228,7 @@ joined AS (
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts as contigs over A, C, G, T, N."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     return docs.select(
         F.concat(F.lit("doc"), "doc_id").alias("contig"), sanitize_dna(F.col("text")).alias("seq")
     )
@@ -234,7 +236,7 @@ def contigs(spark: SparkSession, folder: str) -> DataFrame:
 
 def loci(spark: SparkSession, folder: str) -> DataFrame:
     """One variant per order line on the contig of its part number."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"))
     flag, number = F.col("l_returnflag"), F.col("l_linenumber")
     ref = F.when(flag == "A", "a").when(flag == "N", "N").otherwise("NN")
     ref = F.when(number == 7, F.repeat(F.lit("N"), 3)).otherwise(ref)
