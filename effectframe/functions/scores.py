@@ -25,14 +25,13 @@ def best_log_score(cols: Sequence[Column]) -> Column:
     return scores[0] if len(scores) == 1 else F.greatest(*scores)
 
 
-def log_add_exp(a: Column, b: Column) -> Column:
-    high = F.greatest(a, b)
-    return high + F.ln(F.exp(a - high) + F.exp(b - high))
-
-
 def pathogenic_probability(lp_benign: Column, lp_pathogenic: Column) -> Column:
-    p = F.exp(lp_pathogenic - log_add_exp(lp_benign, lp_pathogenic))
-    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    """Two-class soft-max of the log-scores.
+
+    Written with their difference, which neither overflows nor loses digits when
+    both scores are very low; the value stays within 0 and 1.
+    """
+    return 1.0 / (1.0 + F.exp(lp_benign - lp_pathogenic))
 
 
 def predicted_label(lp_benign: Column, lp_pathogenic: Column) -> Column:

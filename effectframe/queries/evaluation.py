@@ -32,8 +32,9 @@ def confusion(spark, folder):
     f"""WITH {S.SCORED_SQL}, {_COUNTS_SQL.lstrip()}
     SELECT lang, tn, fp, fn, tp, tn + fp + fn + tp AS n,
       round((tp + tn) / CAST(tn + fp + fn + tp AS DOUBLE), 9) AS accuracy,
-      round((coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0)
-        + coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0)) / 2, 9) AS balanced_accuracy,
+      round(CASE WHEN tp + fn = 0 THEN tn / CAST(tn + fp AS DOUBLE)
+        WHEN tn + fp = 0 THEN tp / CAST(tp + fn AS DOUBLE)
+        ELSE (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 END, 9) AS balanced_accuracy,
       round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 9) AS precision,
       round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 9) AS recall,
       round(coalesce(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 0), 9) AS specificity,
@@ -138,7 +139,8 @@ def threshold_curve(spark, folder):
     f"""WITH {S.SCORED_SQL}, {_GRID_SQL.lstrip()},
     valued AS (
       SELECT lang, i, threshold, coalesce(2 * tp / nullif(CAST(tp + fp + pos AS DOUBLE), 0), 0) AS f1,
-        (coalesce(tp / nullif(CAST(pos AS DOUBLE), 0), 0) + coalesce((neg - fp) / nullif(CAST(neg AS DOUBLE), 0), 0)) / 2 AS youden
+        CASE WHEN pos = 0 THEN (neg - fp) / CAST(neg AS DOUBLE) WHEN neg = 0 THEN tp / CAST(pos AS DOUBLE)
+          ELSE (tp / CAST(pos AS DOUBLE) + (neg - fp) / CAST(neg AS DOUBLE)) / 2 END AS youden
       FROM swept
     ),
     best AS (

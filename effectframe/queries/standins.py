@@ -105,10 +105,12 @@ assigned AS (
 
 
 def line_id():
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """A key of the order lines, which have none of their own."""
+    quantity = F.col("l_quantity").cast("long")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity)
 
 
-LINE_ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+LINE_ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT))"
 
 
 def protein_id(key: str):
