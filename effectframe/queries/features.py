@@ -192,6 +192,11 @@ def ablate_noise(spark, folder):
     return ablation.noise_report(noisy, "vec_id", "x", "noisy")
 
 
+def _stored(df):
+    """Features as a stage table: their readers are many, their rows wide and few."""
+    return cut_lineage(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _linear_scorer(df):
     """A fixed linear score over vector and prompt, in place of a trained model."""
     raw = vectors.total(F.col("x")) + F.length("prompt") / 100.0 - 0.9
@@ -214,7 +219,7 @@ def _prompted(spark, folder):
 @query("ablation_matrix")
 def ablation_matrix(spark, folder):
     """All modes, scored in one union; noise modes make it rows-only."""
-    rows = ablation.mode_rows(_prompted(spark, folder), BLOCKS)
+    rows = ablation.mode_rows(_stored(_prompted(spark, folder)), BLOCKS)
     results, _ = ablation.run_ablation(rows, _linear_scorer)
     return results.select("mode", "n", "accuracy", "f1", "roc_auc", "avg_precision")
 
@@ -268,7 +273,7 @@ rates AS (SELECT mode, CAST(good AS DOUBLE) / n AS accuracy, 2 * CAST(tp AS DOUB
 def ablation_deltas(spark, folder):
     """The modes without noise or permutation, with their distance from the baseline."""
     rows = ablation.mode_rows(
-        _prompted(spark, folder), BLOCKS, noise=False, permute=False, noise_only=False, scales=(0.5,)
+        _stored(_prompted(spark, folder)), BLOCKS, noise=False, permute=False, noise_only=False, scales=(0.5,)
     )
     _, deltas = ablation.run_ablation(rows, _linear_scorer)
     wanted = ["accuracy", "f1", "delta_accuracy", "delta_f1"]
@@ -284,18 +289,18 @@ def _split_features(spark, folder):
 @query("probe_logistic")
 def probe_logistic(spark, folder):
     """Iterative fit: rows only."""
-    return probes.run_probe_modes(cut_lineage(_split_features(spark, folder)), BLOCKS, ["dna"])
+    return probes.run_probe_modes(_stored(_split_features(spark, folder)), BLOCKS, ["dna"])
 
 
 @query("probe_modes")
 def probe_modes(spark, folder):
     """All seven block combinations; iterative fits, rows only."""
-    return probes.run_probe_modes(cut_lineage(_split_features(spark, folder)), BLOCKS)
+    return probes.run_probe_modes(_stored(_split_features(spark, folder)), BLOCKS)
 
 
 @query("probe_perceptron")
 def probe_perceptron(spark, folder):
     """Two-layer network on a balanced resample; iterative fit, rows only."""
     return probes.run_probe_modes(
-        cut_lineage(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=32, max_iter=20
+        _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=32, max_iter=20
     )

@@ -8,6 +8,7 @@ from effectframe.functions import text, vectors
 from effectframe.operators import audit, sequences, windows
 from effectframe.queries import standins as S
 from effectframe.queries.base import query, spread, table
+from effectframe.session import cut_lineage
 
 _CODES = 8
 
@@ -104,8 +105,8 @@ def stage_audit(spark, folder):
 def sequence_effects(spark, folder):
     """Windows, one encoding per distinct sequence, unit effect vectors, summary per class."""
     found, _ = _windows(spark, folder)
-    pairs = windows.kept_windows(found).select(
-        "VariationID", "l_returnflag", "dna_ref_seq", "dna_alt_seq"
+    pairs = cut_lineage(
+        windows.kept_windows(found).select("l_returnflag", "dna_ref_seq", "dna_alt_seq")
     )
     effects = sequences.effect_vectors(
         pairs, "dna_ref_seq", "dna_alt_seq", sequences.kmer_encoder(3, _CODES)

@@ -119,7 +119,7 @@ def protein_id(key: str):
 
 def consequences(spark: SparkSession, folder: str) -> DataFrame:
     """One nested record per order; its lines are the transcripts, in a fixed order."""
-    orders, lines = table(spark, folder, "orders"), spread(table(spark, folder, "lineitem"))
+    orders, lines = (spread(table(spark, folder, n)) for n in ("orders", "lineitem"))
     flag, kind = F.col("l_returnflag"), F.col("l_linestatus")
     protein = F.when(flag != "R", protein_id("l_partkey"))
     null = F.lit(None).cast("string")

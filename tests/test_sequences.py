@@ -136,6 +136,17 @@ def test_effects_through_builtin_encoder(spark):
         assert len(r["vec"]) == 16 and abs(norm - (1.0 if r["id"] % 2 else 0.0)) < 1e-5
 
 
+def test_both_encoder_forms_agree(spark):
+    df = spark.createDataFrame([("x", "ACGTACGTTT"), ("y", "AC")], "seq_id string, seq string")
+    small = {r[0]: r[1] for r in sequences.kmer_encoder(3, 8)(df).collect()}
+    sequences.SUMMED_SLOTS, kept = 0, sequences.SUMMED_SLOTS
+    try:
+        large = {r[0]: r[1] for r in sequences.kmer_encoder(3, 8)(df).collect()}
+    finally:
+        sequences.SUMMED_SLOTS = kept
+    assert small == large and abs(sum(small["x"]) - 1) < 1e-6
+
+
 def test_truncation_is_the_encoders_choice(spark):
     df = spark.createDataFrame([("x", "AAAACCCC")], "seq_id string, seq string")
     whole = {r["token"]: r["n"] for r in sequences.kmer_counts(df, 4).collect()}
