@@ -14,7 +14,8 @@ _CODES = 8
 
 
 def _windows(spark, folder):
-    bins = windows.bins_from_sequences(S.contigs(spark, folder), S.BIN, S.BIN // 2)
+    """Windows of all loci; the bins are a stored table, as for a real reference."""
+    bins = cut_lineage(windows.bins_from_sequences(S.contigs(spark, folder), S.BIN, S.BIN // 2))
     found = windows.variant_windows(
         S.loci(spark, folder), bins, S.WINDOW, bin_size=S.BIN, halo=S.BIN // 2
     )
