@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from effectframe.llm.cells import with_cells
@@ -217,8 +218,11 @@ def write_archive(
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
     where = small.select("shard", "digest").distinct().join(first.select("digest", "first"), "digest")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Placed by shard once; the join by (shard, digest) finds both sides in place.
-    joined = placed.repartition(n, "shard").join(where.repartition(n, "shard"), ["shard", "digest"], "left")
+    # Both go to the shards in one shuffle; a window over a shard's equal payloads finds them in place.
+    told = where.withColumns({"page_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
+    met = placed.withColumn("first", F.lit(None).cast("long")).unionByName(told).repartition(n, "shard")
+    known = F.max("first").over(W.partitionBy("shard", "digest"))
+    joined = met.withColumn("first", known).filter(F.col("payload").isNotNull())
     refers = F.when((size >= LEAST_SHARED) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     ready = joined.select("shard", "page_id", "url", "payload", "digest", refers.alias("refers_to"))
     ready = ready.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url")
