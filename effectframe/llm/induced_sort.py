@@ -22,12 +22,11 @@ _BUCKETS = 4096
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last one counts as S."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
+    place = np.where(text[:-1] != text[1:], np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
+    # For each position the end of its run of one symbol, which decides.
+    end = np.minimum.accumulate(place[::-1])[::-1]
     small = np.ones(n, bool)
-    if len(differs):
-        at = np.searchsorted(differs, np.arange(differs[-1] + 1))
-        nxt = differs[at]
-        small[: len(nxt)] = text[nxt] < text[nxt + 1]
+    small[:-1] = (end == n - 1) | (text[end] < text[np.minimum(end + 1, n - 1)])
     return small
 
 
@@ -78,8 +77,9 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
 
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Rank of each LMS substring, along ``ordered``; equal substrings share a rank."""
-    following = np.append(lms[1:], len(text) - 1)
-    length = following[np.searchsorted(lms, ordered)] - ordered + 1
+    following = np.full(len(text), len(text) - 1, np.int32)
+    following[lms[:-1]] = lms[1:]
+    length = following[ordered] - ordered + 1
     differ = length[1:] != length[:-1]
     a, b = ordered[:-1], ordered[1:]
     open_ = np.flatnonzero(~differ)
@@ -94,17 +94,28 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
 
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        ranked = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
-        rank[order] = ranked
+    """Suffix array of a string over a large alphabet: rounds over what is still tied."""
+    n = len(names)
+    order = np.argsort(names, kind="stable").astype(np.int32)
+    head = np.r_[True, names[order][1:] != names[order][:-1]]
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # nothing comes before something
+    step = 1
+    # A rank is the place of the first of a group; tied is where order has such groups.
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+    while len(tied):
+        at = order[tied]
+        group = rank[at]
+        after = rank[np.minimum(at + step, n)]
+        by = np.lexsort((after, group))
+        at, group, after = at[by], group[by], after[by]
+        order[tied] = at
+        fresh = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
+        rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         step *= 2
-        if ranked[-1] == n - 1 or step >= n:
-            return order
+    return order
 
 
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
@@ -122,8 +133,9 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     ordered = induced[is_lms[induced]]
     rank = _names(text, lms, ordered)
     if rank[-1] + 1 < len(ordered):
-        reduced = np.empty(len(lms), np.int32)
-        reduced[np.searchsorted(lms, ordered)] = rank
+        named = np.empty(n, np.int32)
+        named[ordered] = rank
+        reduced = named[lms]
         names = int(rank[-1]) + 1
         deeper = suffix_array(reduced, names) if names <= _BUCKETS else _by_doubling(reduced)
         ordered = lms[deeper]

@@ -1,8 +1,8 @@
 """Removing repeated byte strings, found with suffix arrays over shards of pieces.
 
-Every window of ``length`` bytes is anchored at the least hash among its 8-byte grams.
-Windows with one anchor overlap; together they are a *piece* of at most
-``2 * length - 8`` bytes. Equal windows have equal anchors, whatever document they stand
+Every window of ``length`` bytes is anchored at the least hash among its grams of
+``GRAM`` bytes. Windows with one anchor overlap; together they are a *piece* of less
+than ``2 * length`` bytes. Equal windows have equal anchors, whatever document they stand
 in, so pieces sharded by anchor bring equal windows together. Shards hold each piece
 once per range of documents, with the least document id: copies are folded before
 they are moved, and a passage which a third of all documents share costs one entry per
@@ -29,29 +29,33 @@ from effectframe.llm.cells import with_cells
 from effectframe.llm.induced_sort import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 8
+#: Bytes of an anchor, a multiple of 8: a longer one is shared by chance less often, and means more pieces.
+GRAM = 16
 #: Bytes of text per range of documents, and per step inside a task.
 CELL_BYTES = 12 << 20
 _STEP = 1 << 20
-_FLUSH = 8 << 20
+_FLUSH = 4 << 20
 #: Shards per shuffle partition: a shard is held in memory, a partition is not.
 SHARDS = 4
 NO_ID = (1 << 63) - 1
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number, lowest first (the last seven positions lack some)."""
-    g = np.zeros(len(data) + GRAM, np.uint64)
+    g = np.zeros(len(data) + 8, np.uint64)
     g[: len(data)] = data
     for shift in (1, 2, 4):
         g[:-shift] |= g[shift:] << np.uint64(8 * shift)
     return g[: len(data)]
 
 
-def _anchor_hash(grams: np.ndarray) -> np.ndarray:
-    """48-bit hash; two grams with one hash count as one anchor everywhere."""
-    h = grams * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
+def _anchor_hash(words: np.ndarray) -> np.ndarray:
+    """48-bit hash of the gram at each position; two grams with one hash count as one anchor everywhere."""
+    h = np.zeros(len(words), np.uint64)
+    for at in range(0, GRAM, 8):
+        h[: len(words) - at] ^= words[at:]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h >> np.uint64(16)
 
@@ -91,7 +95,7 @@ def _cut(parts: list[tuple[int, int, bytes]], length: int):
     data = np.frombuffer(buffer, np.uint8)
     local = np.arange(len(data)) - np.repeat(begins, sizes)
     # Ties go to the position; that never moves an anchor to another hash.
-    order = (_anchor_hash(_grams(data)) << np.uint64(16)) | (local & 0xFFFF).astype(np.uint64)
+    order = (_anchor_hash(_words(data)) << np.uint64(16)) | (local & 0xFFFF).astype(np.uint64)
     least = _sliding_min(order[: len(data) - GRAM + 1], length - GRAM + 1)
     windows = len(least)
     start = np.arange(windows)
@@ -133,40 +137,48 @@ def _shard_blobs(length: int, shards: int):
         rows.sort(key=lambda r: r[1])
         cells = np.array([r[0] for r in rows], np.int64)
         ids = np.array([r[1] for r in rows], np.int64)
-        folded: list[dict[tuple[int, bytes], list[int]]] = [{} for _ in range(shards)]
+        found: dict[str, list] = {"shard": [], "cell": [], "doc": [], "offset": []}
+        # Equal pieces have equal anchors. Documents ascend, so the first one found is the least.
+        first: dict[tuple[int, bytes], int] = {}
+        many = bytearray()
+        docs: list[int] = []
         for buffer, number, start, _, size, offset in cut_pieces([r[2] for r in rows], length):
-            data = np.frombuffer(buffer, np.uint8)
-            at = (start + offset)[:, None] + np.arange(GRAM)
-            hashed = _anchor_hash(np.ascontiguousarray(data[at]).view("<u8").ravel())
-            shard = (hashed % np.uint64(shards)).tolist()
+            anchors = _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]
+            base = len(docs)
+            of_cell, of_doc = cells[number], ids[number]
+            docs += of_doc.tolist()
+            many += bytes(len(number))
             ends = (start + size).tolist()
-            for h, c, d, s, e, o in zip(
-                shard, cells[number].tolist(), ids[number].tolist(), start.tolist(), ends, offset.tolist(), strict=True
-            ):
-                # Ids ascend, so the first one is the least; a second one is worth a mark.
-                first = folded[h].setdefault((c, buffer[s:e]), [d, o, 0])
-                if first[0] != d:
-                    first[2] = 1
+            for i, c, s, e in zip(range(base, len(docs)), of_cell.tolist(), start.tolist(), ends, strict=True):
+                j = first.setdefault((c, buffer[s:e]), i)
+                if j != i and docs[j] != docs[i]:
+                    many[j] = 1
+            for name, values in (("shard", anchors % np.uint64(shards)), ("cell", of_cell), ("doc", of_doc), ("offset", offset)):
+                found[name].append(values)
+        kept = np.fromiter(first.values(), np.int64, len(first))
+        if not len(kept):
+            return
+        pieces = [piece for _, piece in first]
+        arrays = {name: np.concatenate(values)[kept] for name, values in found.items()}
+        arrays["many"] = np.frombuffer(many, np.uint8)[kept]
+        order = np.argsort(arrays["shard"], kind="stable")
+        cuts = np.flatnonzero(np.diff(arrays["shard"][order])) + 1
         out: dict[str, list] = {"shard": [], "count": [], "blob": []}
-        for h, entries in enumerate(folded):
-            if not entries:
-                continue
-            cell, piece = zip(*entries, strict=True)
-            doc, off, many = zip(*entries.values(), strict=True)
-            out["shard"].append(h)
-            out["count"].append(len(entries))
+        for part in np.split(order, cuts):
+            held = [pieces[i] for i in part.tolist()]
+            out["shard"].append(int(arrays["shard"][part[0]]))
+            out["count"].append(len(part))
             out["blob"].append(
                 _pack(
-                    np.array(doc, np.int64),
-                    np.array(cell, np.int64),
-                    np.array([len(p) for p in piece], np.int32),
-                    np.array(off, np.uint8),
-                    np.array(many, np.uint8),
-                    np.frombuffer(b"".join(piece), np.uint8),
+                    arrays["doc"][part],
+                    arrays["cell"][part],
+                    np.fromiter(map(len, held), np.int32, len(held)),
+                    arrays["offset"][part].astype(np.uint8),
+                    arrays["many"][part],
+                    np.frombuffer(b"".join(held), np.uint8),
                 )
             )
-        if out["shard"]:
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
@@ -202,7 +214,7 @@ def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -
     order = order[window[order]].astype(np.int64)
     before = np.full(len(owner), -1, np.int64)
     before[order[1:]] = order[:-1]
-    common = permuted_common_prefixes(_grams(np.frombuffer(joined, np.uint8)), before, length)
+    common = permuted_common_prefixes(_words(np.frombuffer(joined, np.uint8)), before, length)
     first = np.flatnonzero(np.r_[True, common[order[1:]] < length])
     least = np.minimum.reduceat(docs[owner[order]], first)
     found = np.empty(len(owner), np.int64)
@@ -220,13 +232,13 @@ def _answer(length: int):
         doc, cell, size, offset, many, data = (np.concatenate([r[i] for r in read]) for i in range(6))
         ends = np.cumsum(size.astype(np.int64))
         starts = ends - size
-        at = (starts + offset)[:, None] + np.arange(GRAM)
-        anchor = _anchor_hash(np.ascontiguousarray(data[at]).view("<u8").ravel())
+        anchor = _anchor_hash(_words(data))[starts + offset]
+        # Only anchors that stand in two documents can bring anything.
         order = np.argsort(anchor, kind="stable")
-        same = anchor[order][1:] == anchor[order][:-1]
-        shared = np.zeros(len(doc), bool)
-        shared[order] = np.r_[False, same] | np.r_[same, False]
-        chosen = order[(shared | (many > 0))[order]]
+        head = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+        low, high = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
+        apart = (low < high) | (np.maximum.reduceat(many[order], head) > 0)
+        chosen = order[np.repeat(apart, np.diff(np.append(head, len(order))))]
         if not len(chosen):
             return _answers([], [], [])
         buffer = data.tobytes()
@@ -353,8 +365,8 @@ def _apply(length: int, text_at: int, keep_text: bool):
 
 
 def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if length <= GRAM:
+        raise ValueError(f"length must be above {GRAM}")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = SHARDS * partitions

@@ -97,7 +97,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length", [20, 50])
+@pytest.mark.parametrize("length", [25, 50])
 def test_repeated_spans(odd_docs, odd_rows, length):
     got = suffix_dedup.repeated_spans(odd_docs, length)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(odd_rows, length)
@@ -143,7 +143,7 @@ def test_suffix_arrays():
 def test_common_prefixes():
     draw = random.Random(4)
     data = np.array(draw.choices([1, 2], k=400), np.uint8)
-    words = suffix_dedup._grams(data)
+    words = suffix_dedup._words(data)
     before = np.array([draw.randrange(-1, 370) for _ in range(370)])
     got = induced_sort.permuted_common_prefixes(words, before, 30)
     text = data.tolist()
