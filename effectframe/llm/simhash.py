@@ -32,6 +32,28 @@ _CHUNK = 65_536
 _SMALL = 8
 
 
+def _parts(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def word_set_fingerprint(text: str | None) -> int:
+    """64-bit SimHash of the distinct words of ``text``; 0 without words."""
+    return _majority([xxhash.xxh64_intdigest(w, SEED) for w in set(_parts(text))])
+
+
+def _majority(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
+    ones = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def shingles(text: str | None, words: int = 5) -> set[bytes]:
+    """Distinct word shingles, joined by a space; a shorter text is one shingle."""
+    parts = _parts(text)
+    return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
 def text_fingerprint(text: str | None, words: int = 4) -> int:
     """64-bit SimHash of the word shingles of ``text``; 0 without words.
 
@@ -39,7 +61,7 @@ def text_fingerprint(text: str | None, words: int = 4) -> int:
     are joined by one space and counted as often as they occur. Texts shorter than a
     shingle are one shingle. A bit is 1 if more than half of the XXH64 hashes have it.
     """
-    parts = text.encode("utf-8", "replace").lower().split() if text else []
+    parts = _parts(text)
     if not parts:
         return 0
     buffer = b" ".join(parts)
@@ -113,8 +135,18 @@ def _forest(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal ``key`` (sorted): all of them in small runs, a forest in others."""
+def _every(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links among ``fp``."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for u in range(len(fp) - 1):
+        near = np.flatnonzero(np.bitwise_count(fp[u + 1 :] ^ fp[u]) <= bits) + u + 1
+        left.append(np.full(len(near), node[u]))
+        right.append(node[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of equal ``key`` (sorted): all of them in small runs, a forest in others unless ``every``."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -130,16 +162,16 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tupl
         left.append(node[i[near]])
         right.append(node[i[near] + step])
     for s, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        a, b = _forest(fp[s : s + n], node[s : s + n], bits)
+        a, b = (_every if every else _forest)(fp[s : s + n], node[s : s + n], bits)
         left.append(a)
         right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within ``bits`` bits.
+def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """(a, b): links whose components are those of all pairs within ``bits`` bits, or ``every`` such pair.
 
-    ``prints`` holds distinct fingerprints ``fp`` with a ``node`` id.
+    ``prints`` holds fingerprints ``fp`` with a distinct ``node`` id each.
     """
     keyed = prints.select(F.explode(_variants("fp", bits)).alias("key"), "fp", "node")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
@@ -171,10 +203,11 @@ def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFram
         group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         # Keys stay recognisable: the variant's number above a running group number.
         tagged = ((key.view(np.uint64) >> np.uint64(56)) << np.uint64(56)) | group.astype(np.uint64)
-        a, b = _links(tagged, fp.view(np.uint64), node, bits)
+        a, b = _links(tagged, fp.view(np.uint64), node, bits, every)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    # In order of nodes: a forest starts at the least node, under every key the same.
+    placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
     return placed.mapInArrow(run, "a long, b long")
 
 
@@ -202,12 +235,73 @@ def near_duplicates(
     return prints.join(labelled, "fp", "left").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``edges`` (a, b) whose texts' shingle sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, held = [], None, set()
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, held = a, shingles(x.as_py(), words)
+                other = shingles(y.as_py(), words)
+                both = len(held & other)
+                keep.append(both >= similarity * (len(held) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
+    met = edges.join(side("b"), "b").select("a", "b", "text_b").join(side("a"), "a")
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(
+    docs: DataFrame,
+    bits: int = 7,
+    words: int = 5,
+    similarity: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, component) of near copies: candidates by fingerprint, verified on the texts.
+
+    Texts with equal words are one. Fingerprints of the distinct words within ``bits`` bits
+    make candidates, which link if their sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``similarity``. First a forest of the candidates is verified and
+    what links is folded to its least id; then all candidates among what remains are
+    verified, so none of the least ids is alike to another one that its fingerprint
+    shows. Rows without an id have no row here, texts without words are one. Runs jobs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            prints = np.fromiter(map(word_set_fingerprint, texts), np.uint64, len(texts))
+            digests = [xxhash.xxh3_128_digest(b" ".join(_parts(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(digests, pa.binary())], ["id", "fp", "digest"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Of rows repeated under one id, one decides.
+    made = rows.mapInArrow(run, "id long, fp long, digest binary").groupBy("id")
+    prints = cut_lineage(made.agg(F.min(F.struct("digest", "fp")).alias("m")).select("id", "m.digest", "m.fp"))
+    nodes = cut_lineage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp")))
+    first = _similar(link_edges(nodes, bits).distinct(), rows, words, similarity)
+    folded = cut_lineage(connected_components(first))
+    left = nodes.join(folded.filter("node <> component").select("node"), "node", "left_anti")
+    second = _similar(link_edges(left, bits, every=True).distinct(), rows, words, similarity)
+    again = connected_components(second).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    met = folded.join(again, "component", "full").select(
+        F.coalesce("node", "component").alias("node"), F.coalesce("final", "component").alias("component")
+    )
+    named = nodes.join(met.distinct(), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return prints.select("id", "digest").join(named, "digest").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the least id.
 
     Rows without an id stay, as nothing names them; of rows repeated under one id one stays.
     """
-    found = near_duplicates(docs, words, bits, id_col, text_col)
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, **settings)
     kept = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     rows = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     lone = docs.filter(F.col(id_col).isNull())

@@ -54,9 +54,31 @@ def test_near_duplicates(odd_docs, odd_rows):
     edges = [(a, b) for a in ids for b in ids if a < b and bin(want[a] ^ want[b]).count("1") <= 4]
     parts = least_reachable(ids, edges)
     assert {r.id: r.component for r in got if r.id is not None} == parts
+
+
+def test_one_of_similar_documents_stays(spark, odd_docs, odd_rows, no_docs):
+    texts = {i: t for i, t, _ in odd_rows if i is not None}
+    grams = {i: simhash.shingles(t) for i, t in texts.items()}
+    prints = {i: simhash.word_set_fingerprint(t) for i, t in texts.items()}
+
+    def alike(a, b):
+        union = len(grams[a] | grams[b])
+        return len(grams[a] & grams[b]) >= 0.8 * union
+
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if parts[i] == i)
+    ids = {r.doc_id for r in kept.collect() if r.doc_id is not None}
+    near = [(a, b) for a in texts for b in texts if a < b and bin(prints[a] ^ prints[b]).count("1") <= 7 and alike(a, b)]
+    assert near and not any(a in ids and b in ids for a, b in near)
+    groups = {r.id: r.component for r in simhash.similar_documents(odd_docs).collect()}
+    assert set(groups) == set(texts) and ids == {i for i, c in groups.items() if i == c}
+    parts = least_reachable(list(texts), near)
+    assert all(parts[i] == parts[c] and c <= i for i, c in groups.items())
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    assert simhash.keep_one(no_docs).collect() == []
+    rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "j i h g f e d c b a"), (3, "A b\tc d e f g h i j")]
+    few = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in few) == [1, 2]
 
 
 @pytest.mark.parametrize("block", [3, 4096])
