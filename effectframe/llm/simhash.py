@@ -174,9 +174,9 @@ def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK, every: bool
     ``prints`` holds fingerprints ``fp`` with a distinct ``node`` id each.
     """
     keyed = prints.select(F.explode(_variants("fp", bits)).alias("key"), "fp", "node")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
-    blocks = F.ceil(F.col("__n") / F.lit(block)).cast("int")
-    met = keyed.join(counts, "key").withColumn("__blocks", blocks)
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
+    blocks = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(block)).cast("int")
+    met = keyed.join(hot, "key", "left").withColumn("__blocks", blocks)
     own = F.pmod(F.xxhash64("fp"), F.col("__blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("__blocks") - 1),
