@@ -3,14 +3,15 @@
 Every window of ``length`` bytes is anchored at the least hash among its grams of
 ``GRAM`` bytes. Windows with one anchor overlap; together they are a *piece* of less
 than ``2 * length`` bytes. Equal windows have equal anchors, whatever document they stand
-in, so pieces sharded by anchor bring equal windows together. Shards hold each piece
-once per range of documents, with the least document id: copies are folded before
-they are moved, and a passage which a third of all documents share costs one entry per
-range. In a shard, pieces alone under their anchor have nothing to be compared with;
-the others form one text, whose suffix array (induced sorting) and permuted common
-prefixes give the classes of equal windows and the least document of each. What a
-shard finds goes back to the ranges, which cut their documents' pieces anew and
-remove the windows seen in a smaller document.
+in. First the anchors alone are dealt to shards, which tell each range of documents
+those that stand in more than one document; all other pieces can not repeat and stay
+where they are. The pieces left meet in the shard of their anchor, once per range, with
+the least document id: copies are folded before they are moved, and a passage which a
+third of all documents share costs one entry per range. There, pieces alone under
+their anchor have nothing to be compared with; the others form one text, whose suffix
+array (induced sorting) and permuted common prefixes give the classes of equal windows
+and the least document of each. The answers go back to the ranges, which remove the
+windows seen in a smaller document.
 """
 
 from __future__ import annotations
@@ -49,17 +50,23 @@ def _words(data: np.ndarray) -> np.ndarray:
     return g[: len(data)]
 
 
-def _anchor_hash(words: np.ndarray) -> np.ndarray:
-    """48-bit hash of the gram at each position; two grams with one hash count as one anchor everywhere."""
-    h = np.zeros(len(words), np.uint64)
-    for at in range(0, GRAM, 8):
-        h[: len(words) - at] ^= words[at:]
+def _gram_hash(words: np.ndarray | list[np.ndarray]) -> np.ndarray:
+    """48-bit hash of grams given as eight-byte words in order; two grams with one hash count as one anchor everywhere."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for word in words:
+        h ^= word
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h >> np.uint64(16)
 
 
+def _anchor_hash(words: np.ndarray) -> np.ndarray:
+    """Hash of the gram at each position of a text; the last ones lack bytes and count as padded."""
+    padded = np.append(words, np.zeros(GRAM, np.uint64))
+    return _gram_hash([padded[at : at + len(words)] for at in range(0, GRAM, 8)])
+
+
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     size, low = 1, values
     while size * 2 <= width:
@@ -130,55 +137,39 @@ def _unpack(blob: bytes, count: int, kinds: list[str]) -> list[np.ndarray]:
     return [*out, np.frombuffer(body, np.uint8, len(body) - at, at)]
 
 
-def _shard_blobs(length: int, shards: int):
-    """Map side: folded pieces by shard, from rows (cell, id, text)."""
+def _deltas(values: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, byte by byte, so that empty bytes compress away."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+
+
+def _undeltas(planes: np.ndarray, count: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, count).T).view(np.uint64).ravel())
+
+
+def _anchor_blobs(length: int, shards: int):
+    """Map side, from rows (cell, id, text): distinct anchors per (cell, shard), marked where two documents have them."""
 
     def flush(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[1])
         cells = np.array([r[0] for r in rows], np.int64)
-        ids = np.array([r[1] for r in rows], np.int64)
-        found: dict[str, list] = {"shard": [], "cell": [], "doc": [], "offset": []}
-        # Equal pieces have equal anchors. Documents ascend, so the first one found is the least.
-        first: dict[tuple[int, bytes], int] = {}
-        many = bytearray()
-        docs: list[int] = []
-        for buffer, number, start, _, size, offset in cut_pieces([r[2] for r in rows], length):
-            anchors = _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]
-            base = len(docs)
-            of_cell, of_doc = cells[number], ids[number]
-            docs += of_doc.tolist()
-            many += bytes(len(number))
-            ends = (start + size).tolist()
-            for i, c, s, e in zip(range(base, len(docs)), of_cell.tolist(), start.tolist(), ends, strict=True):
-                j = first.setdefault((c, buffer[s:e]), i)
-                if j != i and docs[j] != docs[i]:
-                    many[j] = 1
-            for name, values in (("shard", anchors % np.uint64(shards)), ("cell", of_cell), ("doc", of_doc), ("offset", offset)):
-                found[name].append(values)
-        kept = np.fromiter(first.values(), np.int64, len(first))
-        if not len(kept):
-            return
-        pieces = [piece for _, piece in first]
-        arrays = {name: np.concatenate(values)[kept] for name, values in found.items()}
-        arrays["many"] = np.frombuffer(many, np.uint8)[kept]
-        order = np.argsort(arrays["shard"], kind="stable")
-        cuts = np.flatnonzero(np.diff(arrays["shard"][order])) + 1
-        out: dict[str, list] = {"shard": [], "count": [], "blob": []}
-        for part in np.split(order, cuts):
-            held = [pieces[i] for i in part.tolist()]
-            out["shard"].append(int(arrays["shard"][part[0]]))
+        parts = []
+        for buffer, number, start, _, _, offset in cut_pieces([r[2] for r in rows], length):
+            parts.append((number, _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]))
+        number, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cell, shard = cells[number], (anchor % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((number, anchor, shard, cell))
+        cell, shard, anchor, number = cell[order], shard[order], anchor[order], number[order]
+        group = np.r_[True, (cell[1:] != cell[:-1]) | (shard[1:] != shard[:-1])]
+        head = np.flatnonzero(group | np.r_[True, anchor[1:] != anchor[:-1]])
+        many = number[head] < number[np.append(head[1:], len(number)) - 1]
+        cell, shard, anchor, cuts = cell[head], shard[head], anchor[head], np.flatnonzero(group[head])[1:]
+        out: dict[str, list] = {"shard": [], "cell": [], "count": [], "blob": []}
+        for part in np.split(np.arange(len(head)), cuts):
+            out["shard"].append(int(shard[part[0]]))
+            out["cell"].append(int(cell[part[0]]))
             out["count"].append(len(part))
-            out["blob"].append(
-                _pack(
-                    arrays["doc"][part],
-                    arrays["cell"][part],
-                    np.fromiter(map(len, held), np.int32, len(held)),
-                    arrays["offset"][part].astype(np.uint8),
-                    arrays["many"][part],
-                    np.frombuffer(b"".join(held), np.uint8),
-                )
-            )
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())]))
+            out["blob"].append(_pack(many[part].view(np.uint8), _deltas(anchor[part])))
+        kinds = [("shard", pa.int32()), ("cell", pa.int64()), ("count", pa.int32()), ("blob", pa.binary())]
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
@@ -199,8 +190,89 @@ def _shard_blobs(length: int, shards: int):
     return run
 
 
-def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per piece and window: the least of ``docs`` among the pieces that hold an equal window."""
+_PER_CELL = pa.schema([("cell", pa.int64()), ("count", pa.int32()), ("blob", pa.binary())])
+
+
+def _repeated_anchors(table: pa.Table) -> pa.Table:
+    """Shard side: for each range of documents, its anchors that stand in more than one document."""
+    marks, anchors, cells = [], [], []
+    for cell, count, blob in zip(*(table.column(c).to_pylist() for c in ("cell", "count", "blob")), strict=True):
+        mark, planes = _unpack(blob, count, ["u1"])
+        marks.append(mark)
+        anchors.append(_undeltas(planes, count))
+        cells.append(np.full(count, cell))
+    many, anchor, cell = (np.concatenate(x) for x in (marks, anchors, cells))
+    order = np.argsort(anchor, kind="stable")
+    head = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    size = np.diff(np.append(head, len(order)))
+    repeated = (size > 1) | (np.maximum.reduceat(many[order], head) > 0)
+    order = order[np.repeat(repeated, size)]
+    order = order[np.lexsort((anchor[order], cell[order]))]
+    out: dict[str, list] = {"cell": [], "count": [], "blob": []}
+    for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        if len(part):
+            found = np.unique(anchor[part])
+            out["cell"].append(int(cell[part[0]]))
+            out["count"].append(len(found))
+            out["blob"].append(_pack(_deltas(found)))
+    return pa.Table.from_pydict(out, schema=_PER_CELL)
+
+
+_BLOBS = pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())])
+
+
+def _piece_blobs(length: int, shards: int):
+    """Range side: folded pieces of a cell under repeated anchors, by shard. Columns of the documents: cell, id, text."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"shard": [], "count": [], "blob": []}
+        lists = [_undeltas(_unpack(b, n, [])[0], n) for n, b in zip(told.column("count").to_pylist(), told.column("blob").to_pylist(), strict=True)]
+        if not lists:
+            return pa.Table.from_pydict(out, schema=_BLOBS)
+        repeated = np.unique(np.concatenate(lists))
+        cell = docs.column(0)[0].as_py()
+        ids = docs.column(1).to_numpy()
+        rows = np.argsort(ids, kind="stable")
+        texts = [(docs.column(2)[i].as_py() or "").encode("utf-8", "replace") for i in rows.tolist()]
+        ids = ids[rows]
+        # Equal pieces have equal anchors. Documents ascend, so the first one found is the least.
+        first: dict[bytes, int] = {}
+        many, docs_of = bytearray(), []
+        offsets, shard_of = [], []
+        for buffer, number, start, _, size, offset in cut_pieces(texts, length):
+            anchor = _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]
+            at = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
+            known = np.flatnonzero(repeated[at] == anchor)
+            base = len(docs_of)
+            docs_of += ids[number[known]].tolist()
+            many += bytes(len(known))
+            offsets.append(offset[known])
+            shard_of.append(anchor[known] % np.uint64(shards))
+            begin = start[known]
+            for i, s, e in zip(range(base, len(docs_of)), begin.tolist(), (begin + size[known]).tolist(), strict=True):
+                j = first.setdefault(buffer[s:e], i)
+                if j != i and docs_of[j] != docs_of[i]:
+                    many[j] = 1
+        if first:
+            kept = np.fromiter(first.values(), np.int64, len(first))
+            pieces = list(first)
+            doc, offset, shard = np.array(docs_of, np.int64)[kept], np.concatenate(offsets)[kept], np.concatenate(shard_of)[kept]
+            mark = np.frombuffer(many, np.uint8)[kept]
+            order = np.argsort(shard, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                held = [pieces[i] for i in part.tolist()]
+                sizes = np.fromiter(map(len, held), np.int32, len(held))
+                blob = _pack(doc[part], np.full(len(part), cell), sizes, offset[part].astype(np.uint8), mark[part], np.frombuffer(b"".join(held), np.uint8))
+                out["shard"].append(int(shard[part[0]]))
+                out["count"].append(len(part))
+                out["blob"].append(blob)
+        return pa.Table.from_pydict(out, schema=_BLOBS)
+
+    return run
+
+
+def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, least) per window, piece by piece: the least of ``docs`` among the pieces that hold an equal window."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(sizes + 1) - sizes - 1
     joined = b"\0".join(pieces) + b"\0"
@@ -219,7 +291,7 @@ def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -
     least = np.minimum.reduceat(docs[owner[order]], first)
     found = np.empty(len(owner), np.int64)
     found[order] = np.repeat(least, np.diff(np.append(first, len(order))))
-    return [found[b : b + s - length + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
+    return owner[window], found[window]
 
 
 def _answer(length: int):
@@ -227,79 +299,66 @@ def _answer(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         kinds = ["<i8", "<i8", "<i4", "u1", "u1"]
-        blobs = zip(table.column("blob"), table.column("count"), strict=True)
-        read = [_unpack(b.as_py(), c.as_py(), kinds) for b, c in blobs]
+        blobs = zip(table.column("blob").to_pylist(), table.column("count").to_pylist(), strict=True)
+        read = [_unpack(b, c, kinds) for b, c in blobs]
         doc, cell, size, offset, many, data = (np.concatenate([r[i] for r in read]) for i in range(6))
         ends = np.cumsum(size.astype(np.int64))
         starts = ends - size
-        anchor = _anchor_hash(_words(data))[starts + offset]
-        # Only anchors that stand in two documents can bring anything.
-        order = np.argsort(anchor, kind="stable")
-        head = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
-        low, high = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
-        apart = (low < high) | (np.maximum.reduceat(many[order], head) > 0)
-        chosen = order[np.repeat(apart, np.diff(np.append(head, len(order))))]
-        if not len(chosen):
-            return _answers([], [], [])
+        grams = data[(starts + offset)[:, None] + np.arange(GRAM)].view("<u8")
+        anchor = np.zeros(len(doc), np.uint64)
+        for i in range(0, len(doc), _STEP):
+            words = np.ascontiguousarray(grams[i : i + _STEP])
+            anchor[i : i + _STEP] = _gram_hash(words.T)
         buffer = data.tobytes()
         number: dict[bytes, int] = {}
-        index = np.empty(len(chosen), np.int64)
-        for k, (s, e) in enumerate(zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)):
-            index[k] = number.setdefault(buffer[s:e], len(number))
+        index = np.fromiter(
+            (number.setdefault(buffer[s:e], len(number)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(doc)
+        )
         pieces = list(number)
         least = np.full(len(pieces), NO_ID)
-        np.minimum.at(least, index, doc[chosen])
+        np.minimum.at(least, index, doc)
         # Pieces alone under their anchor need no comparison; all others are sorted together.
         by_piece = np.empty(len(pieces), np.uint64)
-        by_piece[index] = anchor[chosen]
+        by_piece[index] = anchor
         _, where, under = np.unique(by_piece, return_inverse=True, return_counts=True)
         compared = np.flatnonzero(under[where] > 1)
-        windows: dict[int, np.ndarray] = {}
+        alone = np.flatnonzero(under[where] == 1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        owner, value = alone, least[alone]
+        count = sizes[alone] - length + 1
         if len(compared):
-            found = least_windows([pieces[i] for i in compared.tolist()], least[compared], length)
-            windows = dict(zip(compared.tolist(), found, strict=True))
-        cells, digests, runs = [], [], []
-        for i, c, d, m in zip(index.tolist(), cell[chosen].tolist(), doc[chosen].tolist(), many[chosen].tolist(), strict=True):
-            w = windows.get(i)
-            if w is None:
-                if not m and least[i] >= d:
-                    continue
-                run = [(len(pieces[i]) - length + 1, int(least[i]))]
-            else:
-                if not m and w.min() >= d:
-                    continue
-                change = np.append(np.flatnonzero(np.r_[True, w[1:] != w[:-1]]), len(w))
-                run = list(zip(np.diff(change).tolist(), w[change[:-1]].tolist(), strict=True))
-            cells.append(c)
-            digests.append(xxhash.xxh3_128_digest(pieces[i]))
-            runs.append(run)
-        return _answers(cells, digests, runs)
+            of, found = least_windows([pieces[i] for i in compared.tolist()], least[compared], length)
+            head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (found[1:] != found[:-1])])
+            owner = np.concatenate([owner, compared[of[head]]])
+            value = np.concatenate([value, found[head]])
+            count = np.concatenate([count, np.diff(np.append(head, len(of)))])
+        by = np.argsort(owner, kind="stable")
+        owner, value, count = owner[by], value[by], count[by]
+        lowest = np.full(len(pieces), NO_ID)
+        np.minimum.at(lowest, owner, value)
+        wanted = np.flatnonzero((many > 0) | (lowest[index] < doc))
+        runs = np.bincount(owner, minlength=len(pieces))
+        digests = {i: xxhash.xxh3_128_digest(pieces[i]) for i in np.unique(index[wanted]).tolist()}
+        out: dict[str, list] = {"cell": [], "count": [], "total": [], "blob": []}
+        wanted = wanted[np.argsort(cell[wanted], kind="stable")]
+        first = np.cumsum(runs) - runs
+        for part in np.split(wanted, np.flatnonzero(np.diff(cell[wanted])) + 1):
+            if not len(part):
+                continue
+            own = index[part]
+            per = runs[own]
+            flat = np.repeat(first[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            names = np.frombuffer(b"".join([digests[i] for i in own.tolist()]), np.uint8)
+            out["cell"].append(int(cell[part[0]]))
+            out["count"].append(len(part))
+            out["total"].append(len(flat))
+            out["blob"].append(_pack(names, per.astype(np.int32), count[flat].astype(np.int32), value[flat]))
+        kinds = [("cell", pa.int64()), ("count", pa.int32()), ("total", pa.int32()), ("blob", pa.binary())]
+        return pa.Table.from_pydict(out, schema=pa.schema(kinds))
 
     return run
 
 
-def _answers(cells: list[int], digests: list[bytes], runs: list[list[tuple[int, int]]]) -> pa.Table:
-    """One row per cell: digests, runs per digest, run lengths and least documents, packed."""
-    out: dict[str, list] = {"cell": [], "count": [], "total": [], "blob": []}
-    order = np.argsort(np.array(cells, np.int64), kind="stable").tolist()
-    at = 0
-    while at < len(order):
-        stop = at
-        while stop < len(order) and cells[order[stop]] == cells[order[at]]:
-            stop += 1
-        mine = order[at:stop]
-        flat = [r for i in mine for r in runs[i]]
-        out["cell"].append(cells[mine[0]])
-        out["count"].append(len(mine))
-        out["total"].append(len(flat))
-        head = np.frombuffer(b"".join(digests[i] for i in mine), np.uint8)
-        body = [np.array([len(runs[i]) for i in mine], np.int32), np.array([n for n, _ in flat], np.int32), np.array([d for _, d in flat], np.int64)]
-        out["blob"].append(_pack(head, *body))
-        at = stop
-    kinds = [("cell", pa.int64()), ("count", pa.int32()), ("total", pa.int32()), ("blob", pa.binary())]
-    return pa.Table.from_pydict(out, schema=pa.schema(kinds))
-
-
 def _known(answers: pa.Table) -> dict[bytes, list[tuple[int, int]]]:
     known: dict[bytes, list[tuple[int, int]]] = {}
     for count, total, blob in zip(*(answers.column(c).to_pylist() for c in ("count", "total", "blob")), strict=True):
@@ -377,22 +436,27 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str, keep_text
     weight = F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)
     celled = with_cells(plain, key, weight, CELL_BYTES, "cell", F.col(text))
     number = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id")
-    blobs = celled.select("cell", number, F.col(text).cast("string").alias("text")).mapInArrow(
-        _shard_blobs(length, shards), "shard int, count int, blob binary"
-    )
-    answers = (
-        blobs.groupBy("shard")
-        .applyInArrow(_answer(length), "cell long, count int, total int, blob binary")
-    )
-    used = plain.columns if keep_text else [text]
-    mine = celled.select("cell", number, *used)
+    at_cells = celled.select("cell", number, *plain.columns)
+    mine = at_cells if keep_text else at_cells.select("cell", "id", text)
+    to_pieces = at_cells.select("cell", "id", F.col(text).cast("string").alias("text"))
+    anchors = to_pieces.mapInArrow(_anchor_blobs(length, shards), "shard int, cell long, count int, blob binary")
+    told = anchors.groupBy("shard").applyInArrow(_repeated_anchors, "cell long, count int, blob binary")
+    place = text_at if keep_text else 0
+    pieces = _piece_blobs(length, shards)
+
+    def cut(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+        return pieces(docs.select([0, 1, 2 + place]), repeated)
+
+    # Both steps over the ranges read one exchange of the texts.
+    ranges = mine.groupBy("cell")
+    blobs = ranges.cogroup(told.groupBy("cell")).applyInArrow(cut, "shard int, count int, blob binary")
+    answers = blobs.groupBy("shard").applyInArrow(_answer(length), "cell long, count int, total int, blob binary")
     schema = (
         ", ".join(f"c{i} {docs.schema[i].dataType.simpleString()}" for i in range(len(names)))
         if keep_text
         else "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    grouped = mine.groupBy("cell").cogroup(answers.groupBy("cell"))
-    return grouped.applyInArrow(_apply(length, text_at if keep_text else 0, keep_text), schema)
+    return ranges.cogroup(answers.groupBy("cell")).applyInArrow(_apply(length, place, keep_text), schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
