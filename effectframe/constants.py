@@ -172,18 +172,3 @@ REAL_HGVS_C_PATTERN = r"(?i)c\.(?!\[)[^\s,;:/\]]+"
 THINK_BLOCK_PATTERN = r"(?is)<think>.*?</think>"
 THINK_TAG_PATTERN = r"(?is)</?think>"
 WORST_LOG_SCORE = -1e9
-
-# --- parameter grid of the graph-vector sweep ------------------------------
-SWEEP_GRID = {
-    "dim": [128, 256, 384],
-    "epochs": [8],
-    "batch_size": [256, 384],
-    "walk_len": [20, 30, 40],
-    "ctx_size": [4, 6, 8],
-    "walks_per_node": [8, 12, 16],
-    "neg_samples": [2, 5],
-    "curated_only": [True],
-    "no_term_edges": [False],
-    "drop_roots": [True],
-    "prune_term_degree": [800, 1000],
-}

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_LOOKUP_ROWS = 50_000
+#: A key is hot above its share of a partition's rows: at most this many keys per partition can be.
+HOT_KEYS_PER_PARTITION = 4
 _SALT = "__salt"
 _SALTS = "__salts"
 
@@ -27,15 +26,16 @@ def salted_join(
     on: Sequence[str],
     counts: DataFrame,
     how: str = "left",
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``left`` join ``right``; left keys above ``hot_rows`` rows are split.
 
     ``counts`` holds the key columns and ``n``, the left rows per key (an upper bound
     will do). Rows of a hot key get one of ``ceil(n / hot_rows)`` salts and the right
-    rows of that key are copied once per salt. At most ``MAX_HOT_KEYS`` keys (the
-    largest) are salted, which bounds the broadcast table; all others join as they
-    are, so the result does not depend on it. ``how`` is ``left`` or ``inner``.
+    rows of that key are copied once per salt. By default a key is hot above
+    ``1 / HOT_KEYS_PER_PARTITION`` of what a shuffle partition holds on average, so
+    the broadcast table of hot keys has at most ``HOT_KEYS_PER_PARTITION`` rows per
+    partition by arithmetic, whatever the data. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -44,13 +44,16 @@ def salted_join(
     clash = sorted(set(payload) & set(left.columns))
     if clash:
         raise ValueError(f"columns on both sides: {', '.join(clash)}")
+    if hot_rows is None:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
+        limit = F.greatest(F.ceil(total / F.lit(HOT_KEYS_PER_PARTITION * partitions)), F.lit(1))
+    else:
+        limit = F.lit(hot_rows)
     hot = F.broadcast(
-        counts.filter(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(
+        counts.filter(F.col("n") > limit).select(
             *[F.col(k).alias(f"__h_{k}") for k in keys],
-            F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias(_SALTS),
+            F.ceil(F.col("n") / limit).cast("int").alias(_SALTS),
         )
     )
 
@@ -72,18 +75,6 @@ def salted_join(
     return joined.select(*left.columns, *payload)
 
 
-def lookup_join(
-    left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = MAX_LOOKUP_ROWS
-) -> DataFrame:
-    """Join with a table that is usually small, broadcast only after a look at its size.
-
-    Counts ``lookup`` up to ``max_rows`` (a job on that table alone); a larger one is
-    joined by shuffle.
-    """
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(lookup) if small else lookup, list(on), how)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which a null key equals a null key; keeps the left keys."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})

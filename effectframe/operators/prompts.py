@@ -121,12 +121,15 @@ def real_notation_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def source_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Rows whose joined sources changed: short digests of both versions."""
-    columns = prompt_columns(before)
-    a = before.select(key, joined_sources(before, columns).alias("before"))
-    b = after.select(key, joined_sources(after, columns).alias("after"))
-    both = a.join(b, key)
+def source_diff(df: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
+    """Rows whose joined sources change when ``fields`` are blanked: short digests of both versions.
+
+    Both are expressions of one row, so nothing is joined or moved.
+    """
+    columns = prompt_columns(df)
+    marked = df.withColumn("__before", joined_sources(df, columns))
+    blank = blank_fields(marked, fields)
+    both = blank.select(key, F.col("__before").alias("before"), joined_sources(blank, columns).alias("after"))
     return both.filter(F.col("before") != F.col("after")).select(
         key,
         text.sha_prefix(F.col("before")).alias("sha_before"),
@@ -145,13 +148,18 @@ def prompt_stats(df: DataFrame, prompt: str = "prompt", group: Sequence[str] = (
         p.rlike(C.PROMPT_HGVS_P_PATTERN).alias("p"),
         p.rlike(C.PROMPT_LABEL_PATTERN).alias("w"),
     )
-    return probed.groupBy(*group).agg(
+    # One row per length first: the median then weighs lengths, not rows.
+    folded = probed.groupBy(*group, "len").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if("blank").alias("n_blank"),
+        *[F.count_if(c).alias(c) for c in ("blank", "c", "p", "w")],
+    )
+    return folded.groupBy(*group).agg(
+        F.sum("n").alias("n"),
+        F.sum("blank").alias("n_blank"),
         F.min("len").alias("len_min"),
-        F.floor(F.percentile("len", F.lit(0.5))).cast("long").alias("len_median"),
+        F.floor(F.percentile("len", F.lit(0.5), F.col("n"))).cast("long").alias("len_median"),
         F.max("len").alias("len_max"),
-        F.count_if("c").alias("hgvsc_hits"),
-        F.count_if("p").alias("hgvsp_hits"),
-        F.count_if("w").alias("label_hits"),
+        F.sum("c").alias("hgvsc_hits"),
+        F.sum("p").alias("hgvsp_hits"),
+        F.sum("w").alias("label_hits"),
     )

@@ -41,16 +41,20 @@ def hash_rank(
     tie_break: Sequence[str],
     rank_col: str = "rank",
     group: Sequence[str] = (),
-    hex_digits: int = 3,
+    hex_digits: int | None = None,
 ) -> DataFrame:
     """1-based rank inside ``group`` by ``md5(hash_text)``, ties by ``tie_break``.
 
     The bucket is the head of the digest, so it follows the order, depends on the
     row only and spreads evenly whatever the keys are: ``hash_text`` must be
     (nearly) unique per row. A group which holds most rows is cut into
-    ``16 ** hex_digits`` parts.
+    ``16 ** hex_digits`` parts, by default at least 256 per shuffle partition; the
+    order is the same for any number.
     """
     group = list(group)
+    if hex_digits is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hex_digits = (256 * partitions - 1).bit_length() // 4 + 1
     hashed = df.withColumn("__md5", F.md5(hash_text.cast("binary")))
     hashed = hashed.withColumn(_BUCKET, F.substring("__md5", 1, hex_digits))
     offsets = _bucket_offsets(hashed, group, {"n": F.count(F.lit(1))})

@@ -151,12 +151,7 @@ def threshold_curve(spark, folder):
     SELECT lang, criterion, round(threshold, 6) AS threshold, round(value, 9) AS value FROM best WHERE r = 1""",
 )
 def best_threshold(spark, folder):
-    rows = S.scored(spark, folder)
-    both = [
-        metrics.best_threshold(rows, "y", "prob", c, group=["lang"]).withColumn("criterion", F.lit(c))
-        for c in ("f1", "youden")
-    ]
-    return both[0].unionByName(both[1]).select(
+    return metrics.best_thresholds(S.scored(spark, folder), "y", "prob", group=["lang"]).select(
         "lang", "criterion", F.round("threshold", 6).alias("threshold"), F.round("value", 9).alias("value")
     )
 

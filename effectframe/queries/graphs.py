@@ -162,9 +162,7 @@ _UNION_SQL = " UNION ALL ".join(
 )
 
 
-@query(
-    "random_walks",
-    f"""WITH {S.EDGES_SQL},
+_WALKS_SQL = f"""{S.EDGES_SQL},
     ways AS (SELECT src AS node, dst AS neighbor FROM edges UNION ALL SELECT dst, src FROM edges),
     adj AS (
       SELECT b.node, neighbor, d.degree AS neighbor_degree,
@@ -172,16 +170,48 @@ _UNION_SQL = " UNION ALL ".join(
       FROM ways b JOIN degree d ON d.node = neighbor
     ),
     w0 AS (SELECT node || '#' || i AS walk, node, degree FROM degree, unnest([0, 1]) AS u(i)),
-    {_STEP_SQL}
-    {_UNION_SQL}""",
-)
+    {_STEP_SQL}"""
+
+
+@query("random_walks", f"WITH {_WALKS_SQL} {_UNION_SQL}")
 def random_walks(spark, folder):
     found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
     return found.select("walk", F.posexplode("nodes").alias("step", "node"))
 
 
-@query("walk_embeddings")
+@query(
+    "walk_embeddings",
+    f"""WITH {_WALKS_SQL},
+    steps AS ({_UNION_SQL}),
+    met AS (
+      SELECT x.node AS a, y.node AS b FROM steps x JOIN steps y
+      ON x.walk = y.walk AND x.step <> y.step AND abs(x.step - y.step) <= 3
+    ),
+    counts AS (SELECT a, b, count(*) AS n FROM met GROUP BY 1, 2),
+    sizes AS (SELECT a, sum(n) AS total FROM counts GROUP BY 1),
+    weighed AS (
+      SELECT c.a, ('0x' || substr(md5(c.b), 1, 8))::BIGINT AS digest,
+        CAST(round(greatest(ln(CAST(n AS DOUBLE) * (SELECT sum(n) FROM counts)
+          / (CAST(s.total AS DOUBLE) * CAST(t.total AS DOUBLE))), 0.0) * 1e6) AS BIGINT) AS w
+      FROM counts c JOIN sizes s ON s.a = c.a JOIN sizes t ON t.a = c.b
+    ),
+    slots AS (
+      SELECT a, (digest // 2) % 16 AS slot, sum(CASE WHEN digest % 2 = 0 THEN w ELSE -w END) AS w FROM weighed GROUP BY 1, 2
+    )
+    SELECT substr(n.a, 4) AS gene, CAST(d AS INTEGER) AS dim,
+      round(CAST(CAST(coalesce(s.w, 0) / 1e6 AS FLOAT) AS DOUBLE), 4) AS x
+    FROM (SELECT DISTINCT a FROM counts WHERE a LIKE 'G::%') n CROSS JOIN unnest(range(16)) AS u(d)
+    LEFT JOIN slots s ON s.a = n.a AND s.slot = d""",
+)
 def walk_embeddings(spark, folder):
+    found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
+    genes = walks.gene_vectors(walks.context_vectors(found, dim=16, context=3))
+    dims = genes.select("gene", F.posexplode("vec").alias("dim", "x"))
+    return dims.withColumn("x", F.round(F.col("x").cast("double"), 4))
+
+
+@query("skip_gram_genes")
+def skip_gram_genes(spark, folder):
     """Skip-gram training is iterative: rows only."""
     found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
     genes = walks.gene_vectors(walks.skip_gram_vectors(found, dim=16, context=3))

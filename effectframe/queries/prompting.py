@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from effectframe.functions import text
 from effectframe.operators import prompts
-from effectframe.queries.base import query, spread, table
+from effectframe.queries.base import query, table
 
 
 def _fields(spark, folder):
     """Prompt fields of every order, some of them blank, missing or ``nan``."""
-    orders, customers = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
+    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     return joined.select(
@@ -139,7 +139,7 @@ def notation_counts(spark, folder):
 )
 def prompt_source_diff(spark, folder):
     fields = _fields(spark, folder)
-    return prompts.source_diff(fields, prompts.blank_fields(fields, ["hgvsp"]), "o_orderkey")
+    return prompts.source_diff(fields, ["hgvsp"], "o_orderkey")
 
 
 @query("sha_prefix", "SELECT doc_id, substr(sha256(text), 1, 10) AS sha FROM documents")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from effectframe.functions import text, vectors
 from effectframe.operators import audit, sequences, windows
 from effectframe.queries import standins as S
-from effectframe.queries.base import query, spread, table
+from effectframe.queries.base import query, table
 from effectframe.session import cut_lineage
 
 _CODES = 8
@@ -15,7 +15,7 @@ _CODES = 8
 
 def _windows(spark, folder):
     """Windows of all loci; the bins are a stored table, as for a real reference."""
-    bins = cut_lineage(windows.bins_from_sequences(S.contigs(spark, folder), S.BIN, S.BIN // 2))
+    bins = cut_lineage(windows.bins_from_pieces(S.contig_pieces(spark, folder), S.BIN, S.BIN // 2))
     found = windows.variant_windows(
         S.loci(spark, folder), bins, S.WINDOW, bin_size=S.BIN, halo=S.BIN // 2
     )
@@ -29,7 +29,7 @@ def _windows(spark, folder):
     FROM contigs, unnest(range((length(seq) + {S.BIN - 1}) // {S.BIN})) AS u(b)""",
 )
 def reference_bins(spark, folder):
-    return windows.bins_from_sequences(S.contigs(spark, folder), S.BIN, S.BIN // 2)
+    return windows.bins_from_pieces(S.contig_pieces(spark, folder), S.BIN, S.BIN // 2)
 
 
 @query(
@@ -50,7 +50,8 @@ def variant_windows(spark, folder):
 @query(
     "window_rejects",
     f"""WITH {S.WINDOWS_SQL}
-    SELECT VariationID, CASE WHEN lost THEN 'contig missing'
+    SELECT VariationID, CASE WHEN lost THEN 'contig missing' WHEN pos IS NULL THEN 'no position'
+      WHEN ref IS NULL THEN 'no reference allele' WHEN alt IS NULL THEN 'no alternate allele'
       WHEN win_start > (len + {S.BIN - 1}) // {S.BIN} * {S.BIN} THEN 'position outside contig'
       ELSE 'reference mismatch' END AS reject_reason
     FROM checked WHERE NOT ok""",
@@ -60,6 +61,27 @@ def window_rejects(spark, folder):
     return windows.rejected_variants(found, bins).select("VariationID", "reject_reason")
 
 
+@query(
+    "window_rows",
+    """SELECT 'kept or rejected' AS kind, count(*) AS n FROM lineitem
+    UNION ALL SELECT 'loci', count(*) FROM lineitem
+    UNION ALL SELECT 'without position or allele', count(*) FROM lineitem
+      WHERE l_orderkey % 97 = 0 OR l_orderkey % 89 = 1 OR l_orderkey % 83 = 2""",
+)
+def window_rows(spark, folder):
+    """No locus is lost or doubled between windows and rejects."""
+    found, bins = _windows(spark, folder)
+    given = S.loci(spark, folder)
+    out = windows.kept_windows(found).select("VariationID").unionByName(
+        windows.rejected_variants(found, bins).select("VariationID")
+    )
+    met = given.join(out, "VariationID")
+    lacking = given.filter("PositionVCF is null or ReferenceAlleleVCF is null or AlternateAlleleVCF is null")
+    kinds = {"loci": given, "kept or rejected": met, "without position or allele": lacking}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query(
     "stage_audit",
     f"""WITH {S.WINDOWS_SQL}
@@ -143,7 +165,7 @@ def seq_dedup(spark, folder):
     FROM slots""",
 )
 def kmer_embed(spark, folder):
-    docs = sequences.distinct_sequences(spread(table(spark, folder, "documents")), ["text"])
+    docs = sequences.distinct_sequences(table(spark, folder, "documents"), ["text"])
     encoded = sequences.kmer_encoder(4, 16)(docs)
     dims = encoded.select(F.col("seq_id").alias("digest"), F.posexplode("vec").alias("dim", "x"))
     return dims.filter(F.col("x") > 0).withColumn("x", F.round(F.col("x").cast("double"), 6))
@@ -162,7 +184,7 @@ def kmer_embed(spark, folder):
     SELECT conv_id || '-' || turn AS key, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS x FROM dims""",
 )
 def token_pooling(spark, folder):
-    chats = spread(table(spark, folder, "conversations")).select(
+    chats = table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("key"),
         F.posexplode(F.split("text", " ")).alias("pos", "token"),
     )
@@ -181,7 +203,7 @@ def token_pooling(spark, folder):
     FROM documents""",
 )
 def sanitize(spark, folder):
-    docs = spread(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
     return docs.select(
         "doc_id",
         F.md5(text.sanitize_dna(F.col("text")).cast("binary")).alias("dna"),

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from effectframe.constants import REVIEW_STATUS
 from effectframe.functions.text import sanitize_dna
-from effectframe.queries.base import spread, table
+from effectframe.queries.base import table
 from effectframe.schemas import TRANSCRIPT_SCHEMA
 
 
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """One raw variant per order, in the shape of a variant summary."""
-    orders, customers = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
+    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     gene = F.concat(F.lit("GENE"), F.col("c_custkey"))
@@ -119,7 +119,7 @@ def protein_id(key: str):
 
 def consequences(spark: SparkSession, folder: str) -> DataFrame:
     """One nested record per order; its lines are the transcripts, in a fixed order."""
-    orders, lines = (spread(table(spark, folder, n)) for n in ("orders", "lineitem"))
+    orders, lines = (table(spark, folder, n) for n in ("orders", "lineitem"))
     flag, kind = F.col("l_returnflag"), F.col("l_linestatus")
     protein = F.when(flag != "R", protein_id("l_partkey"))
     null = F.lit(None).cast("string")
@@ -230,27 +230,40 @@ joined AS (
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts as contigs over A, C, G, T, N."""
-    docs = spread(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
     return docs.select(
         F.concat(F.lit("doc"), "doc_id").alias("contig"), sanitize_dna(F.col("text")).alias("seq")
     )
 
 
+LINE = 60
+
+
+def contig_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The contigs as sequence lines with their starts, as a FASTA reader gives them."""
+    lines = F.regexp_extract_all(F.col("seq"), F.lit(f"(?s).{{1,{LINE}}}"), F.lit(0))
+    cut = contigs(spark, folder).select("contig", F.posexplode(lines).alias("k", "bases"))
+    return cut.select("contig", (F.col("k").cast("long") * LINE).alias("start"), "bases")
+
+
 def loci(spark: SparkSession, folder: str) -> DataFrame:
-    """One variant per order line on the contig of its part number."""
-    lines = spread(table(spark, folder, "lineitem"))
+    """One variant per order line on the contig of its part number, anywhere on it; some lack a position or an allele."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("l_partkey"), "n_chars")
+    lines = table(spark, folder, "lineitem").join(docs, "l_partkey", "left")
     flag, number = F.col("l_returnflag"), F.col("l_linenumber")
     ref = F.when(flag == "A", "a").when(flag == "N", "N").otherwise("NN")
     ref = F.when(number == 7, F.repeat(F.lit("N"), 3)).otherwise(ref)
+    span = F.greatest(F.coalesce("n_chars", F.lit(3000)), F.lit(1))
+    place = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_suppkey") * 13, span) + 1
+    alt = F.element_at(F.array(*[F.lit(a) for a in ("C", "g", "T", "AC", "GTT", "A", "")]), number)
+    order = F.col("l_orderkey")
     return lines.select(
         line_id().alias("VariationID"),
         "l_returnflag",
         F.concat(F.lit("doc"), "l_partkey").alias("ChromosomeAccession"),
-        (F.pmod(F.col("l_orderkey") * 7 + F.col("l_suppkey") * 13, F.lit(3000)) + 1).alias("PositionVCF"),
-        ref.alias("ReferenceAlleleVCF"),
-        F.element_at(F.array(*[F.lit(a) for a in ("C", "g", "T", "AC", "GTT", "A", "")]), number).alias(
-            "AlternateAlleleVCF"
-        ),
+        F.when(order % 97 != 0, place).alias("PositionVCF"),
+        F.when(order % 89 != 1, ref).alias("ReferenceAlleleVCF"),
+        F.when(order % 83 != 2, alt).alias("AlternateAlleleVCF"),
     )
 
 
@@ -263,11 +276,11 @@ contigs AS (
 ),
 loci AS (
   SELECT {LINE_ID_SQL} AS VariationID, l_returnflag, 'doc' || l_partkey AS contig,
-    (l_orderkey * 7 + l_suppkey * 13) % 3000 + 1 AS pos,
-    CASE WHEN l_linenumber = 7 THEN 'NNN' WHEN l_returnflag = 'A' THEN 'A'
+    CASE WHEN l_orderkey % 97 <> 0 THEN (l_orderkey * 7919 + l_suppkey * 13) % greatest(coalesce(n_chars, 3000), 1) + 1 END AS pos,
+    CASE WHEN l_orderkey % 89 = 1 THEN NULL WHEN l_linenumber = 7 THEN 'NNN' WHEN l_returnflag = 'A' THEN 'A'
       WHEN l_returnflag = 'N' THEN 'N' ELSE 'NN' END AS ref,
-    ['C', 'G', 'T', 'AC', 'GTT', 'A', ''][l_linenumber] AS alt
-  FROM lineitem
+    CASE WHEN l_orderkey % 83 <> 2 THEN ['C', 'G', 'T', 'AC', 'GTT', 'A', ''][l_linenumber] END AS alt
+  FROM lineitem LEFT JOIN documents ON doc_id = l_partkey
 ),
 cut AS (
   SELECT loci.*, c.contig IS NULL AS lost, length(c.seq) AS len,
@@ -278,7 +291,7 @@ cut AS (
 ),
 checked AS (
   SELECT *, pos - win_start AS rel,
-    coalesce(substr(slice, pos - win_start + 1, length(ref)) = ref, false) AS ok
+    coalesce(substr(slice, pos - win_start + 1, length(ref)) = ref, false) AND alt IS NOT NULL AND pos IS NOT NULL AS ok
   FROM cut
 ),
 windows AS (

@@ -39,7 +39,7 @@ def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 
 def read_table(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """A table by suffix: parquet, orc, json, csv, anything else tab-separated."""
+    """A table by suffix: parquet, orc, json (one object per line), csv, or tab-separated tsv, tab and txt."""
     if isinstance(source, DataFrame):
         return source
     spark = spark or SparkSession.active()
@@ -50,7 +50,15 @@ def read_table(source: str | DataFrame, spark: SparkSession | None = None) -> Da
         return spark.read.parquet(source)
     if name.endswith((".feather", ".ft", ".arrow")):
         raise ValueError("convert feather files to parquet first; Spark reads no feather")
-    return _delimited(spark, source, "," if name.endswith(".csv") else "\t")
+    if name.endswith(".orc"):
+        return spark.read.orc(source)
+    if name.endswith((".json", ".jsonl", ".ndjson")):
+        return spark.read.json(source)
+    if name.endswith(".csv"):
+        return _delimited(spark, source, ",")
+    if name.endswith((".tsv", ".tab", ".txt")):
+        return _delimited(spark, source, "\t")
+    raise ValueError(f"unknown kind of table: {source}")
 
 
 def read_consequences(spark: SparkSession, path: str) -> DataFrame:

@@ -62,11 +62,15 @@ def test_read_table_by_suffix(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t.parquet"))
     (tmp_path / "t.csv").write_text("x,y\na,1\n")
     (tmp_path / "t.txt").write_text("x\ty\na\t1\n")
-    for name in ("t.parquet", "t.csv", "t.txt"):
+    df.write.orc(str(tmp_path / "t.orc"))
+    (tmp_path / "t.json").write_text('{"x": "a", "y": "1"}\n')
+    for name in ("t.parquet", "t.csv", "t.txt", "t.orc", "t.json"):
         assert [tuple(r) for r in read_table(str(tmp_path / name), spark).collect()] == [("a", "1")]
     assert read_table(df) is df
     with pytest.raises(ValueError):
         read_table("t.feather", spark)
+    with pytest.raises(ValueError):
+        read_table("t.xyz", spark)
 
 
 def test_contracts(spark):

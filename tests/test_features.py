@@ -101,7 +101,7 @@ def test_blanking(spark):
     before = prompts.real_notation_counts(df, prompts.prompt_columns(df)).first()
     after = prompts.real_notation_counts(prompts.blank_prompts(df), prompts.prompt_columns(df)).first()
     assert tuple(before) == (1, 1) and tuple(after) == (0, 0)
-    diff = prompts.source_diff(df, prompts.blank_fields(df, ["hgvsp"]), "k").collect()
+    diff = prompts.source_diff(df, ["hgvsp"], "k").collect()
     # "nan" and a blank are the same source text.
     assert {r["k"] for r in diff} == {"a"} and all(len(r["sha_after"]) == 10 for r in diff)
 
@@ -246,8 +246,8 @@ def test_pipeline_end_to_end(spark, tmp_path):
         F.lit("ENSP1").alias("protein_id_norm"), F.concat(F.lit("p.A"), "id", F.lit("G")).alias("hgvsp_norm"),
         F.lit("MKTAYIGK").alias("seq_mt"),
     )
-    bins = windows.bins_from_sequences(
-        spark.createDataFrame([("NC_1.1", genome)], "contig string, seq string"), 64, 32
+    bins = windows.bins_from_pieces(
+        spark.createDataFrame([("NC_1.1", 0, genome)], "contig string, start long, bases string"), 64, 32
     )
     annotated, combined = plans.annotated_splits(raw, nested, wt, mt)
     settings = plans.EffectSettings(window=6, dna_dim=8, protein_dim=4, go_dim=2, bin_size=64, halo=32)

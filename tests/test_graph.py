@@ -1,5 +1,7 @@
 import gzip
+import hashlib
 import json
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -106,9 +108,27 @@ def test_vectors(spark, hub):
     rows = vecs.collect()
     assert {r["gene"] for r in rows} == {f"g{i}" for i in range(60)}
     assert all(len(r["vec"]) == 8 for r in rows)
-    with pytest.raises(ValueError):
-        big = spark.createDataFrame([(["a", "b"],)], "nodes array<string>")
-        walks.skip_gram_vectors(big, dim=1 << 30)
+    counted = genes.gene_vectors(hub, dim=8, walk_length=5, walks_per_node=1, context=2, skip_gram=False).collect()
+    assert {r["gene"] for r in counted} == {f"g{i}" for i in range(60)}
+
+
+def test_context_vectors_by_brute_force(spark):
+    found = [("w1", ["a", "b", "c", "a"]), ("w2", ["b", "b", "d"]), ("w3", ["e"])]
+    frame = spark.createDataFrame(found, "walk string, nodes array<string>")
+    got = {r["node"]: r["vec"] for r in walks.context_vectors(frame, 4, 2).collect()}
+    n = Counter((x, y) for _, w in found for i, x in enumerate(w) for j, y in enumerate(w) if i != j and abs(i - j) <= 2)
+    size = Counter()
+    for (x, _), k in n.items():
+        size[x] += k
+    for x in size:
+        vec = [0.0] * 4
+        for (a, b), k in n.items():
+            if a == x:
+                digest = int(hashlib.md5(b.encode()).hexdigest()[:8], 16)
+                weight = max(0.0, math.log(k * sum(n.values()) / (size[a] * size[b])))
+                vec[digest // 2 % 4] += weight if digest % 2 == 0 else -weight
+        assert got[x] == pytest.approx(vec, abs=1e-5)
+    assert set(got) == set(size)
 
 
 def test_sweep_picks_the_best_trial(spark):
@@ -129,6 +149,10 @@ def test_sweep_picks_the_best_trial(spark):
     table, best = genes.sweep(rows, rows, frame, terms, [setting])
     assert table.count() == 1 and best["trial"] == 0
     assert set(best["scores"]) >= {"delta_roc", "delta_pr", "dna_roc", "both_pr"}
-    assert len(list(genes.grid())) == 3 * 2 * 3 * 3 * 3 * 2 * 2
+    assert len(list(genes.grid({"dim": [4, 8], "epochs": [1]}))) == 2
+    vecs = genes.refit(best["setting"] | setting, frame, terms)
+    assert vecs.filter("size(vec) = 4").count() > 0
+    with pytest.raises(ValueError):
+        genes.sweep(rows, rows, frame, terms, [setting | {"batch_size": 2}])
     with pytest.raises(ValueError):
         genes.sweep(rows, rows, frame, terms, [])

@@ -19,12 +19,21 @@ def test_salted_join_equals_plain_join(spark):
         joins.salted_join(left, right.withColumnRenamed("w", "v"), ["k"], counts)
 
 
-def test_lookup_join_both_ways(spark):
-    left = spark.range(10).select((F.col("id") % 4).alias("k"))
-    lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
-    small = joins.lookup_join(left, lookup, ["k"])
-    large = joins.lookup_join(left, lookup, ["k"], max_rows=1)
-    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+def test_any_number_of_hot_keys_is_salted(spark):
+    left = spark.range(60_000).select((F.col("id") % 12_000).alias("k"), "id")
+    right = spark.range(12_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = joins.salted_join(left, right, ["k"], counts, hot_rows=2)
+    assert got.filter("w = 2 * k").count() == 60_000
+
+
+def test_hot_keys_are_relative_to_the_table(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.createDataFrame([(0, 1), (700, 2)], "k long, w int")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = joins.salted_join(left, right, ["k"], counts)
+    assert sorted(got.collect(), key=str) == sorted(left.join(right, "k", "left").collect(), key=str)
+    assert joins.salted_join(left.limit(0), right, ["k"], counts.limit(0)).collect() == []
 
 
 def test_null_safe_join(spark):

@@ -92,8 +92,8 @@ def test_windows_match_plain_slicing(spark):
         pos = 77 if i % 3 == 0 else rng.randint(1, len(contigs[name]))
         size = rng.choice((1, 1, 2, 40, 90))
         loci.append((f"v{i}", name, pos, contigs[name][pos - 1 : pos - 1 + size], rng.choice(("A", "GT", ""))))
-    frame = spark.createDataFrame(list(contigs.items()), "contig string, seq string")
-    bins = windows.bins_from_sequences(frame, 32, 16)
+    frame = spark.createDataFrame([(c, 0, s) for c, s in contigs.items()], "contig string, start long, bases string")
+    bins = windows.bins_from_pieces(frame, 32, 16)
     cut = windows.variant_windows(spark.createDataFrame(loci, SCHEMA), bins, 5, bin_size=32, halo=16)
     got = {r["VariationID"]: (r["dna_ref_seq"], r["dna_alt_seq"]) for r in cut.collect()}
     for key, name, pos, ref, alt in loci:
@@ -105,7 +105,7 @@ def test_windows_match_plain_slicing(spark):
 
 def test_bins_reject_wide_halo(spark):
     with pytest.raises(ValueError):
-        windows.bins_from_sequences(spark.createDataFrame([("a", "A")], "contig string, seq string"), 8, 9)
+        windows.bins_from_pieces(spark.createDataFrame([("a", 0, "A")], "contig string, start long, bases string"), 8, 9)
 
 
 def test_protein_fastas(spark, tmp_path):
@@ -136,22 +136,22 @@ def test_effects_through_builtin_encoder(spark):
         assert len(r["vec"]) == 16 and abs(norm - (1.0 if r["id"] % 2 else 0.0)) < 1e-5
 
 
-def test_both_encoder_forms_agree(spark):
+def test_encoder_of_any_size(spark):
     df = spark.createDataFrame([("x", "ACGTACGTTT"), ("y", "AC")], "seq_id string, seq string")
-    small = {r[0]: r[1] for r in sequences.kmer_encoder(3, 8)(df).collect()}
-    sequences.SUMMED_SLOTS, kept = 0, sequences.SUMMED_SLOTS
-    try:
-        large = {r[0]: r[1] for r in sequences.kmer_encoder(3, 8)(df).collect()}
-    finally:
-        sequences.SUMMED_SLOTS = kept
-    assert small == large and abs(sum(small["x"]) - 1) < 1e-6
-
-
-def test_truncation_is_the_encoders_choice(spark):
-    df = spark.createDataFrame([("x", "AAAACCCC")], "seq_id string, seq string")
-    whole = {r["token"]: r["n"] for r in sequences.kmer_counts(df, 4).collect()}
-    cut = {r["token"]: r["n"] for r in sequences.kmer_counts(df, 4, max_length=1).collect()}
-    assert len(whole) == 5 and cut == {"AAAA": 1}
+    for dim in (8, 200):
+        vecs = {r[0]: r[1] for r in sequences.kmer_encoder(3, dim)(df).collect()}
+        assert all(len(v) == dim and abs(sum(v) - 1) < 1e-6 for v in vecs.values())
+
+
+def test_windows_keep_rows_without_position_or_allele(spark):
+    bins = windows.bins_from_pieces(spark.createDataFrame([("k", 0, "ACGT" * 30)], "contig string, start long, bases string"), 32, 16)
+    rows = [("a", "k", 5, "A", "C"), ("a", "k", 5, "A", "C"), (None, "k", 5, "A", "G"), ("b", "k", None, "A", "C"), ("c", "k", 5, None, "C"), ("d", "k", 5, "A", None), ("e", None, 5, "A", "C"), ("f", "k", 1, "ACGT" * 25, "A"), ("f", "k", 1, "ACGT" * 25, "T")]
+    cut = windows.variant_windows(spark.createDataFrame(rows, SCHEMA), bins, 3, bin_size=32, halo=16)
+    got = sorted(((r.VariationID, r.reject_reason, r.dna_alt_seq) for r in cut.collect()), key=str)
+    tail = "ACG"
+    want = [("a", None, "CGTCCGT"), ("a", None, "CGTCCGT"), (None, None, "CGTGCGT"), ("b", "no position", None), ("c", "no reference allele", None)]
+    want += [("d", "no alternate allele", None), ("e", "position outside contig", None), ("f", None, "A" + tail), ("f", None, "T" + tail)]
+    assert got == sorted(want, key=str)
 
 
 def test_plug_in_encoder(spark):
