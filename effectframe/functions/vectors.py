@@ -100,16 +100,29 @@ def zero_ranges(vec: Column, ranges: Sequence[tuple[int, int]]) -> Column:
     return F.transform(vec, blank)
 
 
-def _uniform(key: Column, index: Column, seed: int, stream: int) -> Column:
-    """Uniform in (0, 1) from 52 hash bits; the same row gives the same number."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), key, index), 12)
-    return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
+PRIME = (1 << 31) - 1
 
 
-def gaussian(key: Column, index: Column, seed: int) -> Column:
-    """Standard normal number by the Box-Muller transform of two hashes."""
-    radius = F.sqrt(-2.0 * F.ln(_uniform(key, index, seed, 1)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * _uniform(key, index, seed, 2))
+def _start(key: Column, seed: int) -> Column:
+    """Two numbers below ``PRIME`` from the digest of seed and key, where a row's draws start."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    head = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long") % F.lit(PRIME)
+    return F.struct(head(1).alias("a"), head(17).alias("b"))
+
+
+def _uniform(start: Column, index: Column) -> Column:
+    """Uniform in (0, 1): two squarings modulo a prime, in integers any engine has."""
+    prime = F.lit(PRIME)
+    first = (start + index.cast("long") * 48271) % prime
+    second = (first * first + index.cast("long") + 1) % prime
+    third = (second * 69621 + start) % prime
+    return ((third * third + 7) % prime + 0.5) / F.lit(float(PRIME))
+
+
+def gaussian(start: Column, index: Column) -> Column:
+    """Standard normal number by the Box-Muller transform of two draws."""
+    radius = F.sqrt(-2.0 * F.ln(_uniform(start["a"], index)))
+    return radius * F.cos(F.lit(2.0) * F.pi() * _uniform(start["b"], index))
 
 
 def add_noise(
@@ -120,15 +133,18 @@ def add_noise(
         population_std(vec) + F.lit(NOISE_STD_EPSILON)
     )
     return let(
-        sigma,
+        F.struct(sigma.alias("sigma"), _start(key, seed).alias("start")),
         lambda s: F.transform(
-            vec, lambda x, i: (x.cast("double") + s * gaussian(key, i, seed)).cast("float")
+            vec, lambda x, i: (x.cast("double") + s["sigma"] * gaussian(s["start"], i)).cast("float")
         ),
     )
 
 
 def pure_noise(vec: Column, key: Column, seed: int, std: float = 1.0) -> Column:
-    return F.transform(vec, lambda x, i: (F.lit(float(std)) * gaussian(key, i, seed)).cast("float"))
+    return let(
+        _start(key, seed),
+        lambda s: F.transform(vec, lambda x, i: (F.lit(float(std)) * gaussian(s, i)).cast("float")),
+    )
 
 
 def signal_to_noise(before: Column, after: Column) -> Column:

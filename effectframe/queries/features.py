@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effectframe.functions import vectors
-from effectframe.operators import ablation, features, probes
+from effectframe.operators import ablation, curate, features, probes
 from effectframe.operators.features import Blocks
 from effectframe.queries.base import query, table
 from effectframe.session import cut_lineage
@@ -135,14 +135,49 @@ def feature_coverage(spark, folder):
 
 @query(
     "feature_violations",
-    """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS label_missing, CAST(0 AS BIGINT) AS label_not_binary,
-      CAST(0 AS BIGINT) AS vector_missing, CAST(0 AS BIGINT) AS vector_wrong_size,
-      CAST(0 AS BIGINT) AS vector_not_finite FROM embeddings""",
+    """SELECT count(*) AS n_rows, count_if(label = 3) AS label_missing, count_if(label = 4) AS label_not_binary,
+      count_if(vec_id % 7 = 1) AS vector_missing, count_if(vec_id % 7 = 2) AS vector_wrong_size,
+      count_if(vec_id % 7 IN (3, 4)) AS vector_not_finite FROM embeddings""",
 )
 def feature_violations(spark, folder):
-    from effectframe.operators.curate import feature_violations as check
+    """Features of which some lack a label or a vector, or have a wrong one."""
+    kind, x = F.col("vec_id") % 7, F.col("x")
+    odd = F.when(kind == 3, F.lit(float("nan")))
+    broken = _embeddings(spark, folder).select(
+        F.when(F.col("label") == 4, 2).when(F.col("label") != 3, 1).alias("_y"),
+        F.when(kind == 2, F.slice(x, 1, 10))
+        .when(kind.isin(3, 4), F.concat(F.slice(x, 1, 63), F.array(odd.cast("float"))))
+        .when(kind != 1, x)
+        .alias("x"),
+    )
+    return curate.feature_violations(broken, "_y", "x", 64)
+
 
-    return check(_feature_table(spark, folder), "_y", "x", BLOCKS.total)
+@query(
+    "feature_repeats",
+    """WITH sides AS (SELECT vec_id % 50 AS k, min(embedding) AS v FROM embeddings GROUP BY 1)
+    SELECT e.vec_id, round(CAST(d.v[1] AS DOUBLE), 5) AS dna_first,
+      round(CAST(CASE WHEN e.vec_id % 3 = 0 THEN 0 ELSE d.v[64] END AS DOUBLE), 5) AS prot_last,
+      e.vec_id % 3 <> 0 AS has_protein
+    FROM embeddings e JOIN sides d ON d.k = e.vec_id % 50""",
+)
+def feature_repeats(spark, folder):
+    """Keys which repeat on both sides, and empty ones: as many features as rows."""
+    rows = _embeddings(spark, folder)
+    key = (F.col("vec_id") % 50).cast("string")
+    meta = rows.select(
+        "vec_id", key.alias("row_key"), F.when(F.col("vec_id") % 3 == 0, "").otherwise(key).alias("variation_key"), F.lit(1).alias("_y")
+    )
+    dna = rows.select(key.alias("row_key"), F.col("x").alias("vec"))
+    prot = rows.select(key.alias("variation_key"), F.col("x").alias("vec"))
+    prot = prot.unionByName(rows.select(F.lit("").alias("variation_key"), F.col("x").alias("vec")))
+    table_ = features.assemble_features(meta, dna, None, prot, Blocks(dna=64, go=0, prot=64))
+    return table_.select(
+        "vec_id",
+        F.round(F.get("x", 0).cast("double"), 5).alias("dna_first"),
+        F.round(F.get("x", 127).cast("double"), 5).alias("prot_last"),
+        "has_protein",
+    )
 
 
 @query(
@@ -172,24 +207,42 @@ def ablate_scale(spark, folder):
         row_number() OVER (PARTITION BY label ORDER BY md5('13:source:' || vec_id), vec_id) AS b
       FROM embeddings
     )
-    SELECT r.vec_id, round(CAST(s.embedding[1] AS DOUBLE), 6) AS first, round(CAST(s.embedding[64] AS DOUBLE), 6) AS last
-    FROM r JOIN r s ON s.label = r.label AND s.b = r.a""",
+    SELECT r.vec_id, CAST(i - 1 AS INTEGER) AS dim, round(CAST(s.embedding[i] AS DOUBLE), 6) AS x
+    FROM r JOIN r s ON s.label = r.label AND s.b = r.a, unnest(range(1, 65)) AS u(i)""",
 )
 def ablate_permute(spark, folder):
     moved = ablation.permute_vectors(_embeddings(spark, folder), "vec_id", group=["label"])
-    return moved.select(
-        "vec_id",
-        F.round(F.get("x", 0).cast("double"), 6).alias("first"),
-        F.round(F.get("x", 63).cast("double"), 6).alias("last"),
-    )
+    dims = moved.select("vec_id", F.posexplode("x").alias("dim", "x"))
+    return dims.withColumn("x", F.round(F.col("x").cast("double"), 6))
+
 
+def _draw_sql(start: str) -> str:
+    second = f"((({start} + dim * 48271) % 2147483647) * (({start} + dim * 48271) % 2147483647) + dim + 1) % 2147483647"
+    third = f"((({second}) * 69621 + {start}) % 2147483647)"
+    return f"((({third} * {third} + 7) % 2147483647 + 0.5::DOUBLE) / 2147483647::DOUBLE)"
 
-@query("ablate_noise")
+
+@query(
+    "ablate_noise",
+    f"""WITH dims AS (
+      SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) AS x,
+        ('0x' || substr(md5('13:' || vec_id), 1, 12))::BIGINT % 2147483647 AS a,
+        ('0x' || substr(md5('13:' || vec_id), 17, 12))::BIGINT % 2147483647 AS b
+      FROM embeddings, unnest(range(1, 65)) AS u(i)
+    ),
+    noisy AS (
+      SELECT vec_id, x, CAST(CAST(x + 1.5 * sqrt(-2 * ln({_draw_sql('a')})) * cos(2 * pi() * {_draw_sql('b')}) AS FLOAT) AS DOUBLE) AS y
+      FROM dims
+    )
+    SELECT vec_id, round(sqrt(sum(x * x)), 4) AS norm_before, round(sqrt(sum(y * y)), 4) AS norm_after,
+      round((stddev_pop(x) + 1e-8) / (stddev_pop(y - x) + 1e-8), 4) AS snr
+    FROM noisy GROUP BY 1""",
+)
 def ablate_noise(spark, folder):
-    """Seeded noise: hashes which SQL engines do not share, so rows only."""
     rows = _embeddings(spark, folder)
     noisy = rows.withColumn("noisy", vectors.add_noise(F.col("x"), F.col("vec_id"), 13, std=1.5))
-    return ablation.noise_report(noisy, "vec_id", "x", "noisy")
+    report = ablation.noise_report(noisy, "vec_id", "x", "noisy")
+    return report.withColumns({c: F.round(c, 4) for c in ("norm_before", "norm_after", "snr")})
 
 
 def _stored(df):
