@@ -34,10 +34,10 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of text per range of documents, and per step inside a task.
 CELL_BYTES = 12 << 20
-_STEP = 1 << 20
-_FLUSH = 4 << 20
-#: Shards per shuffle partition: a shard is held in memory, a partition is not.
-SHARDS = 4
+_STEP = 1 << 17
+_FLUSH = 8 << 20
+#: Shards per shuffle partition; a shard is held in memory.
+SHARDS = 1
 NO_ID = (1 << 63) - 1
 
 
@@ -137,17 +137,29 @@ def _unpack(blob: bytes, count: int, kinds: list[str]) -> list[np.ndarray]:
     return [*out, np.frombuffer(body, np.uint8, len(body) - at, at)]
 
 
+_BLOBS = pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())])
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte, so that empty bytes compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+
+
+def _unplaned(planes: np.ndarray, count: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes[: 8 * count].reshape(8, count).T).view(kind).ravel()
+
+
 def _deltas(values: np.ndarray) -> np.ndarray:
-    """Ascending numbers as differences, byte by byte, so that empty bytes compress away."""
-    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    """Ascending numbers as differences, byte by byte."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def _undeltas(planes: np.ndarray, count: int) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, count).T).view(np.uint64).ravel())
+    return np.cumsum(_unplaned(planes, count, np.uint64))
 
 
 def _anchor_blobs(length: int, shards: int):
-    """Map side, from rows (cell, id, text): distinct anchors per (cell, shard), marked where two documents have them."""
+    """Map side, from rows (cell, id, text): distinct anchors per cell, by shard, marked where two documents have them."""
 
     def flush(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         cells = np.array([r[0] for r in rows], np.int64)
@@ -155,21 +167,25 @@ def _anchor_blobs(length: int, shards: int):
         for buffer, number, start, _, _, offset in cut_pieces([r[2] for r in rows], length):
             parts.append((number, _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]))
         number, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-        cell, shard = cells[number], (anchor % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((number, anchor, shard, cell))
-        cell, shard, anchor, number = cell[order], shard[order], anchor[order], number[order]
-        group = np.r_[True, (cell[1:] != cell[:-1]) | (shard[1:] != shard[:-1])]
-        head = np.flatnonzero(group | np.r_[True, anchor[1:] != anchor[:-1]])
+        cell = cells[number]
+        order = np.argsort(anchor, kind="stable")
+        cell, anchor, number = cell[order], anchor[order], number[order]
+        # Few anchors stand in several rows here; only those are ordered by cell as well.
+        same = anchor[1:] == anchor[:-1]
+        tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        by = tied[np.lexsort((number[tied], cell[tied], anchor[tied]))]
+        cell[tied], number[tied] = cell[by], number[by]
+        head = np.flatnonzero(np.r_[True, ~same | (cell[1:] != cell[:-1])])
         many = number[head] < number[np.append(head[1:], len(number)) - 1]
-        cell, shard, anchor, cuts = cell[head], shard[head], anchor[head], np.flatnonzero(group[head])[1:]
-        out: dict[str, list] = {"shard": [], "cell": [], "count": [], "blob": []}
-        for part in np.split(np.arange(len(head)), cuts):
+        cell, anchor = cell[head], anchor[head]
+        shard = (anchor % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        out: dict[str, list] = {"shard": [], "count": [], "blob": []}
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             out["shard"].append(int(shard[part[0]]))
-            out["cell"].append(int(cell[part[0]]))
             out["count"].append(len(part))
-            out["blob"].append(_pack(many[part].view(np.uint8), _deltas(anchor[part])))
-        kinds = [("shard", pa.int32()), ("cell", pa.int64()), ("count", pa.int32()), ("blob", pa.binary())]
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema(kinds))
+            out["blob"].append(_pack(many[part].view(np.uint8), _deltas(anchor[part]), _planes(cell[part])))
+        yield pa.RecordBatch.from_pydict(out, schema=_BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
@@ -196,11 +212,11 @@ _PER_CELL = pa.schema([("cell", pa.int64()), ("count", pa.int32()), ("blob", pa.
 def _repeated_anchors(table: pa.Table) -> pa.Table:
     """Shard side: for each range of documents, its anchors that stand in more than one document."""
     marks, anchors, cells = [], [], []
-    for cell, count, blob in zip(*(table.column(c).to_pylist() for c in ("cell", "count", "blob")), strict=True):
+    for count, blob in zip(table.column("count").to_pylist(), table.column("blob").to_pylist(), strict=True):
         mark, planes = _unpack(blob, count, ["u1"])
         marks.append(mark)
         anchors.append(_undeltas(planes, count))
-        cells.append(np.full(count, cell))
+        cells.append(_unplaned(planes[8 * count :], count, np.int64))
     many, anchor, cell = (np.concatenate(x) for x in (marks, anchors, cells))
     order = np.argsort(anchor, kind="stable")
     head = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
@@ -218,9 +234,6 @@ def _repeated_anchors(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(out, schema=_PER_CELL)
 
 
-_BLOBS = pa.schema([("shard", pa.int32()), ("count", pa.int32()), ("blob", pa.binary())])
-
-
 def _piece_blobs(length: int, shards: int):
     """Range side: folded pieces of a cell under repeated anchors, by shard. Columns of the documents: cell, id, text."""
 
@@ -241,8 +254,7 @@ def _piece_blobs(length: int, shards: int):
         offsets, shard_of = [], []
         for buffer, number, start, _, size, offset in cut_pieces(texts, length):
             anchor = _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]
-            at = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
-            known = np.flatnonzero(repeated[at] == anchor)
+            known = _under(anchor, repeated)
             base = len(docs_of)
             docs_of += ids[number[known]].tolist()
             many += bytes(len(known))
@@ -352,35 +364,47 @@ def _answer(length: int):
             out["cell"].append(int(cell[part[0]]))
             out["count"].append(len(part))
             out["total"].append(len(flat))
-            out["blob"].append(_pack(names, per.astype(np.int32), count[flat].astype(np.int32), value[flat]))
+            out["blob"].append(_pack(names, by_piece[own], per.astype(np.int32), count[flat].astype(np.int32), value[flat]))
         kinds = [("cell", pa.int64()), ("count", pa.int32()), ("total", pa.int32()), ("blob", pa.binary())]
         return pa.Table.from_pydict(out, schema=pa.schema(kinds))
 
     return run
 
 
-def _known(answers: pa.Table) -> dict[bytes, list[tuple[int, int]]]:
+def _known(answers: pa.Table) -> tuple[np.ndarray, dict[bytes, list[tuple[int, int]]]]:
+    """(ascending anchors, runs by digest) of what the shards told a cell."""
     known: dict[bytes, list[tuple[int, int]]] = {}
+    anchors = [np.zeros(0, np.uint64)]
     for count, total, blob in zip(*(answers.column(c).to_pylist() for c in ("count", "total", "blob")), strict=True):
         body = zstandard.ZstdDecompressor().decompress(blob)
-        per = np.frombuffer(body, np.int32, count, 16 * count)
-        sizes = np.frombuffer(body, np.int32, total, 20 * count)
-        least = np.frombuffer(body, np.int64, total, 20 * count + 4 * total)
+        anchors.append(np.frombuffer(body, np.uint64, count, 16 * count))
+        per = np.frombuffer(body, np.int32, count, 24 * count)
+        sizes = np.frombuffer(body, np.int32, total, 28 * count)
+        least = np.frombuffer(body, np.int64, total, 28 * count + 4 * total)
         flat = list(zip(sizes.tolist(), least.tolist(), strict=True))
         at = 0
         for i, n in enumerate(per.tolist()):
             known[body[16 * i : 16 * i + 16]] = flat[at : at + n]
             at += n
-    return known
+    return np.unique(np.concatenate(anchors)), known
+
+
+def _under(anchors: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Positions of those ``anchors`` which are in the ascending ``among``."""
+    at = np.minimum(np.searchsorted(among, anchors), len(among) - 1)
+    return np.flatnonzero(among[at] == anchors)
 
 
-def _removed(texts: list[bytes], ids: list[int], known: dict[bytes, list[tuple[int, int]]], length: int) -> list[np.ndarray]:
+def _removed(texts: list[bytes], ids: list[int], answers: pa.Table, length: int) -> list[np.ndarray]:
     """Per text: a mask of the bytes to remove."""
     marks = [np.zeros(len(t) + 1, np.int32) for t in texts]
+    anchors, known = _known(answers)
     if known:
         digest = xxhash.xxh3_128_digest
-        for buffer, number, start, inside, size, _ in cut_pieces(texts, length):
-            spans = zip(number.tolist(), start.tolist(), inside.tolist(), size.tolist(), strict=True)
+        for buffer, number, start, inside, size, offset in cut_pieces(texts, length):
+            hashed = _anchor_hash(_words(np.frombuffer(buffer, np.uint8)))[start + offset]
+            told = _under(hashed, anchors)
+            spans = zip(number[told].tolist(), start[told].tolist(), inside[told].tolist(), size[told].tolist(), strict=True)
             for n, s, i, z in spans:
                 runs = known.get(digest(buffer[s : s + z]))
                 if runs is None:
@@ -398,12 +422,11 @@ def _apply(length: int, text_at: int, keep_text: bool):
     """Range side: documents of a cell with what the shards found. Input columns: cell, id, the documents' own."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _known(answers)
         ids = docs.column(1).to_pylist()
         column = docs.column(2 + text_at)
         given = column.to_pylist()
         texts = [(t or "").encode("utf-8", "replace") for t in given]
-        masks = _removed(texts, ids, known, length)
+        masks = _removed(texts, ids, answers, length)
         kept = [np.frombuffer(t, np.uint8)[~m].tobytes() for t, m in zip(texts, masks, strict=True)]
         if keep_text:
             # A span may start or end inside a character; its other bytes go too.
@@ -439,7 +462,7 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str, keep_text
     at_cells = celled.select("cell", number, *plain.columns)
     mine = at_cells if keep_text else at_cells.select("cell", "id", text)
     to_pieces = at_cells.select("cell", "id", F.col(text).cast("string").alias("text"))
-    anchors = to_pieces.mapInArrow(_anchor_blobs(length, shards), "shard int, cell long, count int, blob binary")
+    anchors = to_pieces.mapInArrow(_anchor_blobs(length, shards), "shard int, count int, blob binary")
     told = anchors.groupBy("shard").applyInArrow(_repeated_anchors, "cell long, count int, blob binary")
     place = text_at if keep_text else 0
     pieces = _piece_blobs(length, shards)
