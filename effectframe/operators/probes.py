@@ -13,6 +13,7 @@ from effectframe.functions import vectors
 from effectframe.operators.features import Blocks, fit_zscore
 from effectframe.operators.metrics import best_threshold, curve_areas, threshold_metrics
 from effectframe.operators.splits import balanced_sample, with_class_weight
+from effectframe.session import cut_lineage
 
 MODES = ("dna", "go", "dna+go", "prot", "dna+prot", "go+prot", "dna+go+prot")
 
@@ -73,16 +74,41 @@ def logistic_scores(
 
 def perceptron_scores(
     train: DataFrame, other: Sequence[DataFrame], dim: int, key: str, label: str = "_y",
-    hidden: int = 512, max_iter: int = 100, seed: int = 0,
+    hidden: Sequence[int] = (512, 256), max_iter: int = 100, seed: int = 0,
+    validation: DataFrame | None = None, metric: str = "roc_auc", slice_iter: int = 10, patience: int = 3,
 ) -> list[DataFrame]:
-    """``other`` frames with ``prob`` from a two-layer network on a balanced resample. Runs jobs."""
-    fit, *rest = standardized(train, other)
+    """``other`` frames with ``prob`` from a network on a balanced resample. Runs jobs.
+
+    With ``validation`` training goes on in slices of ``slice_iter`` iterations and stops
+    when ``metric`` (``roc_auc`` or ``avg_precision``) has not grown for ``patience``
+    slices; the weights of the best slice are used.
+    """
+    if metric not in ("roc_auc", "avg_precision"):
+        raise ValueError("metric must be 'roc_auc' or 'avg_precision'")
+    held = [] if validation is None else [validation]
+    fit, *rest = standardized(train, [*held, *other])
     balanced = balanced_sample(fit.select(key, label, "__v"), key, label, seed)
-    model = MultilayerPerceptronClassifier(
-        featuresCol="__v", labelCol=label, layers=[dim, hidden, max(32, hidden // 2), 2],
+    trainer = MultilayerPerceptronClassifier(
+        featuresCol="__v", labelCol=label, layers=[dim, *hidden, 2],
         maxIter=max_iter, seed=seed, probabilityCol="__p", rawPredictionCol="__raw",
         predictionCol="__pred",
-    ).fit(balanced)
+    )
+    if validation is None:
+        model = trainer.fit(balanced)
+        return [_with_probability(model.transform(d)) for d in rest]
+    # Every slice reads both again.
+    balanced, watched = cut_lineage(balanced), cut_lineage(rest.pop(0))
+    best, model, since = None, None, 0
+    for _ in range(-(-max_iter // slice_iter)):
+        now = trainer.setMaxIter(slice_iter).fit(balanced)
+        value = curve_areas(_with_probability(now.transform(watched)), label, "prob").first()[metric]
+        if best is None or value > best:
+            best, model, since = value, now, 0
+        else:
+            since += 1
+        if since >= patience:
+            break
+        trainer = trainer.setInitialWeights(now.weights)
     return [_with_probability(model.transform(d)) for d in rest]
 
 
@@ -110,7 +136,7 @@ def probe_report(scored: DataFrame, label: str = "_y", criterion: str = "youden"
 
 def score_mode(
     features: DataFrame, blocks: Blocks, mode: str, model: str = "logistic", label: str = "_y",
-    key: str = "variation_key", seed: int = 0, hidden: int = 512, max_iter: int = 100,
+    key: str = "variation_key", seed: int = 0, hidden: Sequence[int] = (512, 256), max_iter: int = 100,
 ) -> DataFrame:
     """``(mode, split, label, prob)`` of validation and test, fitted on train. Runs jobs."""
     base = features.select(
@@ -121,7 +147,8 @@ def score_mode(
         (scored,) = logistic_scores(train, [rest], label, weighted=True)
     elif model == "perceptron":
         dim = sum(getattr(blocks, b) for b in mode.split("+"))
-        (scored,) = perceptron_scores(train, [rest], dim, key, label, hidden, max_iter, seed)
+        held = rest.filter(F.col("split") == "val")
+        (scored,) = perceptron_scores(train, [rest], dim, key, label, hidden, max_iter, seed, validation=held)
     else:
         raise ValueError("model must be 'logistic' or 'perceptron'")
     return scored.select(F.lit(mode).alias("mode"), "split", label, "prob")

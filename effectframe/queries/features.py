@@ -355,5 +355,5 @@ def probe_modes(spark, folder):
 def probe_perceptron(spark, folder):
     """Two-layer network on a balanced resample; iterative fit, rows only."""
     return probes.run_probe_modes(
-        _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=32, max_iter=20
+        _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=(32, 32), max_iter=20
     )

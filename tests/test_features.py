@@ -174,12 +174,23 @@ def probe_input(spark, n=400):
 @pytest.mark.parametrize("model", ["logistic", "perceptron"])
 def test_probe(spark, model):
     rows = probe_input(spark)
-    report = probes.run_probe_modes(rows, BLOCKS, ["dna"], model=model, hidden=8, max_iter=30)
+    report = probes.run_probe_modes(rows, BLOCKS, ["dna"], model=model, hidden=(8, 8), max_iter=30)
     got = {(r["split"], r["at"]): r for r in report.collect()}
     assert set(got) == {(s, a) for s in ("val", "test") for a in ("0.5", "best")}
     assert got[("test", "0.5")]["roc_auc"] > 0.9 and got[("val", "best")]["balanced_accuracy"] > 0.85
 
 
+def test_perceptron_stops_on_validation(spark):
+    rows = probe_input(spark).withColumn("features", F.col("x"))
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    dim = len(rows.first()["x"])
+    settings = dict(hidden=(4,), max_iter=12, slice_iter=3, patience=1)
+    (scored,) = probes.perceptron_scores(train, [val], dim, "variation_key", validation=val, **settings)
+    assert scored.count() == val.count() and scored.filter("prob between 0 and 1").count() == val.count()
+    with pytest.raises(ValueError):
+        probes.perceptron_scores(train, [val], dim, "variation_key", validation=val, metric="loss")
+
+
 def test_probe_modes_follow_blocks():
     assert probes.available_modes(Blocks(2, 0, 0)) == ["dna"]
     assert len(probes.available_modes(BLOCKS)) == 7
