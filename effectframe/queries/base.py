@@ -31,3 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def placed(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """The table dealt by ``key``: a test table is one split, and what follows is costly per row or joins by this key."""
+    return table(spark, folder, name).repartition(key)

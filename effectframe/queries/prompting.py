@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from effectframe.functions import text
 from effectframe.operators import prompts
-from effectframe.queries.base import query, table
+from effectframe.queries.base import placed, query, table
 
 
 def _fields(spark, folder):
     """Prompt fields of every order, some of them blank, missing or ``nan``."""
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customers = placed(spark, folder, "orders", "o_custkey"), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     return joined.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from effectframe.functions import text, vectors
 from effectframe.operators import audit, sequences, windows
 from effectframe.queries import standins as S
-from effectframe.queries.base import query, table
+from effectframe.queries.base import placed, query, table
 from effectframe.session import cut_lineage
 
 _CODES = 8
@@ -184,7 +184,7 @@ def kmer_embed(spark, folder):
     SELECT conv_id || '-' || turn AS key, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS x FROM dims""",
 )
 def token_pooling(spark, folder):
-    chats = table(spark, folder, "conversations").select(
+    chats = placed(spark, folder, "conversations", "conv_id").select(
         F.concat_ws("-", "conv_id", "turn").alias("key"),
         F.posexplode(F.split("text", " ")).alias("pos", "token"),
     )
@@ -203,7 +203,7 @@ def token_pooling(spark, folder):
     FROM documents""",
 )
 def sanitize(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = placed(spark, folder, "documents", "doc_id")
     return docs.select(
         "doc_id",
         F.md5(text.sanitize_dna(F.col("text")).cast("binary")).alias("dna"),

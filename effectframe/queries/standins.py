@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from effectframe.constants import REVIEW_STATUS
 from effectframe.functions.text import sanitize_dna
-from effectframe.queries.base import table
+from effectframe.queries.base import placed, table
 from effectframe.schemas import TRANSCRIPT_SCHEMA
 
 
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """One raw variant per order, in the shape of a variant summary."""
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customers = placed(spark, folder, "orders", "o_custkey"), table(spark, folder, "customer")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     segment, status = F.col("c_mktsegment"), F.col("o_orderstatus")
     gene = F.concat(F.lit("GENE"), F.col("c_custkey"))
@@ -119,7 +119,7 @@ def protein_id(key: str):
 
 def consequences(spark: SparkSession, folder: str) -> DataFrame:
     """One nested record per order; its lines are the transcripts, in a fixed order."""
-    orders, lines = (table(spark, folder, n) for n in ("orders", "lineitem"))
+    orders, lines = placed(spark, folder, "orders", "o_orderkey"), placed(spark, folder, "lineitem", "l_orderkey")
     flag, kind = F.col("l_returnflag"), F.col("l_linestatus")
     protein = F.when(flag != "R", protein_id("l_partkey"))
     null = F.lit(None).cast("string")
@@ -230,7 +230,7 @@ joined AS (
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts as contigs over A, C, G, T, N."""
-    docs = table(spark, folder, "documents")
+    docs = placed(spark, folder, "documents", "doc_id")
     return docs.select(
         F.concat(F.lit("doc"), "doc_id").alias("contig"), sanitize_dna(F.col("text")).alias("seq")
     )
@@ -249,7 +249,7 @@ def contig_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def loci(spark: SparkSession, folder: str) -> DataFrame:
     """One variant per order line on the contig of its part number, anywhere on it; some lack a position or an allele."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("l_partkey"), "n_chars")
-    lines = table(spark, folder, "lineitem").join(docs, "l_partkey", "left")
+    lines = placed(spark, folder, "lineitem", "l_partkey").join(docs, "l_partkey", "left")
     flag, number = F.col("l_returnflag"), F.col("l_linenumber")
     ref = F.when(flag == "A", "a").when(flag == "N", "N").otherwise("NN")
     ref = F.when(number == 7, F.repeat(F.lit("N"), 3)).otherwise(ref)
