@@ -1,8 +1,9 @@
 """Contiguous id ranges of about equal weight, as a column.
 
 The span of the ids is cut into at most ``BINS`` equal bins, whose weights are summed
-in one aggregate; a heavy bin is cut further. The table of bins has at most ``BINS``
-rows of three numbers whatever the data, so it is safe to broadcast.
+in one aggregate. Along the running sum of weights light bins share a cell and heavy
+ones are cut further. The table of bins has at most ``BINS`` rows of three numbers
+whatever the data, so it is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 65_536
+BINS = 16_384
 
 
 def with_cells(df: DataFrame, id_col: str, weight: Column, target: int, cell_col: str, spread: Column) -> DataFrame:
@@ -29,12 +30,10 @@ def with_cells(df: DataFrame, id_col: str, weight: Column, target: int, cell_col
     at = F.shiftright(F.col(id_col).cast("long"), shift) - F.lit(low) if shift else F.col(id_col).cast("long") - F.lit(low)
     binned = df.withColumn("__at", at).withColumn("__bin", F.expr(f"__at div {width}L"))
     sums = binned.filter(F.col("__bin").isNotNull()).groupBy("__bin").agg(F.sum(weight).alias("__w"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__w") / F.lit(target))).cast("long")
-    before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    table = sums.select(F.col("__bin"), parts.alias("__parts")).withColumn(
-        "__first", F.coalesce(F.sum("__parts").over(before), F.lit(0))
-    )
-    inside = F.expr(f"((__at - __bin * {width}L) * __parts) div {width}L")
+    earlier = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    table = sums.select("__bin", F.col("__w").cast("double").alias("__w"), F.coalesce(F.sum("__w").over(earlier), F.lit(0)).cast("double").alias("__before"))
+    # A row stands as far along its bin's weight as its id stands along the bin.
+    along = F.col("__before") + F.col("__w") * (F.col("__at") - F.col("__bin") * width).cast("double") / F.lit(float(width))
     none = -1 - F.pmod(F.xxhash64(spread), F.lit(null_cells))
-    cell = F.coalesce(F.col("__first") + inside, none).cast("long")
+    cell = F.coalesce(F.floor(along / F.lit(float(target))), none).cast("long")
     return binned.join(F.broadcast(table), "__bin", "left").select(*[F.col(c) for c in df.columns], cell.alias(cell_col))

@@ -260,3 +260,18 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
             function(spark, docs, SF).write.parquet(f"{tmp_path}/{name}-{stage}")
             docs = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_cells_grow_with_ids_and_weigh_about_alike(spark):
+    from effectframe.llm.cells import with_cells
+
+    ids = [*range(1000), *(10**15 + 3 * i for i in range(1000)), -(2**62), 2**62, None, None]
+    frame = spark.createDataFrame([(i, "x" * 9) for i in ids], "i long, t string").repartition(4)
+    rows = with_cells(frame, "i", F.lit(10), 500, "c", F.col("t")).collect()
+    assert len(rows) == len(ids)
+    named = sorted((r.i, r.c) for r in rows if r.i is not None)
+    assert all(a[1] <= b[1] for a, b in zip(named, named[1:], strict=False)) and all(r.c < 0 for r in rows if r.i is None)
+    close = spark.range(5000).withColumnRenamed("id", "i").withColumn("t", F.lit("x"))
+    sizes = Counter(r.c for r in with_cells(close, "i", F.lit(10), 500, "c", F.col("t")).collect())
+    assert len(sizes) == 100 and max(sizes.values()) <= 60
+    assert with_cells(frame.limit(0), "i", F.lit(1), 5, "c", F.col("t")).collect() == []
