@@ -21,7 +21,7 @@ WORDS = 5
 #: Fixed value: what separates words, as a list of characters and as a pattern.
 BLANKS = " \t\n\x0b\f\r"
 _GAP = "[\\x20\\x09-\\x0D]+"
-CELL_BYTES = 8 << 20
+CELL_BYTES = 4 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -33,7 +33,7 @@ LENGTH = 50
 #: Bytes of an anchor, a multiple of 8: a longer one is shared by chance less often, and means more pieces.
 GRAM = 16
 #: Bytes of text per range of documents, and per step inside a task.
-CELL_BYTES = 12 << 20
+CELL_BYTES = 6 << 20
 _STEP = 1 << 17
 _FLUSH = 8 << 20
 #: Shards per shuffle partition; a shard is held in memory.
