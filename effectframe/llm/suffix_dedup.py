@@ -37,7 +37,7 @@ CELL_BYTES = 6 << 20
 _STEP = 1 << 17
 _FLUSH = 8 << 20
 #: Shards per shuffle partition; a shard is held in memory.
-SHARDS = 1
+SHARDS = 3
 NO_ID = (1 << 63) - 1
 
 
@@ -292,11 +292,11 @@ def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -
     text[begins + sizes] = 1
     text = np.append(text, np.uint16(0))
     order = suffix_array(text, 258)
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
-    window = np.arange(len(owner)) + length <= (begins + sizes)[owner]
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    window = np.arange(length, len(owner) + length, dtype=np.int32) <= (begins + sizes).astype(np.int32)[owner]
     order = order[order < len(owner)]
-    order = order[window[order]].astype(np.int64)
-    before = np.full(len(owner), -1, np.int64)
+    order = order[window[order]]
+    before = np.full(len(owner), -1, np.int32)
     before[order[1:]] = order[:-1]
     common = permuted_common_prefixes(_words(np.frombuffer(joined, np.uint8)), before, length)
     first = np.flatnonzero(np.r_[True, common[order[1:]] < length])
