@@ -15,12 +15,13 @@ as many rows as it has members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from effectframe.llm.components import connected_components
@@ -30,6 +31,9 @@ SEED = 42
 BLOCK = 4096
 _CHUNK = 65_536
 _SMALL = 8
+#: Members of a group of candidates which one task compares, and how many of them every block of a larger group has.
+GROUP = 256
+SHARED = 8
 
 
 def _parts(text: str | None) -> list[bytes]:
@@ -135,18 +139,8 @@ def _forest(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def _every(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links among ``fp``."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for u in range(len(fp) - 1):
-        near = np.flatnonzero(np.bitwise_count(fp[u + 1 :] ^ fp[u]) <= bits) + u + 1
-        left.append(np.full(len(near), node[u]))
-        right.append(node[near])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal ``key`` (sorted): all of them in small runs, a forest in others unless ``every``."""
+def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of equal ``key`` (sorted): all of them in small runs, a forest in others."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -162,14 +156,14 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int, every:
         left.append(node[i[near]])
         right.append(node[i[near] + step])
     for s, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        a, b = (_every if every else _forest)(fp[s : s + n], node[s : s + n], bits)
+        a, b = _forest(fp[s : s + n], node[s : s + n], bits)
         left.append(a)
         right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK, every: bool = False) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within ``bits`` bits, or ``every`` such pair.
+def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """(a, b): links whose components are those of all pairs within ``bits`` bits.
 
     ``prints`` holds fingerprints ``fp`` with a distinct ``node`` id each.
     """
@@ -203,7 +197,7 @@ def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK, every: bool
         group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         # Keys stay recognisable: the variant's number above a running group number.
         tagged = ((key.view(np.uint64) >> np.uint64(56)) << np.uint64(56)) | group.astype(np.uint64)
-        a, b = _links(tagged, fp.view(np.uint64), node, bits, every)
+        a, b = _links(tagged, fp.view(np.uint64), node, bits)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # In order of nodes: a forest starts at the least node, under every key the same.
@@ -235,23 +229,139 @@ def near_duplicates(
     return prints.join(labelled, "fp", "left").select("id", "fp", "component")
 
 
-def _similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``edges`` (a, b) whose texts' shingle sets have at least that Jaccard similarity."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)), np.uint64))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int(np.count_nonzero(large[at] == small)) if len(small) else 0
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _verified(words: int, similarity: float, meets: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Task over rows (group, part, node, label, copy, sign, text) sorted by group and part: a forest of verified links.
+
+    In a part without copies all rows are compared, otherwise copies with the others.
+    Rows of one label are linked already.
+    """
+
+    def forest(rows: pa.Table, left: list[int], right: list[int]) -> None:
+        seen: dict[int, int] = {}
+        node, label, copy = (rows.column(i).to_pylist() for i in (2, 3, 4))
+        sign = _matrix(rows.column(5))
+        for i, (n, c) in enumerate(zip(node, copy, strict=True)):
+            seen.setdefault((n, c), i)
+        one = list(seen.values())
+        first = [i for i in one if copy[i]] or one
+        second = np.array([i for i in one if not copy[i]] or [], np.int64)
+        if not len(second):
+            return
+        up = {x: x for x in label}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def hashes(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _shingle_hashes(rows.column(6)[i].as_py(), words)
+            return sets[i]
+
+        for u in first:
+            for v in second[meets(sign[u], sign[second])].tolist():
+                if v == u or (v < u and not copy[u]):
+                    continue
+                x, y = root(label[u]), root(label[v])
+                if x != y and _alike(hashes(u), hashes(v), similarity):
+                    up[max(x, y)] = min(x, y)
+                    left.append(node[u])
+                    right.append(node[v])
+
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, part = (rows.column(i).to_numpy() for i in (0, 1))
+        edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1]), True])
+        left: list[int] = []
+        right: list[int] = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            forest(rows.slice(a, b - a), left, right)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            keep, last, held = [], None, set()
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, held = a, shingles(x.as_py(), words)
-                other = shingles(y.as_py(), words)
-                both = len(held & other)
-                keep.append(both >= similarity * (len(held) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            group, part = (now.column(i).to_numpy() for i in (0, 1))
+            last = int(np.flatnonzero((group == group[-1]) & (part == part[-1]))[0])
+            if last:
+                yield from emit(now.slice(0, last))
+            held = now.slice(last)
+        if held is not None:
+            yield from emit(held)
 
-    side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-    met = edges.join(side("b"), "b").select("a", "b", "text_b").join(side("a"), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return run
+
+
+def _matrix(signs: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long binary values as a matrix of 32-bit words."""
+    values = signs.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), -1)
+
+
+def _verified_links(members: DataFrame, words: int, similarity: float, meets) -> DataFrame:
+    """(a, b): links whose components are those of all pairs in a group that meet and are alike.
+
+    ``members`` holds (group, node, degree, sign, id) and ``text``. Up to ``GROUP`` members of a
+    group are compared in one task. Larger groups are dealt over blocks, and the members with
+    the most candidates go to every block; then all that is outside the largest component
+    found so far is compared with all the group, in pairs of blocks. Runs jobs.
+    """
+    run = _verified(words, similarity, meets)
+    links = "a long, b long"
+    columns = ["group", "part", "node", "label", "copy", "sign", "text"]
+    placed = lambda df: df.select(*columns).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(run, links)
+    every = F.when(F.col("shared"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    plain = members.withColumns({"label": F.col("node"), "copy": F.lit(0), "part": F.explode(every)})
+    first = cut_lineage(placed(plain))
+    large = members.filter(F.col("blocks") > 1)
+    if large.isEmpty():
+        return first
+    labels = connected_components(first).select("node", F.col("component").alias("label"))
+    named = cut_lineage(large.select("group", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    sizes = named.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    hosts = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("host"), F.sum("n").alias("all"))
+    hosts = hosts.filter(F.col("all") > F.col("host.n")).select(
+        "group", F.col("host.label").alias("host"), F.ceil((F.col("all") - F.col("host.n")) / F.lit(GROUP)).cast("int").alias("chunks")
+    )
+    told = named.join(hosts, "group").select("node", "label", "host", "chunks")
+    rest = large.join(told, "node")
+    upto = lambda n, part: F.explode(F.transform(F.sequence(F.lit(0), F.col(n) - 1), part))
+    dealt = rest.withColumn("copy", F.lit(0)).withColumn("part", upto("chunks", lambda chunk: F.col("own") * F.col("chunks") + chunk))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    loose = rest.filter(F.col("label") != F.col("host")).withColumn("copy", F.lit(1))
+    loose = loose.withColumn("part", upto("blocks", lambda block: block * F.col("chunks") + mine))
+    return first.unionByName(placed(dealt.select(*columns).unionByName(loose.select(*columns))))
+
+
+def _with_blocks(members: DataFrame) -> DataFrame:
+    """Columns (blocks, own, shared): how many blocks the group has, the member's, and whether it goes to all."""
+    counts = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
+    large = counts.select("group", F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("blocks"))
+    sized = members.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    most = W.partitionBy("group").orderBy(F.col("degree").desc(), "node")
+    top = members.join(large, "group", "left_semi").select("group", "node", F.row_number().over(most).alias("k")).filter(F.col("k") <= SHARED)
+    marked = sized.join(top.select("node", F.lit(True).alias("shared")), "node", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return marked.withColumns({"own": own, "shared": F.coalesce("shared", F.lit(False))})
 
 
 def similar_documents(
@@ -266,34 +376,51 @@ def similar_documents(
 
     Texts with equal words are one. Fingerprints of the distinct words within ``bits`` bits
     make candidates, which link if their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``. First a forest of the candidates is verified and
-    what links is folded to its least id; then all candidates among what remains are
-    verified, so none of the least ids is alike to another one that its fingerprint
-    shows. Rows without an id have no row here, texts without words are one. Runs jobs.
+    similarity of at least ``similarity``; components are those of all such links. Every
+    candidate is compared unless other links join the two. Rows without an id have no row
+    here, texts without words are one. Runs jobs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            prints = np.fromiter(map(word_set_fingerprint, texts), np.uint64, len(texts))
-            digests = [xxhash.xxh3_128_digest(b" ".join(_parts(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(digests, pa.binary())], ["id", "fp", "digest"])
+            prints = np.fromiter(map(word_set_fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+            heads = [_text_node(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(prints)], ["id", "node", "fp"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # Of rows repeated under one id, one decides.
-    made = rows.mapInArrow(run, "id long, fp long, digest binary").groupBy("id")
-    prints = cut_lineage(made.agg(F.min(F.struct("digest", "fp")).alias("m")).select("id", "m.digest", "m.fp"))
-    nodes = cut_lineage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp")))
-    first = _similar(link_edges(nodes, bits).distinct(), rows, words, similarity)
-    folded = cut_lineage(connected_components(first))
-    left = nodes.join(folded.filter("node <> component").select("node"), "node", "left_anti")
-    second = _similar(link_edges(left, bits, every=True).distinct(), rows, words, similarity)
-    again = connected_components(second).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    met = folded.join(again, "component", "full").select(
-        F.coalesce("node", "component").alias("node"), F.coalesce("final", "component").alias("component")
-    )
-    named = nodes.join(met.distinct(), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return prints.select("id", "digest").join(named, "digest").select("id", "component")
+    made = rows.mapInArrow(run, "id long, node long, fp long").groupBy("id")
+    prints = cut_lineage(made.agg(F.min(F.struct("node", "fp")).alias("m")).select("id", "m.node", "m.fp"))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
+    edges = cut_lineage(link_edges(nodes, bits).distinct())
+    groups = connected_components(edges).withColumnRenamed("component", "group")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    sign = F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("sign")
+    members = cut_lineage(_with_blocks(nodes.join(groups, "node").join(ends, "node").select("group", "node", "degree", sign, "id")))
+    mine = _only_own_text(members.join(rows, "id"))
+    meets = lambda one, many: np.bitwise_count(one ^ many).sum(axis=1) <= bits
+    found = connected_components(_verified_links(cut_lineage(mine), words, similarity, meets))
+    named = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
+    least = named.groupBy("group").agg(F.min("id").alias("component"))
+    labelled = named.join(least, "group").select("node", "component")
+    return prints.select("id", "node").join(labelled, "node").select("id", "component")
+
+
+def _text_node(text: str | None) -> int:
+    """Number of a text, by its words: the head of a 128-bit digest."""
+    return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(_parts(text)))[:8], "big", signed=True)
+
+
+def _only_own_text(rows: DataFrame) -> DataFrame:
+    """Rows whose ``text`` is that of ``node``; ids may be repeated for different texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)
+            yield batch.filter(pa.array([n == _text_node(t.as_py()) for n, t in pairs], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -215,3 +215,32 @@ def test_similar_vectors(spark, monkeypatch):
     assert got == brute_vectors([r for r in rows], 0.93)
     assert grid_join.similar_vectors(frame.limit(0)).collect() == []
     assert sorted(r.kept for r in grid_join.similar_vectors(frame.filter("vec_id in (3000, 3001)")).collect()) == [True, True]
+
+
+def copies_of_a_base(seed, n):
+    """Copies of a text with a few words changed, the base in the middle of the ids."""
+    draw = random.Random(seed)
+    words = [f"{draw.choice('abcdef')}{draw.randrange(3000)}" for _ in range(250)]
+    texts = []
+    for _ in range(n):
+        mine = list(words)
+        for at in draw.sample(range(250), 4):
+            mine[at] = f"new{draw.randrange(10**6)}"
+        texts.append(" ".join(mine))
+    texts[n // 2] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("group", [7, 256])
+def test_groups_of_near_copies_are_those_of_all_links(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    monkeypatch.setattr(simhash, "SHARED", 2, raising=False)
+    texts = dict(enumerate(copies_of_a_base(1, 61) + copies_of_a_base(2, 30) + make_texts(3, 20)))
+    grams = {i: simhash.shingles(t) for i, t in texts.items()}
+    alike = [(a, b) for a in texts for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    prints = {i: simhash.word_set_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a, b in alike if bin(prints[a] ^ prints[b]).count("1") <= 7]
+    parts = least_reachable(list(texts), near)
+    frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r.id: r.component for r in simhash.similar_documents(frame).collect()}
+    assert got == parts and len({*parts.values()}) < len(texts) - 80
