@@ -34,6 +34,10 @@ _SMALL = 8
 #: Members of a group of candidates which one task compares, and how many of them every block of a larger group has.
 GROUP = 256
 SHARED = 8
+#: MinHash bands and the hashes in each: texts of similarity s share a band with chance 1 - (1 - s^6)^32, 0.9999 for 0.8.
+BANDS = 32
+BAND_ROWS = 6
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
 
 def _parts(text: str | None) -> list[bytes]:
@@ -234,6 +238,26 @@ def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)), np.uint64))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key per MinHash band of a set of 64-bit hashes; sets share a band where all its minima are equal."""
+    if not len(hashes):
+        return np.arange(BANDS, dtype=np.uint64)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 4096):
+        least = np.minimum(least, (_FACTORS * low[at : at + 4096]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _meet(bits: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether signs (fingerprint, band keys) make candidates."""
+    return lambda one, many: (np.bitwise_count(many[:, 0] ^ one[0]) <= bits) | (many[:, 1:] == one[1:]).any(axis=1)
+
+
 def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
@@ -312,9 +336,8 @@ def _verified(words: int, similarity: float, meets: Callable[[np.ndarray, np.nda
 
 
 def _matrix(signs: pa.ChunkedArray) -> np.ndarray:
-    """Rows of equally long binary values as a matrix of 32-bit words."""
-    values = signs.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), -1)
+    """Equally long arrays as the rows of a matrix."""
+    return signs.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(signs), -1)
 
 
 def _verified_links(members: DataFrame, words: int, similarity: float, meets) -> DataFrame:
@@ -372,35 +395,38 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, component) of near copies: candidates by fingerprint, verified on the texts.
-
-    Texts with equal words are one. Fingerprints of the distinct words within ``bits`` bits
-    make candidates, which link if their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``; components are those of all such links. Every
-    candidate is compared unless other links join the two. Rows without an id have no row
-    here, texts without words are one. Runs jobs.
+    """(id, component) of near copies: candidates by fingerprint or MinHash, verified on the texts.
+
+    Texts with equal words are one. Texts whose fingerprints of the distinct words differ in
+    at most ``bits`` bits, or whose shingle sets share a MinHash band, are candidates. They
+    link if their sets of ``words``-word shingles have a Jaccard similarity of at least
+    ``similarity``; components are those of all such links. Every candidate is compared
+    unless other links join the two. Rows without an id have no row here, texts without
+    words are one. Runs jobs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            prints = np.fromiter(map(word_set_fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             heads = [_text_node(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(prints)], ["id", "node", "fp"])
+            signs = [np.r_[np.uint64(word_set_fingerprint(t)), band_keys(_shingle_hashes(t, words))].view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["id", "node", "sign"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # Of rows repeated under one id, one decides.
-    made = rows.mapInArrow(run, "id long, node long, fp long").groupBy("id")
-    prints = cut_lineage(made.agg(F.min(F.struct("node", "fp")).alias("m")).select("id", "m.node", "m.fp"))
-    nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
-    edges = cut_lineage(link_edges(nodes, bits).distinct())
-    groups = connected_components(edges).withColumnRenamed("component", "group")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    sign = F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("sign")
-    members = cut_lineage(_with_blocks(nodes.join(groups, "node").join(ends, "node").select("group", "node", "degree", sign, "id")))
+    made = rows.mapInArrow(run, "id long, node long, sign array<long>").groupBy("id")
+    prints = cut_lineage(made.agg(F.min(F.struct("node", "sign")).alias("m")).select("id", "m.node", "m.sign"))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("sign").alias("sign")))
+    near = link_edges(nodes.select("node", F.element_at("sign", 1).alias("fp")), bits)
+    keyed = nodes.select("node", F.explode(F.slice("sign", 2, BANDS)).alias("key"))
+    bands = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    met = cut_lineage(keyed.join(bands, "key").groupBy("node", "least").agg(F.sum("n").alias("n")))
+    groups = connected_components(near.unionByName(met.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = nodes.join(groups.withColumnRenamed("component", "group"), "node").join(degrees, "node", "left")
+    members = cut_lineage(_with_blocks(members.select("group", "node", F.coalesce("degree", F.lit(0)).alias("degree"), "sign", "id")))
     mine = _only_own_text(members.join(rows, "id"))
-    meets = lambda one, many: np.bitwise_count(one ^ many).sum(axis=1) <= bits
-    found = connected_components(_verified_links(cut_lineage(mine), words, similarity, meets))
+    found = connected_components(_verified_links(cut_lineage(mine), words, similarity, _meet(bits)))
     named = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("id").alias("component"))
     labelled = named.join(least, "group").select("node", "component")

@@ -238,9 +238,30 @@ def test_groups_of_near_copies_are_those_of_all_links(spark, monkeypatch, group)
     texts = dict(enumerate(copies_of_a_base(1, 61) + copies_of_a_base(2, 30) + make_texts(3, 20)))
     grams = {i: simhash.shingles(t) for i, t in texts.items()}
     alike = [(a, b) for a in texts for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
-    prints = {i: simhash.word_set_fingerprint(t) for i, t in texts.items()}
-    near = [(a, b) for a, b in alike if bin(prints[a] ^ prints[b]).count("1") <= 7]
-    parts = least_reachable(list(texts), near)
+    parts = least_reachable(list(texts), alike)
     frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
     got = {r.id: r.component for r in simhash.similar_documents(frame).collect()}
     assert got == parts and len({*parts.values()}) < len(texts) - 80
+
+
+@pytest.mark.parametrize("kind", ["words", "append", "cut"])
+def test_near_copies_of_every_kind_are_found(spark, kind):
+    draw = random.Random(kind)
+    prose = lambda n: [f"w{int(draw.paretovariate(0.4)) % 5000}" for _ in range(n)]
+    rows, pairs = [], []
+    for i in range(120):
+        words = prose(draw.randint(60, 300))
+        n = len(words)
+        if kind == "words":
+            other = list(words)
+            for at in draw.sample(range(n), max(1, n // 60)):
+                other[at] = "changed"
+        else:
+            other = words + prose(n // 5) if kind == "append" else words[: n - n // 6]
+        a, b = simhash.shingles(" ".join(words)), simhash.shingles(" ".join(other))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(2 * i)
+    assert len(pairs) > 50
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in pairs) >= 0.99 * len(pairs)
