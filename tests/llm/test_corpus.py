@@ -275,3 +275,16 @@ def test_cells_grow_with_ids_and_weigh_about_alike(spark):
     sizes = Counter(r.c for r in with_cells(close, "i", F.lit(10), 500, "c", F.col("t")).collect())
     assert len(sizes) == 100 and max(sizes.values()) <= 60
     assert with_cells(frame.limit(0), "i", F.lit(1), 5, "c", F.col("t")).collect() == []
+
+
+def test_cells_of_clustered_ids_weigh_about_alike(spark):
+    from effectframe.llm.cells import with_cells
+
+    far = [*range(5000), 10**15]
+    sources = [source << 40 | n for source in range(8) for n in range(700)]
+    wide = [*range(-(2**62), 100 - 2**62), *range(3000), 2**62]
+    for ids in (far, sources, wide):
+        frame = spark.createDataFrame([(i,) for i in ids], "i long").repartition(4)
+        rows = sorted((r.i, r.c) for r in with_cells(frame, "i", F.lit(10), 500, "c", F.col("i")).collect())
+        assert [i for i, _ in rows] == sorted(ids)
+        assert [c for _, c in rows] == [k // 50 for k in range(len(ids))]
