@@ -387,23 +387,8 @@ def _with_blocks(members: DataFrame) -> DataFrame:
     return marked.withColumns({"own": own, "shared": F.coalesce("shared", F.lit(False))})
 
 
-def similar_documents(
-    docs: DataFrame,
-    bits: int = 7,
-    words: int = 5,
-    similarity: float = 0.8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(id, component) of near copies: candidates by fingerprint or MinHash, verified on the texts.
-
-    Texts with equal words are one. Texts whose fingerprints of the distinct words differ in
-    at most ``bits`` bits, or whose shingle sets share a MinHash band, are candidates. They
-    link if their sets of ``words``-word shingles have a Jaccard similarity of at least
-    ``similarity``; components are those of all such links. Every candidate is compared
-    unless other links join the two. Rows without an id have no row here, texts without
-    words are one. Runs jobs.
-    """
+def _least_of_group(docs: DataFrame, bits: int = 7, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, least) per id and text: the number of the text, and (id, node) of the least one in its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,9 +398,8 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["id", "node", "sign"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Of rows repeated under one id, one decides.
-    made = rows.mapInArrow(run, "id long, node long, sign array<long>").groupBy("id")
-    prints = cut_lineage(made.agg(F.min(F.struct("node", "sign")).alias("m")).select("id", "m.node", "m.sign"))
+    made = rows.mapInArrow(run, "id long, node long, sign array<long>")
+    prints = cut_lineage(made.groupBy("id", "node").agg(F.min("sign").alias("sign")))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("sign").alias("sign")))
     near = link_edges(nodes.select("node", F.element_at("sign", 1).alias("fp")), bits)
     keyed = nodes.select("node", F.explode(F.slice("sign", 2, BANDS)).alias("key"))
@@ -428,9 +412,29 @@ def similar_documents(
     mine = _only_own_text(members.join(rows, "id"))
     found = connected_components(_verified_links(cut_lineage(mine), words, similarity, _meet(bits)))
     named = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
-    least = named.groupBy("group").agg(F.min("id").alias("component"))
-    labelled = named.join(least, "group").select("node", "component")
-    return prints.select("id", "node").join(labelled, "node").select("id", "component")
+    least = named.groupBy("group").agg(F.min(F.struct("id", "node")).alias("least"))
+    labelled = named.join(least, "group").select("node", "least")
+    return prints.select("id", "node").join(labelled, "node").select("id", "node", "least")
+
+
+def similar_documents(
+    docs: DataFrame,
+    bits: int = 7,
+    words: int = 5,
+    similarity: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, component) of near copies: candidates by fingerprint or MinHash, verified on the texts.
+
+    Texts with equal words are one. Texts whose fingerprints of the distinct words differ in
+    at most ``bits`` bits, or whose shingle sets share a MinHash band, are candidates. They
+    link if their sets of ``words``-word shingles have a Jaccard similarity of at least
+    ``similarity``; components are those of all such links. Every candidate is compared
+    unless other links join the two. Rows without an id have no row here, texts without
+    words are one; an id with several texts has a row for each. Runs jobs.
+    """
+    return _least_of_group(docs, bits, words, similarity, id_col, text_col).select("id", F.col("least.id").alias("component"))
 
 
 def _text_node(text: str | None) -> int:
@@ -452,10 +456,12 @@ def _only_own_text(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the least id.
 
-    Rows without an id stay, as nothing names them; of rows repeated under one id one stays.
+    Rows without an id stay, as nothing names them. An id may be repeated for different
+    texts, which are documents of their own; of rows with one id and equal words one stays.
     """
-    found = similar_documents(docs, id_col=id_col, text_col=text_col, **settings)
-    kept = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    rows = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    lone = docs.filter(F.col(id_col).isNull())
-    return rows.unionByName(lone)
+    found = _least_of_group(docs, id_col=id_col, text_col=text_col, **settings)
+    kept = found.filter(F.struct("id", "node") == F.col("least")).select(F.col("id").alias("__id"), F.col("node").alias("__node"))
+    number = F.arrow_udf(lambda texts: pa.array([_text_node(t) for t in texts.to_pylist()], pa.int64()), "long")
+    named = docs.filter(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col).cast("long"), "__node": number(F.col(text_col).cast("string"))})
+    rows = named.join(kept, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
+    return rows.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

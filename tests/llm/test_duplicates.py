@@ -265,3 +265,9 @@ def test_near_copies_of_every_kind_are_found(spark, kind):
     assert len(pairs) > 50
     got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i + 1] == i for i in pairs) >= 0.99 * len(pairs)
+
+
+def test_texts_which_share_an_id_are_kept(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "j i h g f e d c b a"), (1, "A B c d e f g h i j"), (1, None), (2, "k l m n o p q"), (3, "K l m n o p q")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, ""), (1, rows[0][1]), (1, rows[1][1]), (2, rows[4][1])]
