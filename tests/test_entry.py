@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as contract  # noqa: E402
 from check_queries import check, connect  # noqa: E402
-from conftest import SF  # noqa: E402
+from smallest import SF  # noqa: E402
 
 
 def test_entry(spark):

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 from effectframe.operators.sequences import distinct_sequences, kmer_encoder
 from effectframe.operators.splits import split_by_group
 from effectframe.queries import REGISTRY
+from smallest import SF
 
 ROW_LEVEL = [
     "curate_labels", "group_split", "json_flatten", "seq_annotation_join", "merge_back", "variant_windows",
