@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectframe.llm import grid_join, hash_tree, mixing, prefix_bpe, quality, simhash, sketches, suffix_dedup, token_counts, warc
+from effectframe.llm import (
+    grid_join,
+    hash_tree,
+    mixing,
+    perplexity,
+    phrases,
+    prefix_bpe,
+    prefix_trie,
+    quality,
+    simhash,
+    sketches,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from effectframe.queries.base import Query, Run, table
 from effectframe.session import ensure_checkpoint_dir
 
@@ -148,3 +162,90 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+_TRIE_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS own FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, own, conv_id - conv_id % 20 AS base, CAST(conv_id AS VARCHAR) AS c FROM convs
+), hashed AS (
+  SELECT conv_id, own, base, xor(4294967295,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c) + 1), lambda i: ascii(substr(c, i, 1))::BIGINT)),
+      lambda r, byte: list_reduce(list_prepend(xor(r, byte), range(8)), lambda s, step: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))) % 4 AS h
+  FROM heads
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS path
+  FROM hashed a LEFT JOIN convs b ON b.conv_id = a.base
+), members AS (
+  SELECT conv_id, CAST(d AS BIGINT) AS depth, path[1:d] AS node, len(path) = d AS ends FROM rebuilt, unnest(range(len(path) + 1)) AS t(d)
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[-1].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.node = n.node
+), below AS (
+  SELECT node[1:d] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM counted, unnest(range(depth + 1)) AS t(d) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
+@_query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf, "conversations"))
+
+
+@_query("op12_perplexity_rules")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity.quality_verdicts(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM worded, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, count(*) AS n FROM grams WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, t.n, k, l.f AS l, r.f AS r, (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM candidates c JOIN totals t ON t.lang = c.lang, unnest(range(1, c.m)) AS s(k)
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a
+  FROM candidates, unnest(range(2, m)) AS p(s), unnest(range(1, m - s + 2)) AS q(i)
+), kept AS (
+  SELECT w.* FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.a >= 100 * w.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@_query("op13_phrase_subtrees", _PHRASES_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
