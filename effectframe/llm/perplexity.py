@@ -98,22 +98,18 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3, types): discounts of counts 1, 2 and from 3, from how many n-grams have counts 1 to 4.
+    """(lang, length, d1, d2, d3, types): discounts of counts 1, 2 and from 3, from how many n-grams have counts 1 to 4.
 
     Where they are not between 0 and their count they are 0.5, 1 and 1.5.
     """
     times = [F.sum((F.col("a") == k).cast("long")).cast("double") for k in (1, 2, 3, 4)]
-    found = grams.groupBy("lang").agg(*[c.alias(f"n{k}") for k, c in enumerate(times, 1)], F.count("*").alias("types"))
+    found = grams.groupBy("lang", "length").agg(*[c.alias(f"n{k}") for k, c in enumerate(times, 1)], F.count("*").alias("types"))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     full = F.least(*[F.col(f"n{k}") for k in (1, 2, 3, 4)]) > 0
     raw = [F.when(full, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")) for k in (1, 2, 3)]
     sound = (raw[0] > 0) & (raw[0] <= 1) & (raw[1] > 0) & (raw[1] <= 2) & (raw[2] > 0) & (raw[2] <= 3)
     ok = F.coalesce(full & sound, F.lit(False))
-    return found.select("lang", "types", *[F.when(ok, r).otherwise(d).alias(f"d{k}") for k, (r, d) in enumerate(zip(raw, (0.5, 1.0, 1.5), strict=True), 1)])
-
-
-def _off(a: Column) -> Column:
-    return F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
+    return found.select("lang", "length", "types", *[F.when(ok, r).otherwise(d).alias(f"d{k}") for k, (r, d) in enumerate(zip(raw, (0.5, 1.0, 1.5), strict=True), 1)])
 
 
 def _cost(p: Column) -> Column:
@@ -123,39 +119,34 @@ def _cost(p: Column) -> Column:
 def model_costs(counted: DataFrame) -> DataFrame:
     """(lang, length, back, gram, cost): costs of all n-grams up to ``ORDER`` and of backing off from their beginnings.
 
-    The n-gram of length 0 stands for an unseen character. ``counted`` is (lang, gram, a), read several times.
+    The n-gram of length 0 stands for an unseen character. ``counted`` is (lang, gram, a), read
+    several times. Every stage takes all orders at once, but for the sum over orders. Runs jobs.
     """
-    orders = {ORDER: counted}
+    orders = counted
+    grams = counted.withColumn("length", F.lit(ORDER))
     for n in range(ORDER - 1, 0, -1):
-        orders[n] = orders[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("a"))
-    tables, lower = [], None
-    row = lambda n, back, gram, cost: [F.col("lang"), F.lit(n).alias("length"), F.lit(back).alias("back"), gram.alias("gram"), cost.alias("cost")]
-    for n in range(1, ORDER + 1):
-        headed = orders[n].withColumn("head", F.substring("gram", 1, n - 1))
-        times = [F.sum(c.cast("long")).alias(f"c{k}") for k, c in enumerate((F.col("a") == 1, F.col("a") == 2, F.col("a") >= 3), 1)]
-        heads = headed.groupBy("lang", "head").agg(F.sum("a").alias("total"), *times)
-        counts = heads.groupBy("lang").agg(F.count("*").alias("n"))
-        heads = salted_join(heads, _discounts(orders[n]), ["lang"], counts)
-        gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-        heads = heads.withColumn("gamma", gamma).drop("c1", "c2", "c3")
-        whole = headed.join(heads, ["lang", "head"])
-        seen = (F.col("a") - _off(F.col("a"))) / F.col("total")
-        if n == 1:
-            unseen = F.col("gamma") / (F.col("types") + 1)
-            tables.append(heads.select(row(0, False, F.lit(""), _cost(unseen))))
-            level = whole.select("lang", "gram", (seen + unseen).alias("p"))
-        else:
-            tables.append(heads.select(row(n - 1, True, F.col("head"), _cost(F.col("gamma")))))
-            tail = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
-            joined = whole.withColumn("tail", F.substring("gram", 2, n - 1)).join(tail, ["lang", "tail"])
-            level = joined.select("lang", "gram", (seen + F.col("gamma") * F.col("below")).alias("p"))
-        # Two readers: the next order and the table itself.
-        lower = cut_lineage(level)
-        tables.append(lower.select(row(n, False, F.col("gram"), _cost(F.col("p")))))
-    found = tables[0]
-    for t in tables[1:]:
-        found = found.unionByName(t)
-    return found
+        orders = orders.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("a"))
+        grams = grams.unionByName(orders.withColumn("length", F.lit(n)))
+    grams = cut_lineage(grams.withColumn("head", F.expr("substring(gram, 1, length - 1)")))
+    times = [F.sum(c.cast("long")).alias(f"c{k}") for k, c in enumerate((F.col("a") == 1, F.col("a") == 2, F.col("a") >= 3), 1)]
+    heads = grams.groupBy("lang", "length", "head").agg(F.sum("a").alias("total"), *times)
+    # A language has one row per order here; its heads may be most of all heads.
+    counts = grams.groupBy("lang", "length").agg(F.count("*").alias("n"))
+    heads = salted_join(heads, _discounts(grams), ["lang", "length"], counts)
+    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
+    heads = cut_lineage(heads.withColumn("gamma", F.when(F.col("length") == 1, gamma / (F.col("types") + 1)).otherwise(gamma)))
+    off = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    seen = grams.join(heads, ["lang", "length", "head"]).select("lang", "length", "gram", ((F.col("a") - off) / F.col("total")).alias("seen"), "gamma")
+    seen = cut_lineage(seen.withColumn("tail", F.expr("substring(gram, 2, length - 1)")))
+    levels = [seen.filter(F.col("length") == 1).select("lang", "length", "gram", (F.col("seen") + F.col("gamma")).alias("p"))]
+    for n in range(2, ORDER + 1):
+        tail = levels[-1].select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
+        joined = seen.filter(F.col("length") == n).join(tail, ["lang", "tail"])
+        levels.append(cut_lineage(joined.select("lang", "length", "gram", (F.col("seen") + F.col("gamma") * F.col("below")).alias("p"))))
+    backing = heads.select("lang", (F.col("length") - 1).alias("length"), (F.col("length") > 1).alias("back"), F.col("head").alias("gram"), _cost(F.col("gamma")).alias("cost"))
+    for level in levels:
+        backing = backing.unionByName(level.select("lang", "length", F.lit(False).alias("back"), "gram", _cost(F.col("p")).alias("cost")))
+    return backing
 
 
 _ARRAYS = "lang string, part long, hashes binary, costs binary"
