@@ -1,16 +1,16 @@
 """Frequent phrases and how strongly their parts belong together.
 
-Counting goes by vertical partitioning. Word prefixes are counted level by level; only a
-suffix that goes on inside frequent prefixes can hold a frequent phrase, so every suffix
-of a piece is cut where its next word, or its next pair of words, is not frequent, and
-after ``DEPTH`` words. Equal cut suffixes are the leaves, counted before they move. A
-prefix with more leaves than a task should hold is replaced by its longer prefixes;
-prefixes are then put into groups of one memory budget, and each group builds the
-subtrees of its prefixes on its own: leaves sorted, node starts where a column changes,
-counts as totals of the leaves below. Nodes above a divided prefix add up over groups.
-
-Frequent words and pairs are known to the tasks as bit tables of a fixed size. A bit set by
-another word only lets a suffix go on for longer; the counts stay exact.
+Counting goes by vertical partitioning. Word prefixes are counted level by level - words,
+pairs inside frequent words, longer runs inside frequent pairs - and every suffix of a piece
+is cut where it stops to be frequent, after ``DEPTH`` words at the latest. Equal cut suffixes are
+the leaves, counted before they move. A prefix with more leaves than a task should hold is
+replaced by its longer prefixes; prefixes are then put into groups of one memory budget, and
+each group builds the subtrees of its prefixes on its own: leaves sorted, node starts where a
+column changes, counts as totals of the leaves below. Nodes above a divided prefix add up
+over groups.
+
+What is frequent is known to the tasks as bit tables of a fixed size (``hash_counts``). A bit set
+by something else only lets a suffix go on for longer; the counts stay exact.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from effectframe.llm.hash_counts import HASH_BITS, PACKED, TABLE_BITS, bit_table, marked, mixed, often, parts_for, sent
 from effectframe.llm.word_scan import byte_table, chunked, grouped_texts, scan
 from effectframe.operators.ranks import running_sums
 from effectframe.session import cut_lineage
@@ -32,9 +34,9 @@ from effectframe.session import cut_lineage
 DEPTH = 5
 LEAST = 100
 TOP = 2000
-#: Leaves of a group, and bits of the tables of frequent words and pairs (2 MB each).
+#: Leaves of a group, and distinct leaves a task holds before it sends them.
 BUDGET = 100_000
-BITS = 24
+HOLD_LEAVES = 500_000
 _GAP = byte_table(b"\x20\x09.,;:!?\x0a\x0b\x0c\x0d")
 _BREAK = byte_table(b".,;:!?\x0a\x0b\x0c\x0d")
 
@@ -53,28 +55,19 @@ def _keys(names: pa.Array, salt: str) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(salted + w, 42) for w in names.to_pylist()], np.uint64).view(np.int64)
 
 
-def _pair_key(first, second):
-    """One number for two word keys, by whole-array steps."""
-    return first ^ ((second << np.uint64(23)) | (second >> np.uint64(41)))
+def _words_marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return marked(bits, keys.view(np.uint64) >> np.uint64(64 - TABLE_BITS))
 
 
-def _pair_column(first: Column, second: Column) -> Column:
-    return first.bitwiseXOR(F.shiftleft(second, 23).bitwiseOR(F.shiftrightunsigned(second, 41)))
+def _runs_marked(bits: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    return marked(bits, mixed(keys) >> np.uint64(HASH_BITS - TABLE_BITS))
 
 
-def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _bit_table(df: DataFrame, key: Column) -> np.ndarray:
-    """Bits of all keys. Runs a job; at most ``2 ** BITS / 64`` words come to the driver."""
-    at = df.select(F.shiftrightunsigned(key, 64 - BITS).alias("at"))
-    word = F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")
-    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(word).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return table.view(np.uint64)
+def _word_bits(words: DataFrame) -> np.ndarray:
+    """Bits of the keys of frequent words. Runs a job."""
+    at = words.select(F.shiftrightunsigned("key", 64 - TABLE_BITS).alias("at"))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    return bit_table(at.select(F.shiftright("at", 6).alias("word"), bit.alias("bits")))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -99,20 +92,51 @@ def _salt(counts: DataFrame, least: int) -> str:
     raise RuntimeError("word keys collide under every salt")
 
 
-def _pairs(texts: DataFrame, salt: str, words) -> DataFrame:
-    """(lang, first, second, f) of neighbours in a piece, both marked frequent."""
+def _pair_places(ids: np.ndarray, pieces: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places at which two words of a piece follow each other, both marked frequent."""
+    of_words = frequent[ids]
+    return np.flatnonzero(of_words[:-1] & of_words[1:] & (pieces[:-1] == pieces[1:]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _lang_keys(group: str, names: pa.Array, salt: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words, and the same told apart by language."""
+    keys = _keys(names, salt)
+    return keys, keys ^ np.int64(xxhash.xxh64_intdigest(group.encode(), 7) >> 1)
+
+
+def _pair_bits(texts: DataFrame, salt: str, words, least: int, parts: int) -> np.ndarray:
+    """Bit table of the pairs found often enough. Runs a job."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for group, ids, pieces, names in _chunks(batches):
-            keys = _keys(names, salt)
-            frequent = _marked(words.value, keys)[ids]
-            at = np.flatnonzero(frequent[:-1] & frequent[1:] & (pieces[:-1] == pieces[1:]))
-            codes, f = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_counts=True)
-            columns = [pa.array([group] * len(codes), pa.string()), pa.array(keys[codes >> 32]), pa.array(keys[codes & 0xFFFFFFFF]), pa.array(f, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "first", "second", "f"])
+            keys, own = _lang_keys(group, names, salt)
+            at = _pair_places(ids, pieces, _words_marked(words.value, keys))
+            yield mixed([own[ids[at]], own[ids[at + 1]]])
+
+    return often(texts.mapInArrow(lambda batches: sent(hashes(batches), parts), PACKED), least)
+
 
-    found = texts.mapInArrow(run, "lang string, first long, second long, f long")
-    return found.groupBy("lang", "first", "second").agg(F.sum("f").alias("f"))
+def _going_on(ids: np.ndarray, pieces: np.ndarray, keys: np.ndarray, own: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a frequent pair starts, and the same as marks, ``DEPTH`` longer than the words."""
+    at = _pair_places(ids, pieces, _words_marked(words, keys))
+    at = at[_runs_marked(pairs, [own[ids[at]], own[ids[at + 1]]])]
+    goes_on = np.zeros(len(ids) + DEPTH, bool)
+    goes_on[at] = True
+    return at, goes_on
+
+
+def _longer_bits(texts: DataFrame, salt: str, words, pairs, least: int, parts: int) -> np.ndarray:
+    """Bit table of the runs of three words and more found often enough, all pairs in them marked. Runs a job."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for group, ids, pieces, names in _chunks(batches):
+            keys, own = _lang_keys(group, names, salt)
+            at, goes_on = _going_on(ids, pieces, keys, own, words.value, pairs.value)
+            for length in range(3, DEPTH + 1):
+                at = at[goes_on[at + length - 2]]
+                yield mixed([own[ids[at + k]] for k in range(length)])
+
+    return often(texts.mapInArrow(lambda batches: sent(hashes(batches), parts), PACKED), least)
 
 
 def _sorted_starts(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -135,35 +159,88 @@ def _paths(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix[np.arange(matrix.shape[1]) < lengths[:, None]]))
 
 
-def _leaves(texts: DataFrame, salt: str, words, pairs) -> DataFrame:
-    """(lang, path, f): suffixes of two words and more, cut after ``DEPTH`` words or before a pair that is not frequent."""
+def _with_lengths(matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.column_stack([lengths.astype(np.int64), matrix])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _summed_rows(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of matrices and what their counts add up to."""
+    matrix, f = np.concatenate([m for m, _ in found]), np.concatenate([f for _, f in found])
+    order, starts = _sorted_starts(list(matrix.T))
+    first = np.flatnonzero(starts[-1])
+    return matrix[order[first]], np.add.reduceat(f[order], first)
+
+
+def _leaves(texts: DataFrame, salt: str, words, pairs, longer, parts: int) -> DataFrame:
+    """(lang, path, f): suffixes of two words and more, cut where they stop to be frequent or after ``DEPTH`` words.
+
+    A task adds up its leaves and sends them packed, in ``parts`` by their hash.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for group, ids, pieces, names in _chunks(batches):
-            keys = _keys(names, salt)
-            frequent = _marked(words.value, keys)[ids]
-            goes_on = np.zeros(len(ids) + DEPTH, bool)
-            at = np.flatnonzero(frequent[:-1] & frequent[1:] & (pieces[:-1] == pieces[1:]))
-            pair = _pair_key(keys[ids[at]].view(np.uint64), keys[ids[at + 1]].view(np.uint64))
-            at = at[_marked(pairs.value, pair)]
+            keys, own = _lang_keys(group, names, salt)
+            at, goes_on = _going_on(ids, pieces, keys, own, words.value, pairs.value)
             if not len(at):
                 continue
-            goes_on[at] = True
-            padded = np.append(ids, np.full(DEPTH, -1, ids.dtype))
-            alive, columns = np.ones(len(at), bool), [padded[at]]
-            for k in range(1, DEPTH):
-                alive = alive & goes_on[at + k - 1]
-                columns.append(np.where(alive, padded[at + k], -1))
-            order, starts = _sorted_starts(columns)
-            first = np.flatnonzero(starts[-1])
-            matrix = np.stack([c[order[first]] for c in columns], axis=1)
-            f = np.diff(np.append(first, len(order)))
-            lengths = (matrix >= 0).sum(axis=1)
-            made = [pa.array([group] * len(f), pa.string()), _paths(keys[matrix], lengths), pa.array(f, pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, ["lang", "path", "f"])
-
-    found = texts.mapInArrow(run, "lang string, path array<long>, f long")
-    return found.groupBy("lang", "path").agg(F.sum("f").alias("f"))
+            columns = [ids[at], ids[at + 1]]
+            alive = np.arange(len(at))
+            for length in range(3, DEPTH + 1):
+                alive = alive[goes_on[at[alive] + length - 2]]
+                place = at[alive]
+                alive = alive[_runs_marked(longer.value, [own[ids[place + k]] for k in range(length)])]
+                column = np.full(len(at), -1, ids.dtype)
+                column[alive] = ids[at[alive] + length - 1]
+                columns.append(column)
+            matrix = np.stack([np.where(c >= 0, keys[c], 0) for c in columns], axis=1)
+            inside = np.stack([c >= 0 for c in columns], axis=1)
+            yield group, _with_lengths(matrix, inside.sum(axis=1)), np.ones(len(at), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            rows = []
+            for group, found in held.items():
+                matrix, f = _summed_rows(found)
+                part = (mixed(list(matrix.T)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                cuts = [*np.flatnonzero(np.append(True, np.diff(part[order]) != 0)).tolist(), len(f)]
+                rows += [(group, int(part[order[i]]), zstandard.compress(matrix[order[i:j]].T.tobytes() + f[order[i:j]].tobytes(), 1)) for i, j in zip(cuts, cuts[1:])]
+            kinds = pa.string(), pa.int32(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "part", "packed"])
+
+        for group, matrix, f in cut(batches):
+            held[group] = [_summed_rows([*held.get(group, []), (matrix, f)])]
+            size = sum(len(found[0][1]) for found in held.values())
+            if size >= HOLD_LEAVES:
+                yield batch()
+                held, size = {}, 0
+        if size:
+            yield batch()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found() -> pa.RecordBatch:
+            matrix, f = _summed_rows(held)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(f), pa.string()), _paths(matrix[:, 1:], matrix[:, 0]), pa.array(f)], ["lang", "path", "f"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["lang"], row["part"]) != at:
+                    if held:
+                        yield found()
+                    at, held = (row["lang"], row["part"]), []
+                values = np.frombuffer(zstandard.decompress(row["packed"]), np.int64).reshape(DEPTH + 2, -1)
+                held = [_summed_rows([*held, (values[:-1].T, values[-1])])]
+        if held:
+            yield found()
+
+    packed = texts.mapInArrow(run, "lang string, part int, packed binary")
+    placed = packed.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return placed.mapInArrow(merge, "lang string, path array<long>, f long")
 
 
 def _grouped(leaves: DataFrame, budget: int) -> DataFrame:
@@ -297,10 +374,12 @@ def collocations(
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     salt = _salt(counts, least)
     words = counts.filter(F.col("f") >= least).withColumn("key", F.xxhash64(F.concat(F.lit(salt), "word")))
-    word_bits = spark.sparkContext.broadcast(_bit_table(words, F.col("key")))
-    pairs = _pairs(texts, salt, word_bits).filter(F.col("f") >= least)
-    pair_bits = spark.sparkContext.broadcast(_bit_table(pairs, _pair_column(F.col("first"), F.col("second"))))
-    leaves = cut_lineage(_leaves(texts, salt, word_bits, pair_bits))
+    share = spark.sparkContext.broadcast
+    parts = parts_for(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    word_bits = share(_word_bits(words))
+    pair_bits = share(_pair_bits(texts, salt, word_bits, least, parts))
+    longer_bits = share(_longer_bits(texts, salt, word_bits, pair_bits, least, parts))
+    leaves = cut_lineage(_leaves(texts, salt, word_bits, pair_bits, longer_bits, parts))
     found = cut_lineage(phrase_counts(leaves, least, budget))
     kept = _named(_maximal(_scored(found, words, totals), found), words)
     ranked = kept.withColumn("rank", F.lit(None).cast("long")) if top is None else _top(kept, top)

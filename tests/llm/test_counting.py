@@ -272,12 +272,27 @@ def test_deep_prefixes_are_divided(spark):
     assert got == {(1, 2): 53, (1, 2, 3): 50, (1, 2, 3, 4): 50}
 
 
-def test_word_bits_only_let_more_through():
+def test_packed_counts(spark, monkeypatch):
+    """What occurs often is marked, whatever the parts and however little a task holds."""
     import numpy as np
 
-    table = np.zeros(1 << (phrases.BITS - 6), np.uint64)
-    keys = np.array([-1, 0, 1 << 62, 12345 << 40], np.int64)
-    at = keys.view(np.uint64) >> np.uint64(64 - phrases.BITS)
-    for k in at[:3]:
-        table[int(k) >> 6] |= np.uint64(1) << (k & np.uint64(63))
-    assert phrases._marked(table, keys)[:3].all()
+    from effectframe.llm import hash_counts as H
+
+    draw = np.random.default_rng(1)
+    keys = draw.integers(-(1 << 63), 1 << 63, (2, 5000), dtype=np.int64)
+    hashes = H.mixed([keys[0], keys[1]])
+    assert len(np.unique(hashes)) == 5000 and int(hashes.max()) < 1 << H.HASH_BITS
+    some, counts = H.summed(hashes[draw.integers(0, 5000, 9000)], np.ones(9000, np.int64))
+    again = H.unpack(H.pack(some, counts), len(some))
+    assert (again[0] == some).all() and (again[1] == counts).all()
+    assert [H.parts_for(n) for n in (0, 1, H.PER_PART, H.PER_PART + 1, 1 << 60)] == [1, 1, 1, 2, H.MOST_PARTS]
+    draws = draw.integers(0, 5000, 60_000) ** 2 // 5000
+    times = np.bincount(draws, minlength=5000)
+    monkeypatch.setattr(H, "HOLD", 3000)
+    for parts in (1, 16):
+        sent = [b for k in range(3) for b in H.sent(iter(np.array_split(hashes[draws[k::3]], 20)), parts)]
+        rows = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+        assert sum(n for _, n, _ in rows) >= len(np.unique(draws)) and len(sent) > 3
+        table = H.often(spark.createDataFrame(rows, H.PACKED), 12)
+        marks = H.marked(table, hashes >> np.uint64(H.HASH_BITS - H.TABLE_BITS))
+        assert marks[times >= 12].all() and marks.sum() <= (times >= 12).sum() + 10
