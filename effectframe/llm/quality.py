@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from effectframe.llm.give_back import at_end
+
 #: Rated documents the model is fitted on at most, hashed features, least documents per feature, penalty.
 SAMPLE = 20_000
 BITS = 18
 LEAST_DOCS = 5
 PENALTY = 1.0
 KEEP_AT = 0.5
-_MEMO = 400_000
+_MEMO = 200_000
 _OFTEN = 0.1
 
 
@@ -39,9 +41,9 @@ def _slot(kind: str, value: str) -> int:
 
 
 def _shape(word: str) -> str:
-    """Runs of capitals, small letters and digits as one sign each, marks as themselves, cut at eight signs."""
+    """Runs of capitals, small letters and digits as one sign each, marks as themselves, of the whole word."""
     kind = lambda c: "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-    return "".join(k for k, _ in groupby(map(kind, word[:64])))[:8]
+    return "".join(k for k, _ in groupby(map(kind, word)))
 
 
 class _Words(dict):
@@ -59,6 +61,10 @@ class _Words(dict):
 _KNOWN = _Words()
 
 
+def _forget() -> None:
+    _KNOWN.clear()
+
+
 def text_slots(text: str | None) -> set[int]:
     """Slots of the features a text has; none for an empty one."""
     words = (text or "").split()
@@ -188,7 +194,7 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample: int = SAMP
             slots = [np.array(sorted(text_slots(t.as_py())), np.int32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.binary())], ["id", "grade", "slots"])
 
-    found = rows.select("__id", "text", "grade").mapInArrow(run, "id long, grade int, slots binary").collect()
+    found = rows.select("__id", "text", "grade").mapInArrow(at_end(run, _forget), "id long, grade int, slots binary").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["slots"])))
     features = [np.frombuffer(bytes(r["slots"]), np.int32) for r in found]
     return fit_ordinal(features, np.array([r["grade"] for r in found], np.int64), levels)
@@ -245,7 +251,7 @@ def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix:
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     width = len(docs.columns)
     schema += "".join(f", c{width + i} double" for i in range(4))
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, *names)
+    return plain.mapInArrow(at_end(run, _forget), schema).toDF(*docs.columns, *names)
 
 
 def good_documents(docs: DataFrame, model: OrdinalModel, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:

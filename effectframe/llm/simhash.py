@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from effectframe.llm.components import connected_components
+from effectframe.llm.give_back import at_end
 from effectframe.session import cut_lineage
 
 SEED = 42
@@ -99,7 +100,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(at_end(run), "id long, fp long")
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:
@@ -206,7 +207,7 @@ def link_edges(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFram
 
     # In order of nodes: a forest starts at the least node, under every key the same.
     placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(at_end(run), "a long, b long")
 
 
 def near_duplicates(
@@ -351,7 +352,7 @@ def _verified_links(members: DataFrame, words: int, similarity: float, meets) ->
     run = _verified(words, similarity, meets)
     links = "a long, b long"
     columns = ["group", "part", "node", "label", "copy", "sign", "text"]
-    placed = lambda df: df.select(*columns).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(run, links)
+    placed = lambda df: df.select(*columns).repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(at_end(run), links)
     every = F.when(F.col("shared"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     plain = members.withColumns({"label": F.col("node"), "copy": F.lit(0), "part": F.explode(every)})
     first = cut_lineage(placed(plain))
@@ -398,7 +399,7 @@ def _least_of_group(docs: DataFrame, bits: int = 7, words: int = 5, similarity:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["id", "node", "sign"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "id long, node long, sign array<long>")
+    made = rows.mapInArrow(at_end(run), "id long, node long, sign array<long>")
     prints = cut_lineage(made.groupBy("id", "node").agg(F.min("sign").alias("sign")))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("sign").alias("sign")))
     near = link_edges(nodes.select("node", F.element_at("sign", 1).alias("fp")), bits)
@@ -450,7 +451,7 @@ def _only_own_text(rows: DataFrame) -> DataFrame:
             pairs = zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)
             yield batch.filter(pa.array([n == _text_node(t.as_py()) for n, t in pairs], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(at_end(run), rows.schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectframe.llm.cells import with_cells
+from effectframe.llm.give_back import after_group, after_groups, at_end
 from effectframe.llm.induced_sort import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
@@ -462,8 +463,8 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str, keep_text
     at_cells = celled.select("cell", number, *plain.columns)
     mine = at_cells if keep_text else at_cells.select("cell", "id", text)
     to_pieces = at_cells.select("cell", "id", F.col(text).cast("string").alias("text"))
-    anchors = to_pieces.mapInArrow(_anchor_blobs(length, shards), "shard int, count int, blob binary")
-    told = anchors.groupBy("shard").applyInArrow(_repeated_anchors, "cell long, count int, blob binary")
+    anchors = to_pieces.mapInArrow(at_end(_anchor_blobs(length, shards)), "shard int, count int, blob binary")
+    told = anchors.groupBy("shard").applyInArrow(after_group(_repeated_anchors), "cell long, count int, blob binary")
     place = text_at if keep_text else 0
     pieces = _piece_blobs(length, shards)
 
@@ -472,14 +473,14 @@ def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str, keep_text
 
     # Both steps over the ranges read one exchange of the texts.
     ranges = mine.groupBy("cell")
-    blobs = ranges.cogroup(told.groupBy("cell")).applyInArrow(cut, "shard int, count int, blob binary")
-    answers = blobs.groupBy("shard").applyInArrow(_answer(length), "cell long, count int, total int, blob binary")
+    blobs = ranges.cogroup(told.groupBy("cell")).applyInArrow(after_groups(cut), "shard int, count int, blob binary")
+    answers = blobs.groupBy("shard").applyInArrow(after_group(_answer(length)), "cell long, count int, total int, blob binary")
     schema = (
         ", ".join(f"c{i} {docs.schema[i].dataType.simpleString()}" for i in range(len(names)))
         if keep_text
         else "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    return ranges.cogroup(answers.groupBy("cell")).applyInArrow(_apply(length, place, keep_text), schema)
+    return ranges.cogroup(answers.groupBy("cell")).applyInArrow(after_groups(_apply(length, place, keep_text)), schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
