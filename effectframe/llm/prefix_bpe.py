@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from effectframe.llm.vocab import blocks, merge, read_ranks, split
 
-PIECES = 300_000
-PREFIXES = 900_000
+#: Entries a worker remembers at most: pieces, prefixes, pairs of tokens; some 70 MB each.
+PIECES = 200_000
+PREFIXES = 400_000
+PAIRS = 600_000
 _SHORT = 64
 
 
@@ -36,7 +38,7 @@ class PrefixEncoder:
             for i in range(1, len(token)):
                 self._ends.setdefault(token[i:], None)
         self._ends.update(ranks)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._shared: dict[bytes, int] = {}
 
@@ -53,13 +55,14 @@ class PrefixEncoder:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives these two tokens."""
-        known = self._pairs.get((left, right))
+        key = left << 32 | right
+        known = self._pairs.get(key)
         if known is None:
             a, b = self._bytes[left], self._bytes[right]
             known = self._merged(a + b) == [a, b]
-            if len(self._pairs) >= 4 * PREFIXES:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            self._pairs[left, right] = known
+            self._pairs[key] = known
         return known
 
     def _last_token(self, data: bytes, end: int, last: Sequence[int] | None) -> int:

@@ -34,6 +34,7 @@ PENALTY = 1.0
 KEEP_AT = 0.5
 _MEMO = 200_000
 _OFTEN = 0.1
+_BACK = 500
 
 
 def _slot(kind: str, value: str) -> int:
@@ -241,7 +242,8 @@ def graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Texts go back in small batches: what Spark reads at a time stays small beside long texts.
+        for batch in (whole.slice(i, _BACK) for whole in batches for i in range(0, whole.num_rows, _BACK)):
             score = score_batch(batch.column(at), shared)
             tails = cast.value.tails(score)
             made = [score, tails.sum(axis=1), tails[:, 0], tails[:, -1]]

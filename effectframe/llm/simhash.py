@@ -393,9 +393,11 @@ def _least_of_group(docs: DataFrame, bits: int = 7, words: int = 5, similarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            heads = [_text_node(t) for t in texts]
-            signs = [np.r_[np.uint64(word_set_fingerprint(t)), band_keys(_shingle_hashes(t, words))].view(np.int64) for t in texts]
+            heads, signs = [], []
+            for value in batch.column(1):
+                t = value.as_py()
+                heads.append(_text_node(t))
+                signs.append(np.r_[np.uint64(word_set_fingerprint(t)), band_keys(_shingle_hashes(t, words))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["id", "node", "sign"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
