@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from effectframe.constants import CURATED_EVIDENCE
 from effectframe.functions import text
-from effectframe.operators import graph, walks
+from effectframe.operators import graph, metrics, walks
+from effectframe.plans import genes as gene_plans
 from effectframe.queries import standins as S
 from effectframe.queries.base import query, table
 from effectframe.session import cut_lineage
@@ -216,3 +217,16 @@ def skip_gram_genes(spark, folder):
     found = walks.random_walks(cut_lineage(_edges(spark, folder)), _STEPS, 2)
     genes = walks.gene_vectors(walks.skip_gram_vectors(found, dim=16, context=3))
     return genes.select("gene", F.size("vec").alias("dim"))
+
+
+@query("skip_gram_links")
+def skip_gram_links(spark, folder):
+    """How well vectors trained without the held-out edges tell them from pairs without an edge: rows only."""
+    train, held = graph.hold_out_edges(cut_lineage(_edges(spark, folder)))
+    train, held = cut_lineage(train), cut_lineage(held)
+    found = walks.random_walks(train, 10, 2)
+    nodes = cut_lineage(walks.skip_gram_vectors(found, dim=16, context=3, epochs=2, lr=0.05, blocks=4))
+    scored = cut_lineage(gene_plans.link_scores(nodes, held, train))
+    areas = metrics.curve_areas(scored, "linked", "score")
+    sizes = scored.agg(F.count("*").alias("pairs"), F.sum("linked").cast("long").alias("linked"))
+    return sizes.crossJoin(areas.select(F.round("roc_auc", 6).alias("roc_auc"), F.round("avg_precision", 6).alias("avg_precision")))
