@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from effectframe.functions import vectors
 from effectframe.operators.features import Blocks, fit_zscore
 from effectframe.operators.metrics import best_threshold, curve_areas, threshold_metrics
+from effectframe.operators.network import Training, fit_network, with_probability
 from effectframe.operators.splits import balanced_sample, with_class_weight
 from effectframe.session import cut_lineage
 
@@ -112,6 +113,21 @@ def perceptron_scores(
     return [_with_probability(model.transform(d)) for d in rest]
 
 
+def network_scores(
+    train: DataFrame, other: Sequence[DataFrame], dim: int, key: str, label: str = "_y",
+    hidden: Sequence[int] = (512, 256), how: Training = Training(),
+    validation: DataFrame | None = None, metric: str = "roc_auc",
+) -> list[DataFrame]:
+    """``other`` frames with ``prob`` from a class-weighted network with dropout. Runs jobs (see ``fit_network``)."""
+    if metric not in ("roc_auc", "avg_precision"):
+        raise ValueError("metric must be 'roc_auc' or 'avg_precision'")
+    scaler = fit_zscore(train, "features")
+    scaled = lambda d: d.withColumn("features", scaler.apply(F.col("features")))
+    watched = None if validation is None else scaled(validation)
+    network, _ = fit_network(scaled(train), watched, dim, key, "features", label, hidden, how, metric)
+    return [with_probability(scaled(d), network, "features") for d in other]
+
+
 def _with_probability(scored: DataFrame) -> DataFrame:
     prob = F.element_at(vector_to_array("__p"), 2)
     return scored.withColumn("prob", prob).drop("__v", "__p", "__raw", "__pred")
@@ -137,8 +153,12 @@ def probe_report(scored: DataFrame, label: str = "_y", criterion: str = "youden"
 def score_mode(
     features: DataFrame, blocks: Blocks, mode: str, model: str = "logistic", label: str = "_y",
     key: str = "variation_key", seed: int = 0, hidden: Sequence[int] = (512, 256), max_iter: int = 100,
+    training: dict | None = None,
 ) -> DataFrame:
-    """``(mode, split, label, prob)`` of validation and test, fitted on train. Runs jobs."""
+    """``(mode, split, label, prob)`` of validation and test, fitted on train. Runs jobs.
+
+    ``training`` holds settings of the network besides epochs (``max_iter``) and seed.
+    """
     base = features.select(
         key, "split", F.col(label).cast("int").alias(label), mode_vector(blocks, mode).alias("features")
     )
@@ -149,8 +169,13 @@ def score_mode(
         dim = sum(getattr(blocks, b) for b in mode.split("+"))
         held = rest.filter(F.col("split") == "val")
         (scored,) = perceptron_scores(train, [rest], dim, key, label, hidden, max_iter, seed, validation=held)
+    elif model == "network":
+        dim = sum(getattr(blocks, b) for b in mode.split("+"))
+        held = rest.filter(F.col("split") == "val")
+        how = Training(epochs=max_iter, seed=seed, **(training or {}))
+        (scored,) = network_scores(train, [rest], dim, key, label, hidden, how, held)
     else:
-        raise ValueError("model must be 'logistic' or 'perceptron'")
+        raise ValueError("model must be 'logistic', 'perceptron' or 'network'")
     return scored.select(F.lit(mode).alias("mode"), "split", label, "prob")
 
 

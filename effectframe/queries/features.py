@@ -357,3 +357,12 @@ def probe_perceptron(spark, folder):
     return probes.run_probe_modes(
         _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="perceptron", hidden=(32, 32), max_iter=20
     )
+
+
+@query("probe_network")
+def probe_network(spark, folder):
+    """Class-weighted network with dropout, early stop on validation; iterative fit, rows only."""
+    return probes.run_probe_modes(
+        _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="network", hidden=(32, 16), max_iter=6,
+        training={"batch_rows": 16_384, "lr": 5e-3},
+    )
