@@ -152,17 +152,23 @@ def signal_to_noise(before: Column, after: Column) -> Column:
     return (population_std(before) + 1e-8) / (population_std(noise) + 1e-8)
 
 
+def is_finite(x: Column) -> Column:
+    """Whether an element is a number: neither null nor NaN nor an infinity."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
+
+
+def all_finite(vec: Column) -> Column:
+    """False for a null vector."""
+    return F.coalesce(F.forall(vec, is_finite), F.lit(False))
+
+
 def finite_share(vec: Column) -> Column:
-    limit = F.lit(float("inf"))
-    finite = F.filter(
-        vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < limit)
-    )
-    return F.size(finite) / F.size(vec)
+    return F.size(F.filter(vec, is_finite)) / F.size(vec)
 
 
 def finite_min(vec: Column) -> Column:
-    return F.array_min(F.filter(vec, lambda x: ~F.isnan(x)))
+    return F.array_min(F.filter(vec, is_finite))
 
 
 def finite_max(vec: Column) -> Column:
-    return F.array_max(F.filter(vec, lambda x: ~F.isnan(x)))
+    return F.array_max(F.filter(vec, is_finite))

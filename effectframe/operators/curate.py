@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectframe import constants as C
-from effectframe.functions import text
+from effectframe.functions import text, vectors
 from effectframe.schemas import require_columns
 
 
@@ -83,5 +83,5 @@ def feature_violations(df: DataFrame, label: str, vec: str, dim: int) -> DataFra
         F.count_if(y.isNotNull() & ~y.isin(0, 1)).alias("label_not_binary"),
         F.count_if(F.col(vec).isNull()).alias("vector_missing"),
         F.count_if(F.size(vec) != dim).alias("vector_wrong_size"),
-        F.count_if(F.exists(vec, lambda x: x.isNull() | F.isnan(x))).alias("vector_not_finite"),
+        F.count_if(F.exists(vec, lambda x: ~vectors.is_finite(x))).alias("vector_not_finite"),
     )

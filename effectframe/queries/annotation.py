@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from effectframe.functions import text
 from effectframe.operators import annotate, audit, curate, joins
 from effectframe.queries import standins as S
 from effectframe.queries.base import query, table
+from effectframe.sources.tables import json_rows
 
 _FLAT = [
     "id", "most_severe_consequence", "allele_string", "gene_symbol", "mane_select", "impact",
@@ -168,3 +170,47 @@ def completeness(spark, folder):
 def top_values(spark, folder):
     flat = annotate.flatten_consequences(S.consequences(spark, folder))
     return audit.top_values(flat, "consequence_terms")
+
+
+@query(
+    "json_quarantine",
+    """SELECT event_type, count_if(event_id % 10 > 2) AS n_records, count_if(event_id % 10 <= 2) AS n_broken,
+      sum(CASE WHEN event_id % 10 > 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END)::BIGINT AS k_sum
+    FROM events WHERE event_id % 10 <> 9 GROUP BY 1""",
+)
+def json_quarantine(spark, folder):
+    """Lines of which some are cut short, no object, or of a wrong type; others are blank: sums of both outputs."""
+    kind = F.col("event_id") % 10
+    line = (
+        F.when(kind == 0, F.expr("substring(props, 1, length(props) - 1)"))
+        .when(kind == 1, F.lit("no JSON at all"))
+        .when(kind == 2, F.lit('{"k": "seven", "type": "x"}'))
+        .when(kind == 9, F.lit("  "))
+        .otherwise(F.concat(F.lit('{"type": "'), "event_type", F.lit('", '), F.substr("props", F.lit(2))))
+    )
+    lines = table(spark, folder, "events").select("event_type", line.alias("value"))
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("type", T.StringType())])
+    records, broken = json_rows(lines, schema)
+    zero = F.lit(0).cast("long")
+    both = records.select(F.col("type").alias("event_type"), F.lit(1).alias("good"), F.col("k")).unionByName(
+        broken.select("event_type", F.lit(0).alias("good"), zero.alias("k"))
+    )
+    return both.groupBy("event_type").agg(
+        F.count_if(F.col("good") == 1).alias("n_records"), F.count_if(F.col("good") == 0).alias("n_broken"), F.sum("k").alias("k_sum")
+    )
+
+
+@query(
+    "split_slices",
+    """WITH variants AS (SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END AS split FROM lineitem)
+    SELECT split, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders o
+    JOIN (SELECT DISTINCT id, split FROM variants) v ON v.id = o.o_orderkey GROUP BY 1""",
+)
+def split_slices(spark, folder):
+    """Annotation slices of variants which stand on several rows, in several splits: rows are not multiplied."""
+    turn = F.col("l_linenumber") % 3
+    split = F.when(turn == 0, "test").when(turn == 1, "train").otherwise("val")
+    variants = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("VariationID"), split.alias("split"))
+    combined = table(spark, folder, "orders").select(F.col("o_orderkey").alias("VariationID"), "o_custkey")
+    slices = annotate.split_slices(combined, variants)
+    return slices.groupBy("split").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effectframe.functions import vectors
-from effectframe.operators import ablation, curate, features, probes
+from effectframe.operators import ablation, audit, curate, features, probes
 from effectframe.operators.features import Blocks
 from effectframe.queries.base import query, table
 from effectframe.session import cut_lineage
@@ -137,16 +137,16 @@ def feature_coverage(spark, folder):
     "feature_violations",
     """SELECT count(*) AS n_rows, count_if(label = 3) AS label_missing, count_if(label = 4) AS label_not_binary,
       count_if(vec_id % 7 = 1) AS vector_missing, count_if(vec_id % 7 = 2) AS vector_wrong_size,
-      count_if(vec_id % 7 IN (3, 4)) AS vector_not_finite FROM embeddings""",
+      count_if(vec_id % 7 > 2) AS vector_not_finite FROM embeddings""",
 )
 def feature_violations(spark, folder):
     """Features of which some lack a label or a vector, or have a wrong one."""
     kind, x = F.col("vec_id") % 7, F.col("x")
-    odd = F.when(kind == 3, F.lit(float("nan")))
+    odd = F.when(kind == 3, F.lit(float("nan"))).when(kind == 5, F.lit(float("inf"))).when(kind == 6, F.lit(float("-inf")))
     broken = _embeddings(spark, folder).select(
         F.when(F.col("label") == 4, 2).when(F.col("label") != 3, 1).alias("_y"),
         F.when(kind == 2, F.slice(x, 1, 10))
-        .when(kind.isin(3, 4), F.concat(F.slice(x, 1, 63), F.array(odd.cast("float"))))
+        .when(kind > 2, F.concat(F.slice(x, 1, 63), F.array(odd.cast("float"))))
         .when(kind != 1, x)
         .alias("x"),
     )
@@ -366,3 +366,29 @@ def probe_network(spark, folder):
         _stored(_split_features(spark, folder)), BLOCKS, ["dna+go"], model="network", hidden=(32, 16), max_iter=6,
         training={"batch_rows": 16_384, "lr": 5e-3},
     )
+
+
+@query(
+    "feature_check",
+    """WITH parts AS (
+      SELECT CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, label > 4 AS positive,
+        vec_id % 7 IN (1, 2, 3) AS broken, embedding AS x FROM embeddings
+    )
+    SELECT split, count(*) AS n, 64 AS dim_min, 64 AS dim_max,
+      round(avg(CASE WHEN broken THEN 0.0 ELSE 1.0 END), 9) AS finite_rows,
+      round(CAST(min(list_min(CASE WHEN broken THEN x[1:63] ELSE x END)) AS DOUBLE), 5) AS value_min,
+      round(CAST(max(list_max(CASE WHEN broken THEN x[1:63] ELSE x END)) AS DOUBLE), 5) AS value_max
+    FROM parts GROUP BY split""",
+)
+def feature_check(spark, folder):
+    """Checks before training, of features with a NaN, an infinity or a null in some rows."""
+    kind, x = F.col("vec_id") % 7, F.col("x")
+    odd = F.when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(float("-inf"))).cast("float")
+    rows = _embeddings(spark, folder).select(
+        F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"),
+        (F.col("label") > 4).cast("int").alias("_y"),
+        F.when(kind.isin(1, 2, 3), F.concat(F.slice(x, 1, 63), F.array(odd))).otherwise(x).alias("x"),
+    )
+    found = audit.feature_check(rows)
+    rounded = [F.round(F.col(c).cast("double"), d).alias(c) for c, d in (("finite_rows", 9), ("value_min", 5), ("value_max", 5))]
+    return found.select("split", "n", "dim_min", "dim_max", *rounded)

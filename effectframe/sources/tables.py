@@ -61,9 +61,29 @@ def read_table(source: str | DataFrame, spark: SparkSession | None = None) -> Da
     raise ValueError(f"unknown kind of table: {source}")
 
 
+def json_rows(lines: DataFrame, schema: T.StructType, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, broken lines) of a table with one JSON object per row.
+
+    Records have the columns of ``schema``, broken lines what else the table holds and the line. A line is
+    broken when it is no JSON object or a field does not fit its type. Blank lines and nulls are neither.
+    """
+    broken, record = "__broken", "__record"
+    whole = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    parsed = lines.filter(F.trim(F.col(column)) != "").withColumn(record, F.from_json(column, whole, options))
+    bad = F.col(record).isNull() | F.col(record)[broken].isNotNull()
+    return parsed.filter(~bad).select(*[F.col(record)[f.name].alias(f.name) for f in schema.fields]), parsed.filter(bad).drop(record)
+
+
 def read_consequences(spark: SparkSession, path: str) -> DataFrame:
-    """Nested consequence records, one JSON object per line."""
-    return spark.read.schema(CONSEQUENCE_SCHEMA).json(path)
+    """Nested consequence records, one JSON object per line; a broken line fails the job which reads it."""
+    return spark.read.schema(CONSEQUENCE_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def read_consequences_apart(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, broken lines with their file) of consequence records: every line is in one of the two."""
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    return json_rows(lines, CONSEQUENCE_SCHEMA)
 
 
 def read_gene_term_edges(

@@ -1,8 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from effectframe.operators import annotate, audit
+from effectframe.schemas import CONSEQUENCE_SCHEMA
+from effectframe.sources import tables
 from effectframe.sources.tables import read_consequences
 
 RECORDS = [
@@ -91,3 +94,22 @@ def test_top_values_and_completeness(spark):
     assert audit.completeness(df, ["v"]).first()["pct_v"] == 60.0
     counts = audit.stage_counts({"all": df.withColumn("split", F.lit("train"))}).collect()
     assert [tuple(r) for r in counts] == [("train", "all", 5)]
+
+
+def test_slices_are_taken_by_membership(spark):
+    variants = spark.createDataFrame([(1, "train"), (1, "train"), (2, "val"), (3, "train"), (3, "test")], "VariationID long, split string")
+    combined = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")], "VariationID long, hgvsp string")
+    got = sorted((r["split"], r["hgvsp"]) for r in annotate.split_slices(combined, variants).collect())
+    assert got == [("test", "d"), ("train", "a"), ("train", "b"), ("train", "d"), ("val", "c")]
+
+
+def test_broken_lines_are_kept_apart(spark, tmp_path):
+    lines = ['{"id": "1", "other": 1}', '{"id": "2"', "", "[1, 2", '{"id": "3", "transcript_consequences": "none"}', '{"id": "4"}', " "]
+    (tmp_path / "records.json").write_text("\n".join(lines))
+    records, broken = tables.read_consequences_apart(spark, str(tmp_path / "records.json"))
+    assert records.columns == CONSEQUENCE_SCHEMA.fieldNames()
+    assert sorted(r["id"] for r in records.collect()) == ["1", "4"]
+    assert sorted(r["value"] for r in broken.collect()) == sorted([lines[1], lines[3], lines[4]])
+    assert all(r["file"].endswith("records.json") for r in broken.collect())
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        tables.read_consequences(spark, str(tmp_path / "records.json")).collect()
