@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from effectframe.llm.vocab import blocks, merge, read_ranks, split
 
-#: Entries a worker remembers at most: pieces, prefixes, pairs of tokens; some 70 MB each.
-PIECES = 200_000
+#: Entries a worker remembers at most: pieces, prefixes, pairs of tokens; some 100, 60 and 70 MB.
+PIECES = 300_000
 PREFIXES = 400_000
 PAIRS = 600_000
 _SHORT = 64
