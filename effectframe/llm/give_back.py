@@ -7,7 +7,6 @@ would add to what the next stage needs, so each task ends by handing it back.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -24,7 +23,6 @@ def _trim() -> Callable[[int], int] | None:
 
 
 def release() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim() is not None:
         _trim()(0)
