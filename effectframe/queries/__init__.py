@@ -2,6 +2,7 @@
 
 from effectframe.queries import (  # noqa: F401
     annotation,
+    connectors,
     curation,
     evaluation,
     features,

@@ -20,18 +20,18 @@ def _edges(spark, folder):
     return graph.build_graph(terms, genes)
 
 
-@query(
-    "gaf_edges",
-    """WITH rows AS (
+GAF_SQL = """WITH rows AS (
       SELECT s_name AS gene, 'GO:' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS term, l_returnflag,
         l_linestatus, l_linenumber, s_nationkey
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
     )
     SELECT gene, term, count(*) AS n FROM rows
     WHERE l_returnflag <> 'R' AND l_linestatus = 'F' AND s_nationkey <> 0 AND l_linenumber IN (1, 2, 3)
-    GROUP BY 1, 2""",
-)
-def gaf_edges(spark, folder):
+    GROUP BY 1, 2"""
+
+
+def gaf_lines(spark, folder):
+    """One annotation line per order line."""
     lines, suppliers = table(spark, folder, "lineitem"), table(spark, folder, "supplier")
     joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     number = F.col("l_linenumber")
@@ -50,7 +50,12 @@ def gaf_edges(spark, folder):
         F.lit("protein"),
         F.when(F.col("s_nationkey") == 0, "taxon:10090").otherwise("taxon:9606|taxon:10090"),
     ]
-    gaf = joined.select(F.concat_ws("\t", *fields).alias("value"))
+    return joined.select(F.concat_ws("\t", *fields).alias("value"))
+
+
+@query("gaf_edges", GAF_SQL)
+def gaf_edges(spark, folder):
+    gaf = gaf_lines(spark, folder)
     edges = graph.gene_term_edges(gaf, evidence=CURATED_EVIDENCE, aspects=["P", "F"])
     return edges.groupBy("gene", "term").agg(F.count(F.lit(1)).alias("n"))
 

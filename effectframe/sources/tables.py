@@ -10,17 +10,21 @@ from pyspark.sql import types as T
 
 from effectframe import constants as C
 from effectframe.functions.text import missing_to_null
-from effectframe.operators.graph import gene_term_edges, term_term_edges
-from effectframe.schemas import CONSEQUENCE_SCHEMA, ONTOLOGY_SCHEMA, VARIANT_SCHEMA, require_columns
+from effectframe.operators.graph import annotation_edges, gene_term_edges, term_term_edges
+from effectframe.schemas import CONSEQUENCE_SCHEMA, ONTOLOGY_SCHEMA, VARIANT_SCHEMA, SchemaError, require_columns
+from effectframe.sources import files, formats
 
 
-def read_variants(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_variants(
+    spark: SparkSession, path: str, partitions: int | None = None, blocks: bool = False
+) -> DataFrame:
     """Tab-separated variant summary, plain or gzip, with a header row.
 
     All columns are read as text by position of their header name, the kept ones
     get their types. A gzip file is one split: ``partitions`` spreads it afterwards.
+    With ``blocks`` a block-compressed file is unpacked by many tasks, see ``read_block_table``.
     """
-    raw = _delimited(spark, path, "\t")
+    raw = read_block_table(spark, path, "\t") if blocks else _delimited(spark, path, "\t")
     require_columns(raw, C.VARIANT_COLUMNS)
     typed = raw.select(
         *[
@@ -38,6 +42,29 @@ def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return reader.csv(path)
 
 
+def read_block_table(spark: SparkSession, path: str, sep: str = "\t", range_bytes: int | None = None) -> DataFrame:
+    """A delimited table with a header row, dealt to tasks by byte range although it is compressed in blocks.
+
+    All columns are texts. Rows equal to the header are no rows, so every file of a folder may have it; the driver
+    reads the first line of the first file. A plain gzip file is read too, by one task; a field holds no line end.
+    """
+    formats.register(spark)
+    ranges = files.byte_ranges(path, range_bytes or formats.RANGE_BYTES)
+    header = next(files.own_lines(ranges[0]), "") if ranges else ""
+    if not header:
+        raise SchemaError(f"no header row in {path}")
+    names = header.removeprefix("\ufeff").split(sep)
+    schema = T.StructType([T.StructField(n.strip('"'), T.StringType()) for n in names])
+    reader = spark.read.format("bgzf").option("range_bytes", range_bytes or formats.RANGE_BYTES)
+    lines = reader.load(path).filter((F.col("value") != "") & (F.col("value") != header))
+    options = {"sep": sep, "escape": '"'}
+    return lines.select(F.from_csv("value", _ddl(schema), options).alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
 def read_table(source: str | DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """A table by suffix: parquet, orc, json (one object per line), csv, or tab-separated tsv, tab and txt."""
     if isinstance(source, DataFrame):
@@ -98,6 +125,20 @@ def read_gene_term_edges(
     return gene_term_edges(spark.read.text(path), "value", taxon, evidence, aspects)
 
 
+def read_annotation_edges(
+    spark: SparkSession,
+    path: str,
+    taxon: str = C.HUMAN_TAXON,
+    curated_only: bool = False,
+    aspects: Sequence[str] | None = ("P", "F"),
+) -> DataFrame:
+    """``read_gene_term_edges`` through ``format("gaf")``: block-compressed files by range, needed fields only."""
+    formats.register(spark)
+    needed = "symbol string, qualifier string, term string, evidence string, aspect string, taxon string"
+    table = spark.read.format("gaf").schema(needed).load(path)
+    return annotation_edges(table, taxon, C.CURATED_EVIDENCE if curated_only else None, aspects)
+
+
 def read_term_edges(spark: SparkSession, path: str) -> DataFrame:
     """``(child, parent)`` is-a edges from an ontology document."""
     document = spark.read.schema(ONTOLOGY_SCHEMA).option("multiLine", True).json(path)
