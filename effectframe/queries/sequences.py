@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from effectframe.functions import text, vectors
-from effectframe.operators import audit, sequences, windows
+from effectframe.operators import audit, batches, sequences, windows
 from effectframe.queries import standins as S
 from effectframe.queries.base import placed, query, table
-from effectframe.session import cut_lineage
+from effectframe.session import cut_lineage, ensure_checkpoint_dir
 
 _CODES = 8
 
@@ -94,6 +96,58 @@ def stage_audit(spark, folder):
     return audit.stage_counts({"dna_input_rows": found, "dna_rows": kept}, "l_returnflag")
 
 
+@query(
+    "stage_ledger",
+    f"""WITH {S.WINDOWS_SQL}
+    SELECT l_returnflag, 'dna_input_rows' AS stage, count(*) AS n FROM loci GROUP BY 1
+    UNION ALL SELECT l_returnflag, 'dna_rows', count(*) FROM windows GROUP BY 1""",
+)
+def stage_ledger(spark, folder):
+    """The counts of ``stage_audit``, taken while the windows are written."""
+    found, _ = _windows(spark, folder)
+    ledger = audit.StageLedger(spark, ("A", "N", "R"), "l_returnflag")
+    kept = ledger.watch(windows.kept_windows(ledger.watch(found, "dna_input_rows")), "dna_rows")
+    kept.write.parquet(f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    return ledger.table()
+
+
+_LIMIT, _OVERLAP, _BUDGET = 500, 50, 12_000
+
+
+@query(
+    "sequence_batches",
+    f"""WITH texts AS (SELECT DISTINCT sha256(text) AS seq_id, text AS seq FROM documents),
+    starts AS (
+      SELECT seq_id, CAST(k AS INTEGER) AS piece, seq,
+        substr(seq, CAST(k * {_LIMIT - _OVERLAP} + 1 AS BIGINT), {_LIMIT}) AS part
+      FROM texts, unnest(range(length(seq) // {_LIMIT - _OVERLAP} + 1)) AS u(k)
+    ),
+    parts AS (
+      SELECT seq_id, piece, greatest(length(part), 1) AS cost FROM starts
+      WHERE piece = 0 OR (length(seq) > {_LIMIT} AND length(part) > {_OVERLAP})
+    ),
+    summed AS (
+      SELECT *, CAST(sum(cost) OVER (ORDER BY cost, seq_id, piece) AS BIGINT) AS through,
+        CAST(sum(cost) OVER () AS BIGINT) AS total FROM parts
+    ),
+    dealt AS (
+      SELECT *, (total + {_BUDGET} - 1) // {_BUDGET} AS batches FROM summed
+    )
+    SELECT least((2 * through - cost) * batches // (2 * total), batches - 1) AS batch, count(*) AS pieces,
+      CAST(sum(cost) AS BIGINT) AS letters, max(cost) AS longest, min(cost) AS shortest
+    FROM dealt GROUP BY 1""",
+)
+def sequence_batches(spark, folder):
+    """Whole texts in pieces, dealt into batches of even cost."""
+    docs = sequences.distinct_sequences(table(spark, folder, "documents"), ["text"])
+    dealt = batches.batched(batches.pieces(docs, _LIMIT, _OVERLAP), _BUDGET, _LIMIT)
+    cost = F.greatest(F.length("seq"), F.lit(1)).cast("long")
+    return dealt.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(cost).alias("letters"),
+        F.max(cost).alias("longest"), F.min(cost).alias("shortest"),
+    )
+
+
 @query(
     "sequence_effects",
     f"""WITH {S.WINDOWS_SQL},
