@@ -156,3 +156,64 @@ def test_sweep_picks_the_best_trial(spark):
         genes.sweep(rows, rows, frame, terms, [setting | {"batch_size": 2}])
     with pytest.raises(ValueError):
         genes.sweep(rows, rows, frame, terms, [])
+
+
+def _fake_sweep(monkeypatch, fail_after=None):
+    """A sweep whose trials cost nothing and note what runs; scores follow from dim and epochs."""
+    ran = []
+
+    def gain(train, val, vecs, dim):
+        if fail_after is not None and len(ran) >= fail_after:
+            raise RuntimeError("lost")
+        ran.append((dim, vecs))
+        return {"delta_roc": dim * 0.01 + vecs * 0.0001, "delta_pr": -float(dim)}
+
+    monkeypatch.setattr(genes, "graph_from_lines", lambda *a, **k: None)
+    monkeypatch.setattr(genes.graph, "hold_out_edges", lambda *a: (None, None))
+    monkeypatch.setattr(genes, "gene_vectors", lambda e, dim, epochs, *a, **k: epochs)
+    monkeypatch.setattr(genes, "probe_gain", gain)
+    return ran
+
+
+def _settings(dims, epochs=8):
+    rest = dict(
+        walk_len=4, ctx_size=2, walks_per_node=2, curated_only=True, no_term_edges=False, drop_roots=True,
+        prune_term_degree=None,
+    )
+    return [dict(dim=d, epochs=epochs, **rest) for d in dims]
+
+
+def test_sweep_goes_on_after_a_loss(spark, tmp_path, monkeypatch):
+    rows, folder = spark.range(1), str(tmp_path / "trials")
+    with monkeypatch.context() as m:
+        first = _fake_sweep(m, fail_after=2)
+        with pytest.raises(RuntimeError, match="lost"):
+            genes.sweep(rows, rows, rows, rows, _settings([2, 9, 4, 5]), folder=folder)
+        assert [d for d, _ in first] == [2, 9]
+    with monkeypatch.context() as m:
+        second = _fake_sweep(m)
+        table, best = genes.sweep(rows, rows, rows, rows, _settings([2, 9, 4, 5]), folder=folder)
+        assert [d for d, _ in second] == [4, 5]
+        whole, other = genes.sweep(rows, rows, rows, rows, _settings([2, 9, 4, 5]))
+        assert sorted(map(str, table.collect())) == sorted(map(str, whole.collect())) and best == other
+        assert best["trial"] == 1 and spark.read.parquet(folder).count() == 4
+        # Another seed or another number of epochs is another trial.
+        del second[:]
+        genes.sweep(rows, rows, rows, rows, _settings([2]), folder=folder, seed=1)
+        genes.sweep(rows, rows, rows, rows, _settings([2], epochs=3), folder=folder)
+        assert len(second) == 2
+
+
+def test_sweep_at_once_and_by_halves(spark, monkeypatch):
+    rows = spark.range(1)
+    ran = _fake_sweep(monkeypatch)
+    one, best = genes.sweep(rows, rows, rows, rows, _settings(range(2, 10)))
+    many, again = genes.sweep(rows, rows, rows, rows, _settings(range(2, 10)), at_once=4)
+    assert best == again and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    del ran[:]
+    table, best = genes.sweep(rows, rows, rows, rows, _settings(range(2, 10)), halvings=2)
+    assert [e for _, e in ran] == [2] * 8 + [4] * 4 + [8] * 2
+    assert best["trial"] == 7 and best["setting"]["epochs"] == "8" and table.count() == 14
+    for wrong in ({"at_once": 0}, {"halvings": -1}):
+        with pytest.raises(ValueError, match="at least"):
+            genes.sweep(rows, rows, rows, rows, _settings([2]), **wrong)
