@@ -4,20 +4,17 @@ Suffixes are larger (L) or smaller (S) than their successor; an S suffix after a
 one is leftmost-smaller (LMS). Sorting the LMS suffixes sorts all others: one pass
 over the buckets of first symbols places the L suffixes, one pass back the S
 suffixes. The same two passes sort the LMS substrings, whose names make the reduced
-string of the recursion. A bucket is handled as a whole: all its entries send their
-predecessors to the fronts (or ends) of other buckets in one stable step, and only
-runs of one symbol need more steps.
-
-The reduced string is sorted by recursion as long as its alphabet is small enough
-for steps by bucket, else by doubling the ranks of its names.
+string of the recursion. Buckets are handled in spans: as long as no bucket of a span
+sends anything into the span, all its entries send their predecessors to the fronts
+(or ends) of other buckets in one stable step, and only runs of one symbol need more
+steps. So the many rare names of a reduced string cost few steps, and the recursion
+is the same at every size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BUCKETS = 4096
-
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last one counts as S."""
@@ -30,20 +27,65 @@ def _types(text: np.ndarray) -> np.ndarray:
     return small
 
 
+def _put(order: np.ndarray, fill: np.ndarray, items: np.ndarray, symbol: np.ndarray, step: int) -> None:
+    """``items`` go to the next free places of their buckets, in this order."""
+    by = np.argsort(symbol, kind="stable")
+    items, symbol = items[by], symbol[by]
+    cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+    first = np.zeros(len(cut) + 1, np.int64)
+    first[1:] = cut
+    count = np.full(len(first), len(symbol))
+    count[:-1] = cut
+    count -= first
+    heads = symbol[first]
+    order[np.repeat(fill[heads] - step * first, count) + step * np.arange(len(symbol))] = items
+    fill[heads] += step * count
+
+
 def _push(order: np.ndarray, fill: np.ndarray, came: np.ndarray, text: np.ndarray, wanted: np.ndarray, step: int) -> None:
-    """Predecessors of ``came`` of the wanted type go to their buckets, in this order."""
+    """Predecessors of ``came`` for which ``wanted`` is true go to other buckets, in this order."""
     before = came[came > 0] - 1
     before = before[wanted[before]]
-    if not len(before):
+    if len(before):
+        _put(order, fill, before, text[before], step)
+
+
+def _run(order: np.ndarray, fill: np.ndarray, came: np.ndarray, text: np.ndarray, lead: np.ndarray, step: int) -> None:
+    """What stands before ``came`` in runs of one symbol follows it: all first ones, all second ones and so on."""
+    came = came[lead[came] > 0]
+    if not len(came):
         return
-    symbol = text[before]
-    by = np.argsort(symbol, kind="stable")
-    before, symbol = before[by], symbol[by]
-    first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-    count = np.diff(np.r_[first, len(symbol)])
-    rank = np.arange(len(symbol)) - np.repeat(first, count)
-    order[fill[symbol] + step * rank] = before
-    fill[symbol[first]] += step * count
+    count = lead[came]
+    back = np.arange(1, count.sum() + 1) - np.repeat(np.cumsum(count) - count, count)
+    by = np.argsort(back, kind="stable")
+    items = (np.repeat(came, count) - back)[by].astype(np.int32)
+    _put(order, fill, items, text[items], step)
+
+
+def _spans(used: np.ndarray, reach: np.ndarray) -> list[tuple[int, int]]:
+    """Ascending symbols cut into spans ``(first, last)`` which send nothing into themselves.
+
+    ``reach`` is the least other symbol each one sends to.
+    """
+    spans, first, last, least = [], -1, -1, 0
+    for symbol, to in zip(used.tolist(), reach[used].tolist(), strict=True):
+        if least > symbol:
+            last = symbol
+            if to < least:
+                least = to
+            continue
+        if first >= 0:
+            spans.append((first, last))
+        first, last, least = symbol, symbol, to
+    spans.append((first, last))
+    return spans
+
+
+def _reach(symbol: np.ndarray, to: np.ndarray, symbols: int) -> np.ndarray:
+    """The least ``to`` of each symbol; ``symbols`` where it has none."""
+    least = np.full(symbols, symbols, np.int64)
+    np.minimum.at(least, symbol.astype(np.int64), to.astype(np.int64))
+    return least
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
@@ -55,23 +97,33 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     starts = ends - counts
     bounds = np.searchsorted(text[lms], np.arange(symbols + 1))
     used = np.flatnonzero(counts)
-    front, large = starts.copy(), ~small
-    for c in used.tolist():
-        done = starts[c]
-        while done < front[c]:
-            came, done = order[done : front[c]], front[c]
-            _push(order, front, came, text, large, 1)
-        _push(order, front, lms[bounds[c] : bounds[c + 1]], text, large, 1)
+    fresh = np.r_[True, text[1:] != text[:-1]]  # starts of runs
+    places = np.arange(n, dtype=np.int32)
+    lead = places - np.maximum.accumulate(np.where(fresh, places, 0))
+    parted = np.append(fresh[1:], False)  # the next symbol is another one
+    large, little = ~small & parted, small & parted
+    # The LMS suffixes wait at the ends of their buckets until the second pass.
+    order[ends[text[lms]] - bounds[text[lms] + 1] + np.arange(len(lms))] = lms
+    front = starts.copy()
+    sends = np.flatnonzero(large)
+    for c, d in _spans(used, _reach(text[sends + 1], text[sends], symbols)):
+        came = order[starts[c] : ends[d]]
+        known = came[came >= 0]
+        _run(order, front, known[~small[known]], text, lead, 1)
+        _push(order, front, came[came >= 0], text, large, 1)
+    order[small[order]] = -1
     back = ends - 1
     order[0] = n - 1
-    _push(order, back, order[:1], text, small, -1)
-    for c in used[::-1].tolist():
-        done = ends[c] - 1
-        while done > back[c]:
-            came, done = order[back[c] + 1 : done + 1][::-1], back[c]
-            _push(order, back, came, text, small, -1)
-        _push(order, back, order[starts[c] : front[c]][::-1], text, small, -1)
-    order[0] = n - 1
+    _push(order, back, order[:1], text, little, -1)
+    # The same spans from above: symbols count downwards.
+    top = symbols - 1
+    sends = np.flatnonzero(little)
+    for high, low in _spans(top - used[::-1], _reach(top - text[sends + 1], top - text[sends], symbols)):
+        c, d = top - high, top - low
+        came = order[starts[d] : ends[c]][::-1]
+        known = came[came >= 0]
+        _run(order, back, known[small[known]], text, lead, -1)
+        _push(order, back, came, text, little, -1)
     return order
 
 
@@ -93,31 +145,6 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
     return np.cumsum(np.r_[False, differ])
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet: rounds over what is still tied."""
-    n = len(names)
-    order = np.argsort(names, kind="stable").astype(np.int32)
-    head = np.r_[True, names[order][1:] != names[order][:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1  # nothing comes before something
-    step = 1
-    # A rank is the place of the first of a group; tied is where order has such groups.
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
-    while len(tied):
-        at = order[tied]
-        group = rank[at]
-        after = rank[np.minimum(at + step, n)]
-        by = np.lexsort((after, group))
-        at, group, after = at[by], group[by], after[by]
-        order[tied] = at
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
-        rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
-        tied = tied[~(fresh & np.append(fresh[1:], True))]
-        step *= 2
-    return order
-
-
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Order of all suffixes of ``text``, whose last symbol is a 0 found nowhere else."""
     n = len(text)
@@ -135,10 +162,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     if rank[-1] + 1 < len(ordered):
         named = np.empty(n, np.int32)
         named[ordered] = rank
-        reduced = named[lms]
-        names = int(rank[-1]) + 1
-        deeper = suffix_array(reduced, names) if names <= _BUCKETS else _by_doubling(reduced)
-        ordered = lms[deeper]
+        ordered = lms[suffix_array(named[lms], int(rank[-1]) + 1)]
     return _induce(text, small, ordered, symbols)
 
 

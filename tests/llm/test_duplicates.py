@@ -158,8 +158,38 @@ def test_suffix_arrays():
         text = [draw.randint(1, k) for _ in range(draw.randint(0, 60))] + [0]
         want = sorted(range(len(text)), key=lambda i: text[i:])
         assert induced_sort.suffix_array(np.array(text, np.int32), k + 1).tolist() == want
-        names = np.unique(text, return_inverse=True)[1]
-        assert induced_sort._by_doubling(names).tolist() == want
+
+
+def _is_suffix_array(text, order):
+    """Neighbours ascend: by symbol, then by the rank of what follows."""
+    n = len(text)
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = np.arange(n)
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    less = (text[a] < text[b]) | ((text[a] == text[b]) & (rank[a + 1] < rank[b + 1]))
+    return sorted(order.tolist()) == list(range(n)) and bool(less.all())
+
+
+def test_long_suffix_arrays_recurse(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(2, 9))).tolist()) for _ in range(30_000)]
+    ranks = np.minimum(rng.zipf(1.2, 250_000) - 1, len(words) - 1)
+    prose = np.frombuffer(b" ".join(words[i] for i in ranks.tolist()), np.uint8)[:1_000_000].astype(np.int32)
+    assert len(prose) == 1_000_000
+    depths = []
+    inner = induced_sort.suffix_array
+
+    def counted(text, symbols):
+        depths.append(symbols)
+        return inner(text, symbols)
+
+    monkeypatch.setattr(induced_sort, "suffix_array", counted)
+    text = np.append(prose, 0).astype(np.int32)
+    assert _is_suffix_array(text, induced_sort.suffix_array(text, 256))
+    assert len(depths) >= 4 and max(depths) > 4096  # names beyond any small alphabet, and still a recursion
+    for body in (np.tile([1, 2], 100_000), np.tile([2, 1, 1], 60_000), np.ones(200_000), rng.integers(1, 100_000, 200_000)):
+        text = np.append(body, 0).astype(np.int32)
+        assert _is_suffix_array(text, inner(text, int(text.max()) + 1))
 
 
 def test_common_prefixes():
