@@ -7,6 +7,7 @@ from effectframe.queries import (  # noqa: F401
     evaluation,
     features,
     graphs,
+    jobs,
     prompting,
     sequences,
 )

@@ -86,9 +86,11 @@ curated AS (
   WHERE ChromosomeAccession IS NOT NULL AND PositionVCF > 0 AND _y IS NOT NULL
 )"""
 
-SPLIT_SQL = CURATED_SQL + """,
-genes AS (
-  SELECT GeneSymbol, CAST(round_even(avg(_y), 0) AS INTEGER) AS cls FROM curated GROUP BY 1
+
+def assigned_sql(source: str) -> str:
+    """``assigned(GeneSymbol, split)`` of the variants in ``source``."""
+    return f"""genes AS (
+  SELECT GeneSymbol, CAST(round_even(avg(_y), 0) AS INTEGER) AS cls FROM {source} GROUP BY 1
 ),
 ranked AS (
   SELECT GeneSymbol, cls,
@@ -104,6 +106,9 @@ assigned AS (
 )"""
 
 
+SPLIT_SQL = f"{CURATED_SQL},\n{assigned_sql('curated')}"
+
+
 def line_id():
     """A key of the order lines, which have none of their own."""
     quantity = F.col("l_quantity").cast("long")
