@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from effectframe.operators import annotate, audit
+from effectframe.queries import standins
 from effectframe.schemas import CONSEQUENCE_SCHEMA
 from effectframe.sources import tables
 from effectframe.sources.tables import read_consequences
+from smallest import SF
 
 RECORDS = [
     {
@@ -113,3 +115,11 @@ def test_broken_lines_are_kept_apart(spark, tmp_path):
     assert all(r["file"].endswith("records.json") for r in broken.collect())
     with pytest.raises(Exception, match="MALFORMED|Malformed"):
         tables.read_consequences(spark, str(tmp_path / "records.json")).collect()
+
+
+def test_order_lines_are_gathered_narrow(spark):
+    """Lists of whole transcripts filled the sort under the aggregation and spilled."""
+    records = standins.consequences(spark, SF)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    (gathered,) = [line for line in plan.splitlines() if "collect_list" in line]
+    assert "l_suppkey" in gathered and "HGNC" not in gathered and "ENST" not in gathered
