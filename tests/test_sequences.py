@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pandas as pd
@@ -181,3 +182,20 @@ def test_first_occurrence_and_sanitize(spark):
     got = {r["s"]: (r["first_key"], r["n_rows"]) for r in sequences.first_occurrence(df, "id", "s").collect()}
     assert got == {"x": (1, 2), "y": (2, 1)}
     assert df.select(sanitize_dna(F.lit("ryA"))).first()[0] == "NNA"
+
+
+def test_texts_are_encoded_where_they_stand(spark):
+    """Tokens as rows filled hash maps with (digest, token) of all texts of a task."""
+    letters = "ACGTé漢😀 \n" + "".join(chr(300 + i) for i in range(1500))
+    draw = random.Random(3)
+    texts = ["", "A", "é😀"] + ["".join(draw.choices(letters, k=n)) for n in (4, 5, 40, 3000)] + ["ACGT" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    for k, dim in ((1, 8), (4, 16), (7, 16)):
+        encoded = sequences.kmer_encoder(k, dim)(df)
+        plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan
+        for i, vec in encoded.collect():
+            text = texts[i]
+            tokens = [text[j : j + k] for j in range(len(text) - k + 1)] or [text]
+            slots = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in tokens]
+            assert vec == pytest.approx([slots.count(d) / len(slots) for d in range(dim)], rel=1e-6)
