@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from effectframe.operators import graph, walks
+from effectframe.operators import ranks, graph, walks
 from effectframe.plans import genes
 from effectframe.sources.tables import read_gene_term_edges, read_term_edges
 
@@ -217,3 +217,27 @@ def test_sweep_at_once_and_by_halves(spark, monkeypatch):
     for wrong in ({"at_once": 0}, {"halvings": -1}):
         with pytest.raises(ValueError, match="at least"):
             genes.sweep(rows, rows, rows, rows, _settings([2]), **wrong)
+
+
+def test_walks_do_not_depend_on_how_neighbours_are_packed(spark, monkeypatch):
+    """The adjacency was a row per neighbour, all of them read at every step."""
+    edges = spark.createDataFrame([("hub", f"n{i}") for i in range(9)] + [("n1", "n2")], "src string, dst string")
+    found = []
+    for size in (64, 2):
+        monkeypatch.setattr(walks, "CHUNK", size)
+        found.append(sorted((r["walk"], r["nodes"]) for r in walks.random_walks(edges, 6, 3).collect()))
+    assert found[0] == found[1] and len(found[0]) == 30
+
+
+def test_small_groups_are_ranked_in_one_piece(spark):
+    """Each group was cut into so many buckets that the table of buckets was as long as the rows."""
+    rows = [("large", i) for i in range(300)] + [(f"g{i % 40}", i) for i in range(120)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "g string, x long")
+    ranked = ranks.hash_rank(df, F.col("x").cast("string"), ["x"], "r", ["g"])
+    assert "__large" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["g"], r["x"]): r["r"] for r in ranked.collect()}
+    groups: dict[str, list] = {}
+    for g, x in rows[:-1]:
+        groups.setdefault(g, []).append((hashlib.md5(str(x).encode()).hexdigest(), x))
+    want = {(g, x): n for g, items in groups.items() for n, (_, x) in enumerate(sorted(items), 1)}
+    assert got == want
