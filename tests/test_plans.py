@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from effectframe.operators.sequences import distinct_sequences, kmer_encoder
 from effectframe.operators.splits import split_by_group
-from effectframe.queries import REGISTRY
+from effectframe.queries import REGISTRY, standins
 from smallest import SF
 
 ROW_LEVEL = [
@@ -45,3 +45,8 @@ def test_tokens_are_counted_where_their_text_is(spark):
 def test_hot_genes_are_salted(spark):
     df = spark.range(10).select(F.lit("g").alias("GeneSymbol"), F.lit(1).alias("_y"), "id")
     assert "__salt" in plan(split_by_group(df))
+
+
+def test_loci_are_not_dealt_by_hand(spark):
+    """The join with the bins places the loci; a shuffle of all lines before it was one too many."""
+    assert "RepartitionByExpression" not in standins.loci(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
