@@ -13,17 +13,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectframe.llm.vocab import blocks, merge, read_ranks, split
+from effectframe.llm.give_back import at_end
+from effectframe.llm.vocab import blocks, merge, read_ranks, split, split_all
 
-#: Entries a worker remembers at most: pieces, prefixes, pairs of tokens; some 100, 60 and 70 MB.
-PIECES = 300_000
-PREFIXES = 400_000
+#: Entries a task remembers at most: pieces (and those of one chunk) and pairs of tokens; some 60 and 70 MB. Nothing is kept when it ends.
+PIECES = 400_000
 PAIRS = 600_000
-_SHORT = 64
+_NEVER = 1 << 62
+#: Characters of texts encoded at a time; a longer text is encoded alone.
+CHUNK = 4 << 20
 
 
 class PrefixEncoder:
@@ -32,15 +35,17 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self._ranks = ranks
         self._bytes = {i: t for t, i in ranks.items()}
-        #: Every end of a token, with its id where it is a token itself.
-        self._ends: dict[bytes, int | None] = {}
-        for token in ranks:
-            for i in range(1, len(token)):
-                self._ends.setdefault(token[i:], None)
-        self._ends.update(ranks)
+        #: A state is the longest end of a text which is the beginning of a token: its bytes, and the tokens that end there, longest first.
+        self._begins = {t[:i] for t in ranks for i in range(len(t) + 1)}
+        self._number = {b"": 0}
+        self._texts: list[bytes] = [b""]
+        self._found: list[list[tuple[int, int]]] = [[]]
+        self._next: dict[int, int] = {}
+        # The piece encoded last, the last tokens of its prefixes and their states, that of nothing first.
+        self._before, self._last, self._at = b"", [], [0]
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._shared: dict[bytes, int] = {}
+        self._steps: dict[int, tuple[list, list]] = {}
 
     def _merged(self, data: bytes) -> list[bytes]:
         return merge(data, lambda a, b: self._ranks.get(a + b))
@@ -53,43 +58,110 @@ class PrefixEncoder:
             known = self._whole[token] = self._merged(data) == [data]
         return known
 
+    def _edges(self, token: int) -> tuple[list, list]:
+        """(first part, last part) while the bytes of a token merge, each with the rank of the merge that follows; the last has none."""
+        known = self._steps.get(token)
+        if known is None:
+            data, rank = self._bytes[token], self._ranks.get
+            parts = [data[i : i + 1] for i in range(len(data))]
+            ranks = [rank(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+            first, last = [], []
+            while True:
+                best = min((r for r in ranks if r is not None), default=_NEVER)
+                first.append((parts[0], best))
+                last.append((parts[-1], best))
+                if best == _NEVER:
+                    break
+                i = ranks.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank(parts[i - 1] + parts[i])
+                if i < len(ranks):
+                    ranks[i] = rank(parts[i] + parts[i + 1])
+            known = self._steps[token] = first, last
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses from one standing token into the next.
+
+        Up to the first one that does, both merge as they do alone, the better rank first and the left one of equals.
+        """
+        on_left, on_right, rank = self._edges(left)[1], self._edges(right)[0], self._ranks.get
+        i = j = 0
+        x, before = on_left[0]
+        y, behind = on_right[0]
+        across = rank(x + y, _NEVER)
+        while True:
+            if across < before and across <= behind:
+                return False
+            if before == behind == _NEVER:
+                return True
+            if before <= behind:
+                i += 1
+                part, before = on_left[i]
+                if part is not x:
+                    x = part
+                    across = rank(x + y, _NEVER)
+            else:
+                j += 1
+                part, behind = on_right[j]
+                if part is not y:
+                    y = part
+                    across = rank(x + y, _NEVER)
+
     def _compatible(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both gives these two tokens."""
+        """Whether merging the bytes of both standing tokens gives these two tokens."""
         key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            a, b = self._bytes[left], self._bytes[right]
-            known = self._merged(a + b) == [a, b]
+            known = self._apart(left, right)
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
 
-    def _last_token(self, data: bytes, end: int, last: Sequence[int] | None) -> int:
-        """The last token of ``data[:end]``, given those of all shorter prefixes."""
-        found, start = [], end - 1
-        while start >= 0:
-            token = self._ends.get(data[start:end], -1)
-            if token == -1:
-                break
-            if token is not None:
-                found.append((start, token))
-            start -= 1
-        for start, token in reversed(found):
-            if not self._stands(token):
-                continue
-            if start == 0:
-                return token
-            before = last[start - 1] if last is not None else self._shared[data[:start]]
-            if self._compatible(before, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        data = self._texts[state] + bytes([byte])
+        while data not in self._begins:
+            data = data[1:]
+        to = self._number.get(data)
+        if to is None:
+            to = self._number[data] = len(self._texts)
+            self._texts.append(data)
+            ends = [(len(data) - i, self._ranks.get(data[i:])) for i in range(len(data))]
+            self._found.append([(size, token) for size, token in ends if token is not None and self._stands(token)])
+        self._next[state << 8 | byte] = to
+        return to
+
+    def _extend(self, data: bytes, last: list[int], at: list[int]) -> None:
+        """Adds the last tokens and states of the prefixes of ``data`` that lack."""
+        step, found, pairs = self._next.get, self._found, self._pairs.get
+        state = at[-1]
+        for end in range(len(last) + 1, len(data) + 1):
+            byte = data[end - 1]
+            to = step(state << 8 | byte)
+            state = self._step(state, byte) if to is None else to
+            for size, token in found[state]:
+                if size == end:
+                    break
+                before = last[end - size - 1]
+                fits = pairs(before << 32 | token)
+                if fits or (fits is None and self._compatible(before, token)):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            at.append(state)
 
     def prefixes(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """Last tokens of all prefixes of ``data``; ``last`` holds those already known, which stay valid."""
-        last = list(last or ())
-        for end in range(len(last) + 1, len(data) + 1):
-            last.append(self._last_token(data, end, last))
+        last, at = list(last or ()), [0]
+        for byte in data[: len(last)]:
+            to = self._next.get(at[-1] << 8 | byte)
+            at.append(self._step(at[-1], byte) if to is None else to)
+        self._extend(data, last, at)
         return last
 
     def edited(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -106,76 +178,93 @@ class PrefixEncoder:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one piece; a piece in the vocabulary is its own token, as in the library."""
+        """Token ids of one piece, which goes on where it leaves the one before.
+
+        A piece in the vocabulary is its own token, as in the library.
+        """
         whole = self._ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(piece) > _SHORT:
-            return self.tokens(piece, self.prefixes(piece))
-        shared = self._shared
-        if len(shared) >= PREFIXES:
-            shared.clear()
-        known = len(piece)
-        while known and piece[:known] not in shared:
-            known -= 1
-        for end in range(known + 1, len(piece) + 1):
-            shared[piece[:end]] = self._last_token(piece, end, None)
-        out, end = [], len(piece)
-        while end:
-            out.append(shared[piece[:end]])
-            end -= len(self._bytes[out[-1]])
-        return out[::-1]
+        before, last, at = self._before, self._last, self._at
+        shared, most = 0, min(len(before), len(piece))
+        while shared < most and before[shared] == piece[shared]:
+            shared += 1
+        del last[shared:], at[shared + 1 :]
+        self._before = piece[:shared]
+        self._extend(piece, last, at)
+        self._before = piece
+        return self.tokens(piece, last)
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
-class _Pieces(dict):
-    """(count, ids as text, bytes they decode to) per piece."""
+class _Pieces:
+    """What distinct pieces encode to, as Arrow arrays; new ones are encoded in order, so that neighbours share prefixes."""
 
     def __init__(self, encoder: PrefixEncoder):
-        super().__init__()
-        self._encoder = encoder
-
-    def __missing__(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self._encoder.encode(piece.encode("utf-8", "replace"))
-        made = len(ids), " ".join(map(str, ids)), self._encoder.decode(ids)
-        if len(piece) <= _SHORT:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = made
+        self.encoder = encoder
+        #: Ids as text, each with a blank behind it; and what they decode to, where that is not the piece.
+        self._ids: dict[bytes, bytes] = {}
+        self._other: dict[bytes, bytes] = {}
+
+    def _encode(self, names: list[bytes]) -> dict[bytes, bytes]:
+        """Ids as text of new pieces."""
+        names.sort()
+        made = {}
+        for name, ids in zip(names, map(self.encoder.encode, names), strict=True):
+            made[name] = ("%d " * len(ids) % tuple(ids)).encode()
+            data = self.encoder.decode(ids)
+            if data != name:
+                self._other[name] = data
         return made
 
+    def arrays(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(tokens, ids as text, decoded bytes) of distinct pieces."""
+        names = pieces.to_pylist()
+        made = self._encode([name for name in names if name not in self._ids])
+        self._ids.update(made)
+        made = self._ids
+        ids = [made[name] for name in names]
+        data = pa.array([self._other.get(name, name) for name in names], pieces.type) if self._other else pieces
+        if len(made) > PIECES:
+            self._ids, self._other = {}, {}
+        return np.fromiter((i.count(b" ") for i in ids), np.int64, len(ids)), pa.array(ids, pa.large_binary()), data
+
 
 _LOADED: dict[str, _Pieces] = {}
 
 
 def _loaded(shared, path: str) -> _Pieces:
-    """The encoder of this worker process; made once per vocabulary."""
+    """The encoder of this worker process; made once per vocabulary and task."""
     if path not in _LOADED:
         _LOADED[path] = _Pieces(PrefixEncoder(shared.value))
     return _LOADED[path]
 
 
-def encode_texts(texts: pa.Array, shared, path: str) -> tuple[list[int], list[str], list[str]]:
+def _taken(values: pa.Array, codes: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """(offset of each entry and the end, all bytes) of ``values`` at ``codes``."""
+    rows = values.take(codes)
+    offsets = np.frombuffer(rows.buffers()[1], np.int64, len(rows) + 1, 8 * rows.offset)
+    return offsets, memoryview(rows.buffers()[2] or b"")
+
+
+def encode_texts(texts: list[str], pieces: _Pieces) -> tuple[list[int], list[str], list[str]]:
     """(tokens, SHA-256 of the ids, SHA-256 of what they decode to) of each text."""
-    pieces = _loaded(shared, path)
-    counts, id_digests, byte_digests = [], [], []
-    for value in texts:
-        count, of_ids, of_bytes, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
-        for block in blocks(value.as_py() or ""):
-            made = [pieces[p] for p in split(block)]
-            if not made:
-                continue
-            n, ids, data = zip(*made, strict=True)
-            count += sum(n)
-            of_ids.update(gap + " ".join(ids).encode())
-            of_bytes.update(b"".join(data))
-            gap = b" "
-        counts.append(count)
-        id_digests.append(of_ids.hexdigest())
-        byte_digests.append(of_bytes.hexdigest())
-    return counts, id_digests, byte_digests
+    cut, bounds = split_all(texts)
+    coded = cut.dictionary_encode()
+    counts, ids, data = pieces.arrays(coded.dictionary)
+    codes = coded.indices
+    upto = np.append(0, np.cumsum(counts[codes.to_numpy(zero_copy_only=False)]))
+    id_at, id_bytes = _taken(ids, codes)
+    at, held = _taken(data, codes)
+    found: tuple[list, list, list] = ([], [], [])
+    for first, last in bounds:
+        found[0].append(int(upto[last] - upto[first]))
+        # Without the blank behind the last id.
+        found[1].append(hashlib.sha256(id_bytes[id_at[first] : max(id_at[first], id_at[last] - 1)]).hexdigest())
+        found[2].append(hashlib.sha256(held[at[first] : at[last]]).hexdigest())
+    return found
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,14 +276,26 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
+    def encoded(ids: list, texts: list[str]) -> pa.RecordBatch:
+        counts, id_digests, decoded = encode_texts(texts, _loaded(shared, path))
+        columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
         for batch in batches:
-            counts, ids, decoded = encode_texts(batch.column(1), shared, path)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for number, value in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(number.as_py())
+                texts.append(value.as_py() or "")
+                held += len(texts[-1]) + 1
+                if held >= CHUNK:
+                    yield encoded(ids, texts)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield encoded(ids, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(at_end(run, _LOADED.clear), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
@@ -203,7 +304,7 @@ def encoded_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col:
 
     @F.udf("array<int>", useArrow=True)
     def ids(text: str | None) -> list[int]:
-        encoder = _loaded(shared, path)._encoder
+        encoder = _loaded(shared, path).encoder
         return [i for block in blocks(text or "") for piece in split(block) for i in encoder.encode(piece.encode("utf-8", "replace"))]
 
     if ids_col in docs.columns:

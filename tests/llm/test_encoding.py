@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -106,3 +107,42 @@ def test_blocks_split_like_the_whole():
 def test_empty_tables(no_docs):
     assert token_counts.token_counts(no_docs, JSON).collect() == []
     assert prefix_bpe.encode_documents(no_docs, RANKS).collect() == []
+
+
+def test_distinct_pieces_are_encoded_once_and_forgotten(monkeypatch):
+    ranks = vocab.read_ranks(RANKS)
+    encoder = prefix_bpe.PrefixEncoder(ranks)
+    encoded, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda piece: encoded.append(piece) or encode(piece))
+    # More distinct pieces than are remembered, seen in turn.
+    monkeypatch.setattr(prefix_bpe, "PIECES", 10)
+    words = [f" xq{chr(97 + i)}zj" for i in range(26)]
+    prefix_bpe.encode_texts(["".join(words) * 4] * 3, prefix_bpe._Pieces(encoder))
+    assert len(encoded) == len(set(encoded)) == 26
+
+
+def test_texts_split_at_once_like_each_alone():
+    texts = [t for t in odd_strings(3000) if t is not None] + ["x'll", "'s", "\n'street", "a  'd", " ''re", "'r", "", "中 'm"]
+    cut, bounds = vocab.split_all(texts)
+    assert [[p.decode() for p in cut[i:j].to_pylist()] for i, j in bounds] == [vocab.split(t) for t in texts]
+
+
+def test_pairs_stand_as_merging_leaves_them():
+    encoder = prefix_bpe.PrefixEncoder(vocab.read_ranks(RANKS))
+    draw = random.Random(11)
+    for _ in range(3000):
+        a, b = draw.sample(range(5000), 2)
+        left, right = encoder._bytes[a], encoder._bytes[b]
+        assert encoder._apart(a, b) == (encoder._merged(left + right) == [left, right])
+
+
+def test_a_task_keeps_no_pieces(spark):
+    docs = as_docs(spark, ["some words here"] * 3)
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [len(prefix_bpe._LOADED)]})
+
+    prefix_bpe.encode_documents(docs, RANKS).collect()
+    assert sum(r.n for r in docs.mapInArrow(kept, "n long").collect()) == 0
