@@ -242,6 +242,10 @@ def _loaded(shared, path: str) -> _Pieces:
     return _LOADED[path]
 
 
+def _forget() -> None:
+    _LOADED.clear()
+
+
 def _taken(values: pa.Array, codes: pa.Array) -> tuple[np.ndarray, memoryview]:
     """(offset of each entry and the end, all bytes) of ``values`` at ``codes``."""
     rows = values.take(codes)
@@ -295,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield encoded(ids, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(at_end(run, _LOADED.clear), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(at_end(run, _forget), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
