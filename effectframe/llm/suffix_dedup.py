@@ -8,7 +8,7 @@ those that stand in more than one document; all other pieces can not repeat and
 where they are. The pieces left meet in the shard of their anchor, once per range, with
 the least document id: copies are folded before they are moved, and a passage which a
 third of all documents share costs one entry per range. There, pieces alone under
-their anchor have nothing to be compared with; the others form one text, whose suffix
+their anchor, or with the bytes around it, have nothing to be compared with; the others form one text, whose suffix
 array (induced sorting) and permuted common prefixes give the classes of equal windows
 and the least document of each. The answers go back to the ranges, which remove the
 windows seen in a smaller document.
@@ -17,6 +17,7 @@ windows seen in a smaller document.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ GRAM = 16
 CELL_BYTES = 6 << 20
 _STEP = 1 << 17
 _FLUSH = 8 << 20
+#: Bits for a place inside a step and a window behind it; the rest of 64 are those of a hash.
+_PLACE_BITS = 18
+#: Ranges of windows, by their place around the anchor, of which pieces must share what all windows of a range hold.
+_RANGES = 4
 #: Shards per shuffle partition; a shard is held in memory.
 SHARDS = 3
 NO_ID = (1 << 63) - 1
@@ -52,14 +57,14 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def _gram_hash(words: np.ndarray | list[np.ndarray]) -> np.ndarray:
-    """48-bit hash of grams given as eight-byte words in order; two grams with one hash count as one anchor everywhere."""
+    """46-bit hash of grams given as eight-byte words in order; two grams with one hash count as one anchor everywhere."""
     h = np.zeros(len(words[0]), np.uint64)
     for word in words:
         h ^= word
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h >> np.uint64(16)
+    return h >> np.uint64(_PLACE_BITS)
 
 
 def _anchor_hash(words: np.ndarray) -> np.ndarray:
@@ -102,12 +107,12 @@ def _cut(parts: list[tuple[int, int, bytes]], length: int):
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(buffer, np.uint8)
     local = np.arange(len(data)) - np.repeat(begins, sizes)
-    # Ties go to the position; that never moves an anchor to another hash.
-    order = (_anchor_hash(_words(data)) << np.uint64(16)) | (local & 0xFFFF).astype(np.uint64)
+    # Ties go to the position, so equal windows have their anchor at one place; that never moves an anchor to another hash.
+    order = (_anchor_hash(_words(data)) << np.uint64(_PLACE_BITS)) | local.astype(np.uint64)
     least = _sliding_min(order[: len(data) - GRAM + 1], length - GRAM + 1)
     windows = len(least)
     start = np.arange(windows)
-    anchor = start + ((least.astype(np.int64) - local[:windows]) & 0xFFFF)
+    anchor = start + (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) - local[:windows]
     owner = np.repeat(np.arange(len(parts)), sizes)[:windows]
     valid = start + length <= (begins + sizes)[owner]
     anchor[~valid] = -1
@@ -284,6 +289,26 @@ def _piece_blobs(length: int, shards: int):
     return run
 
 
+def comparable(pieces: list[bytes], offsets: list[int], length: int = LENGTH) -> np.ndarray:
+    """Whether each of the distinct ``pieces`` may have a window of another one, given where their anchors are.
+
+    Equal windows have their anchor at one place. The places are cut into ranges, and all windows of a range
+    hold the same bytes around the anchor: pieces share those too, else they share no window of the range.
+    """
+    found = np.zeros(len(pieces), bool)
+    places = length - GRAM + 1
+    cuts = [places * k // _RANGES for k in range(_RANGES + 1)]
+    for low, behind in zip(cuts, cuts[1:], strict=False):
+        if low == behind:
+            continue
+        reach = places + GRAM - behind
+        kept = [p[o - low : o + reach] if o >= low and o + reach <= len(p) else None for p, o in zip(pieces, offsets, strict=True)]
+        times = Counter(kept)
+        times[None] = 0
+        found |= np.fromiter((times[k] > 1 for k in kept), bool, len(kept))
+    return found
+
+
 def least_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(piece, least) per window, piece by piece: the least of ``docs`` among the pieces that hold an equal window."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -330,12 +355,16 @@ def _answer(length: int):
         pieces = list(number)
         least = np.full(len(pieces), NO_ID)
         np.minimum.at(least, index, doc)
-        # Pieces alone under their anchor need no comparison; all others are sorted together.
+        # Pieces alone under their anchor or with what surrounds it need no comparison; all others are sorted together.
         by_piece = np.empty(len(pieces), np.uint64)
         by_piece[index] = anchor
         _, where, under = np.unique(by_piece, return_inverse=True, return_counts=True)
-        compared = np.flatnonzero(under[where] > 1)
-        alone = np.flatnonzero(under[where] == 1)
+        place = np.empty(len(pieces), np.int64)
+        place[index] = offset
+        shared = under[where] > 1
+        met = np.flatnonzero(shared)
+        shared[met] = comparable([pieces[i] for i in met.tolist()], place[met].tolist(), length)
+        compared, alone = np.flatnonzero(shared), np.flatnonzero(~shared)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         owner, value = alone, least[alone]
         count = sizes[alone] - length + 1

@@ -301,3 +301,30 @@ def test_texts_which_share_an_id_are_kept(spark):
     rows = [(1, "a b c d e f g h i j"), (1, "j i h g f e d c b a"), (1, "A B c d e f g h i j"), (1, None), (2, "k l m n o p q"), (3, "K l m n o p q")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, ""), (1, rows[0][1]), (1, rows[1][1]), (2, rows[4][1])]
+
+
+def test_only_pieces_with_shared_surroundings_are_sorted():
+    draw = random.Random(8)
+    made = lambda n: bytes(draw.choices(b"abcdefgh", k=n))
+    gram = b"0123456789012345"
+    # One anchor in many surroundings, and one window of 50 bytes at each place around it.
+    alone = [made(34) + gram + made(34) for _ in range(300)]
+    pairs = []
+    for before in range(35):
+        window = made(before) + gram + made(34 - before)
+        for _ in range(2):
+            pairs.append(made(34 - before) + window + made(before))
+    kept = suffix_dedup.comparable([*alone, *pairs], [34] * (len(alone) + len(pairs)))
+    assert kept[len(alone) :].all() and kept.sum() < len(pairs) + 30
+    assert not suffix_dedup.comparable([made(50)], [3]).any()
+
+
+def test_anchors_of_equal_windows_have_one_place():
+    # A gram twice in every window, met on both sides of byte 65536 of a text.
+    window = b"x" * 50
+    text = bytes(random.Random(4).choices(b"abcd", k=65500)) + window * 2 + b"end"
+    places = set()
+    for buffer, _, start, _, size, offset in suffix_dedup.cut_pieces([text, window]):
+        for s, z, o in zip(start.tolist(), size.tolist(), offset.tolist(), strict=True):
+            places |= {o - k for k in range(z - 49) if buffer[s + k : s + k + 50] == window}
+    assert len(places) == 1
