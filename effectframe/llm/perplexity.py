@@ -34,6 +34,8 @@ SCALE = 1_000_000
 SHARED_BYTES = 128 << 20
 PART = 1 << 18
 BLOCK_BYTES = 16 << 20
+#: Bytes of text from which on a task counts n-grams by itself.
+TASK_BYTES = 16 << 20
 #: Rules: least words, and share of words in repeated windows at most, in percent.
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
@@ -83,15 +85,38 @@ def _predicted(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def _grams(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``ORDER`` characters from each place on, as strings, and how often each is there.
+
+    A run is one number of the places of its characters in the alphabet; above 4,096 characters of the alphabet it is hashed.
+    """
+    present = np.zeros(int(points.max()) + 1 if len(points) else 1, bool)
+    present[points] = True
+    alphabet = np.flatnonzero(present).astype(np.uint32)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * ORDER > 64:
+        _, first, counts = np.unique(_hashes(points, at, ORDER), return_index=True, return_counts=True)
+        return points[at[first][:, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel(), counts
+    place = np.cumsum(present)[points].astype(np.uint64) - np.uint64(1)
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(ORDER):
+        keys <<= np.uint64(bits)
+        keys |= place[at + k]
+    # Sorting whole numbers without their places is an order of magnitude faster than ordering places.
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+    signs = (keys[first][:, None] >> shifts) & np.uint64((1 << bits) - 1)
+    return np.ascontiguousarray(alphabet[signs.astype(np.int64)]).view(f"<U{ORDER}").ravel(), np.diff(np.append(first, len(keys)))
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """(lang, gram, a) of (lang, text): every run of ``ORDER`` characters, counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, held in chunked(grouped_texts(batches)):
             points, begins, ends = _folded(held)
-            at = _predicted(begins, ends) - (ORDER - 1)
-            _, first, f = np.unique(_hashes(points, at, ORDER), return_index=True, return_counts=True)
-            grams = points[at[first][:, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel()
+            grams, f = _grams(points, _predicted(begins, ends) - (ORDER - 1))
             yield pa.RecordBatch.from_arrays([pa.array([group] * len(f), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(f, pa.int64())], ["lang", "gram", "a"])
 
     return texts.mapInArrow(run, "lang string, gram string, a long").groupBy("lang", "gram").agg(F.sum("a").alias("a"))
@@ -184,17 +209,38 @@ class Model:
         return self.entries * 12
 
 
-def _lookup(arrays: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs, and which hashes are there."""
-    keys, costs = arrays
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    hit = keys[at] == hashes
-    return np.where(hit, costs[at], 0).astype(np.int64), hit
+def _opened(keys: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes and their costs with, for each head of a hash, where those with it begin."""
+    bits = len(keys).bit_length() + 1
+    heads = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    begins = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount(heads, minlength=1 << bits), out=begins[1:])
+    return keys, costs, begins
 
 
-def _text_costs(texts: list[bytes], arrays: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(arrays: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs, and which hashes are there. Hashes are spread evenly, so few share a head."""
+    keys, costs, begins = arrays
+    found, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    if not len(keys):
+        return found, hit
+    head = (hashes >> np.uint64(64 - (len(begins) - 1).bit_length() + 1)).astype(np.int64)
+    at, behind = begins[head], begins[head + 1]
+    open_ = np.flatnonzero(at < behind)
+    at, behind = at[open_], behind[open_]
+    while len(open_):
+        there = keys[at]
+        wanted = hashes[open_]
+        same = there == wanted
+        found[open_[same]] = costs[at[same]]
+        hit[open_[same]] = True
+        at = at + 1
+        more = np.flatnonzero((there < wanted) & (at < behind))
+        open_, at, behind = open_[more], at[more], behind[more]
+    return found, hit
+
+
+def _text_costs(texts: list[bytes], arrays: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Summed cost of each text and how many characters were predicted."""
     points, begins, ends = _folded(texts)
     at = _predicted(begins, ends)
@@ -221,6 +267,19 @@ def _needed(texts: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate([np.array([_seed(0)]), *found]))
 
 
+def _maybe_twice(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of all rows that another one equals, and of a few others: rows are told apart by hashes first, which sort fast."""
+    hashes = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        hashes ^= column.astype(np.uint64)
+        hashes *= _STEP
+        hashes ^= hashes >> np.uint64(29)
+    ordered = np.sort(hashes)
+    heads = np.zeros(1 << 20, bool)
+    heads[ordered[1:][ordered[1:] == ordered[:-1]] >> np.uint64(44)] = True
+    return np.flatnonzero(heads[hashes >> np.uint64(44)])
+
+
 def rule_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The counts of every text, as whole-array steps over all of them."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -242,6 +301,7 @@ def rule_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     distinct = np.unique(line_doc.astype(np.int64) << 32 | lines.ids[real]) >> 32
     ids = words.ids
     at = np.flatnonzero(doc[:-2] == doc[2:]) if len(doc) > 2 else np.zeros(0, np.int64)
+    at = at[_maybe_twice([ids[at], ids[at + 1], ids[at + 2], doc[at]])]
     columns = [ids[at + 2], ids[at + 1], ids[at]]
     if len(words.names) < 1 << 21:
         columns = [columns[2].astype(np.int64) << 42 | columns[1].astype(np.int64) << 21 | columns[0]]
@@ -300,18 +360,18 @@ def _rows(batch) -> Iterator[tuple]:
         yield ids[i], lang, texts[i].as_py() or b""
 
 
-_NONE = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+_NONE = _opened(np.zeros(0, np.uint64), np.zeros(0, np.int32))
 _OPEN: dict[int, dict] = {}
 
 
-def _whole(shared) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _whole(shared) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Arrays by language from the shared parts; a worker keeps those of one model."""
     if shared.id not in _OPEN:
         _OPEN.clear()
         parts: dict[str, list] = {}
         for lang, _, hashes, costs in shared.parts.value:
             parts.setdefault(lang, []).append((np.frombuffer(hashes, np.uint64), np.frombuffer(costs, np.int32)))
-        _OPEN[shared.id] = {lang: tuple(np.concatenate(c) for c in zip(*found, strict=True)) for lang, found in parts.items()}
+        _OPEN[shared.id] = {lang: _opened(*(np.concatenate(c) for c in zip(*found, strict=True))) for lang, found in parts.items()}
     return _OPEN[shared.id]
 
 
@@ -355,7 +415,7 @@ def _scored_by_join(rows: DataFrame, model: Model, block_bytes: int) -> DataFram
         order = np.argsort(costs["hash"].to_numpy().view(np.uint64))
         langs = np.array(costs["lang"].to_pylist(), object)[order]
         hashes, values = costs["hash"].to_numpy().view(np.uint64)[order], costs["cost"].to_numpy()[order]
-        whole = {lang: (hashes[langs == lang], values[langs == lang]) for lang in set(langs)}
+        whole = {lang: _opened(hashes[langs == lang], values[langs == lang]) for lang in set(langs)}
         found = list(_measured((r for b in texts.to_batches() for r in _rows(b)), lambda lang: whole.get(lang, _NONE)))
         schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split() for c in _MEASURED.split(", "))])
         return pa.Table.from_batches(found, schema)
@@ -363,6 +423,12 @@ def _scored_by_join(rows: DataFrame, model: Model, block_bytes: int) -> DataFram
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, _MEASURED)
 
 
+def _gathered(texts: DataFrame) -> DataFrame:
+    """``texts`` in fewer partitions where these are small, as each sends the n-grams it has once. No shuffle; runs a job."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+
+
 def _typed(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     return docs.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -371,7 +437,7 @@ def _typed(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFr
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of all texts, one per language (null: und). Counts have no cap and grow with the texts. Runs jobs."""
     texts = _typed(docs.withColumn("__none", F.lit(None).cast("long")), "__none", lang_col, text_col).select("lang", "text")
-    return Model(model_costs(cut_lineage(gram_counts(texts))))
+    return Model(model_costs(cut_lineage(gram_counts(_gathered(texts)))))
 
 
 def scores(

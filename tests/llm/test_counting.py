@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,35 @@ def test_packed_counts(spark, monkeypatch):
         table = H.often(spark.createDataFrame(rows, H.PACKED), 12)
         marks = H.marked(table, hashes >> np.uint64(H.HASH_BITS - H.TABLE_BITS))
         assert marks[times >= 12].all() and marks.sum() <= (times >= 12).sum() + 10
+
+
+def test_grams_of_small_and_large_alphabets():
+    draw = random.Random(6)
+    for signs in (["a"], ["a", "b", " ", "é", "中"], [chr(c) for c in range(0x4E00, 0x4E00 + 5000)]):
+        texts = ["".join(draw.choices(signs, k=draw.randint(0, 300))) for _ in range(60)]
+        points, begins, ends = perplexity._folded([t.encode() for t in texts])
+        grams, counts = perplexity._grams(points, perplexity._predicted(begins, ends) - 4)
+        want = Counter()
+        for text in texts:
+            words = " ".join(text.split())
+            padded = f"\n\n\n\n{words}\n" if words else ""
+            want.update(padded[i : i + 5] for i in range(len(padded) - 4))
+        assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_lookup_finds_what_is_there():
+    draw = np.random.default_rng(2)
+    keys = np.unique(np.append(draw.integers(0, 1 << 64, 5000, np.uint64), [np.uint64(0), np.uint64((1 << 64) - 1)]))
+    # Neighbours of keys share their head.
+    keys = np.unique(np.append(keys, keys[:50] + np.uint64(1)))
+    costs = np.arange(len(keys), dtype=np.int32)
+    for n in (0, 1, 2, len(keys)):
+        asked = np.append(keys, keys + np.uint64(2))
+        found, hit = perplexity._lookup(perplexity._opened(keys[:n], costs[:n]), asked)
+        assert hit.tolist() == np.isin(asked, keys[:n]).tolist()
+        assert (keys[found[hit]] == asked[hit]).all()
+
+
+def test_small_partitions_count_together(spark):
+    texts = spark.createDataFrame([("en", f"some words {i}") for i in range(100)], "lang string, text string").repartition(97)
+    assert perplexity._gathered(texts).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
