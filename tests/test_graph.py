@@ -241,3 +241,23 @@ def test_small_groups_are_ranked_in_one_piece(spark):
         groups.setdefault(g, []).append((hashlib.md5(str(x).encode()).hexdigest(), x))
     want = {(g, x): n for g, items in groups.items() for n, (_, x) in enumerate(sorted(items), 1)}
     assert got == want
+
+
+def test_graphs_of_all_settings_are_those_of_each(spark):
+    line = lambda s, q, t, e, a="F", x="taxon:9606": "\t".join(["DB", "ID", s, q, t, "R", e, "", a, "n", "s", "p", x])
+    root = genes.graph.C.ROOT_TERMS[0]
+    rows = [
+        line("A", "", "GO:1", "IEA"), line("A", "", "GO:1", "IDA"), line("B", "", "GO:2", "IEA"), line("B", "NOT|x", "GO:3", "IDA"),
+        line("C", "", root, "IDA"), line(" D", "", "GO:1", "EXP", "C"), line("E", "", "GO:1", " IDA "), line("E", "", "GO:1", "IDA", x="taxon:1"), "! x",
+    ]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    terms = spark.createDataFrame([("GO:1", "GO:2"), ("GO:2", "GO:1"), ("GO:2", root), ("GO:4", "GO:4")], "child string, parent string")
+    settings = {
+        "all": {}, "curated": {"curated_only": True}, "genes": {"no_term_edges": True}, "roots": {"drop_roots": False},
+        "pruned": {"prune_term_degree": 3}, "few": {"prune_term_degree": 2, "drop_roots": False},
+    }
+    found = genes.graphs_from_lines(lines, terms, settings).collect()
+    for name, options in settings.items():
+        want = {tuple(r) for r in genes.graph_from_lines(lines, terms, **options).select("src", "dst").collect()}
+        got = [(r.src, r.dst) for r in found if name in r.settings]
+        assert set(got) == want and len(got) == len(want), name
