@@ -36,6 +36,8 @@ PART = 1 << 18
 BLOCK_BYTES = 16 << 20
 #: Bytes of text from which on a task counts n-grams by itself.
 TASK_BYTES = 16 << 20
+#: Rows of the model's tables in a partition.
+TABLE_ROWS = 1 << 18
 #: Rules: least words, and share of words in repeated windows at most, in percent.
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
@@ -145,33 +147,36 @@ def model_costs(counted: DataFrame) -> DataFrame:
     """(lang, length, back, gram, cost): costs of all n-grams up to ``ORDER`` and of backing off from their beginnings.
 
     The n-gram of length 0 stands for an unseen character. ``counted`` is (lang, gram, a), read
-    several times. Every stage takes all orders at once, but for the sum over orders. Runs jobs.
+    several times. Every stage takes all orders at once, but for the sum over orders. Tables lie in partitions
+    by their size, not by that of shuffles: a partition is a file here and some in each shuffle that reads it. Runs jobs.
     """
+    most = max(counted.sparkSession.sparkContext.defaultParallelism, -(-counted.count() // TABLE_ROWS))
+    stored = lambda rows: cut_lineage(rows.coalesce(most))
     orders = counted
     grams = counted.withColumn("length", F.lit(ORDER))
     for n in range(ORDER - 1, 0, -1):
-        orders = orders.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("a"))
+        orders = orders.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("a")).coalesce(most)
         grams = grams.unionByName(orders.withColumn("length", F.lit(n)))
-    grams = cut_lineage(grams.withColumn("head", F.expr("substring(gram, 1, length - 1)")))
+    grams = stored(grams.withColumn("head", F.expr("substring(gram, 1, length - 1)")))
     times = [F.sum(c.cast("long")).alias(f"c{k}") for k, c in enumerate((F.col("a") == 1, F.col("a") == 2, F.col("a") >= 3), 1)]
     heads = grams.groupBy("lang", "length", "head").agg(F.sum("a").alias("total"), *times)
     # A language has one row per order here; its heads may be most of all heads.
     counts = grams.groupBy("lang", "length").agg(F.count("*").alias("n"))
     heads = salted_join(heads, _discounts(grams), ["lang", "length"], counts)
     gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-    heads = cut_lineage(heads.withColumn("gamma", F.when(F.col("length") == 1, gamma / (F.col("types") + 1)).otherwise(gamma)))
+    heads = stored(heads.withColumn("gamma", F.when(F.col("length") == 1, gamma / (F.col("types") + 1)).otherwise(gamma)))
     off = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
     seen = grams.join(heads, ["lang", "length", "head"]).select("lang", "length", "gram", ((F.col("a") - off) / F.col("total")).alias("seen"), "gamma")
-    seen = cut_lineage(seen.withColumn("tail", F.expr("substring(gram, 2, length - 1)")))
+    seen = stored(seen.withColumn("tail", F.expr("substring(gram, 2, length - 1)")))
     levels = [seen.filter(F.col("length") == 1).select("lang", "length", "gram", (F.col("seen") + F.col("gamma")).alias("p"))]
     for n in range(2, ORDER + 1):
         tail = levels[-1].select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
         joined = seen.filter(F.col("length") == n).join(tail, ["lang", "tail"])
-        levels.append(cut_lineage(joined.select("lang", "length", "gram", (F.col("seen") + F.col("gamma") * F.col("below")).alias("p"))))
+        levels.append(stored(joined.select("lang", "length", "gram", (F.col("seen") + F.col("gamma") * F.col("below")).alias("p"))))
     backing = heads.select("lang", (F.col("length") - 1).alias("length"), (F.col("length") > 1).alias("back"), F.col("head").alias("gram"), _cost(F.col("gamma")).alias("cost"))
     for level in levels:
         backing = backing.unionByName(level.select("lang", "length", F.lit(False).alias("back"), "gram", _cost(F.col("p")).alias("cost")))
-    return backing
+    return backing.coalesce(most)
 
 
 _ARRAYS = "lang string, part long, hashes binary, costs binary"
@@ -423,10 +428,15 @@ def _scored_by_join(rows: DataFrame, model: Model, block_bytes: int) -> DataFram
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, _MEASURED)
 
 
-def _gathered(texts: DataFrame) -> DataFrame:
-    """``texts`` in fewer partitions where these are small, as each sends the n-grams it has once. No shuffle; runs a job."""
+def _tasks(texts: DataFrame) -> int:
+    """Tasks that count the n-grams of the texts; runs a job."""
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
+def _gathered(texts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``texts`` in fewer partitions where these are small, as each sends the n-grams it has once. No shuffle; runs a job without ``tasks``."""
+    return texts.coalesce(tasks or _tasks(texts))
 
 
 def _typed(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFrame:
@@ -437,7 +447,8 @@ def _typed(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFr
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of all texts, one per language (null: und). Counts have no cap and grow with the texts. Runs jobs."""
     texts = _typed(docs.withColumn("__none", F.lit(None).cast("long")), "__none", lang_col, text_col).select("lang", "text")
-    return Model(model_costs(cut_lineage(gram_counts(_gathered(texts)))))
+    tasks = _tasks(texts)
+    return Model(model_costs(cut_lineage(gram_counts(_gathered(texts, tasks)).coalesce(tasks))))
 
 
 def scores(

@@ -329,3 +329,18 @@ def test_lookup_finds_what_is_there():
 def test_small_partitions_count_together(spark):
     texts = spark.createDataFrame([("en", f"some words {i}") for i in range(100)], "lang string, text string").repartition(97)
     assert perplexity._gathered(texts).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_model_tables_have_partitions_by_their_size(spark, odd_docs):
+    want = sorted(perplexity.fit(odd_docs).rows.collect())
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        rows = perplexity.fit(odd_docs).rows
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(rows.collect()) == want
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
