@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectframe.llm.give_back import at_end
+from effectframe.llm.give_back import at_end, release
 from effectframe.llm.vocab import blocks, merge, read_ranks, split, split_all
 
-#: Entries a task remembers at most: pieces (and those of one chunk) and pairs of tokens; some 60 and 70 MB. Nothing is kept when it ends.
-PIECES = 400_000
-PAIRS = 600_000
+#: Entries a task remembers at most: pieces (and those of one chunk) and pairs of tokens. Nothing is kept when it ends.
+PIECES = 60_000
+PAIRS = 200_000
 _NEVER = 1 << 62
-#: Characters of texts encoded at a time; a longer text is encoded alone.
-CHUNK = 4 << 20
+#: Characters of texts encoded at a time; a longer text is encoded alone. Arrays of a chunk take some 20 times its bytes.
+CHUNK = 1 << 20
 
 
 class PrefixEncoder:
@@ -271,6 +271,28 @@ def encode_texts(texts: list[str], pieces: _Pieces) -> tuple[list[int], list[str
     return found
 
 
+def _encoded(ids: list, texts: list[str], pieces: _Pieces) -> pa.RecordBatch:
+    counts, id_digests, decoded = encode_texts(texts, pieces)
+    columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(decoded, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], pieces: _Pieces) -> Iterator[pa.RecordBatch]:
+    """Rows of ``encode_documents`` from batches of (id, text), a chunk at a time; what a chunk took is given back before the next."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for number, value in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(number.as_py())
+            texts.append(value.as_py() or "")
+            held += len(texts[-1]) + 1
+            if held >= CHUNK:
+                yield _encoded(ids, texts, pieces)
+                ids, texts, held = [], [], 0
+                release()
+    if ids:
+        yield _encoded(ids, texts, pieces)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row: encoded whole, and decoded again.
 
@@ -280,23 +302,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    def encoded(ids: list, texts: list[str]) -> pa.RecordBatch:
-        counts, id_digests, decoded = encode_texts(texts, _loaded(shared, path))
-        columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(decoded, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
-        for batch in batches:
-            for number, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(number.as_py())
-                texts.append(value.as_py() or "")
-                held += len(texts[-1]) + 1
-                if held >= CHUNK:
-                    yield encoded(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield encoded(ids, texts)
+        yield from encode_batches(batches, _loaded(shared, path))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(at_end(run, _forget), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -146,3 +146,20 @@ def test_a_task_keeps_no_pieces(spark):
 
     prefix_bpe.encode_documents(docs, RANKS).collect()
     assert sum(r.n for r in docs.mapInArrow(kept, "n long").collect()) == 0
+
+
+def test_encoding_takes_memory_of_a_chunk():
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["some", "words", "are", "short", "x"], k=1000)) for _ in range(800)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    pieces = prefix_bpe._Pieces(prefix_bpe.PrefixEncoder(vocab.read_ranks(RANKS)))
+    before = pa.default_memory_pool()
+    counted = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(counted)
+    try:
+        rows = [row for found in prefix_bpe.encode_batches(iter([batch]), pieces) for row in found.to_pylist()]
+    finally:
+        pa.set_memory_pool(before)
+    assert counted.max_memory() < 24 << 20
+    assert [r["id"] for r in rows] == list(range(len(texts)))
+    assert [r["n_tokens"] for r in rows] == prefix_bpe.encode_texts(texts, pieces)[0]
