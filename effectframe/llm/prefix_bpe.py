@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from effectframe.llm.give_back import at_end, release
 from effectframe.llm.vocab import blocks, merge, read_ranks, split, split_all
 
-#: Entries a task remembers at most: pieces (and those of one chunk) and pairs of tokens. Nothing is kept when it ends.
-PIECES = 60_000
+#: Entries a task remembers at most: pieces (and those of one chunk), twice, and pairs of tokens. Nothing is kept when it ends.
+PIECES = 100_000
 PAIRS = 200_000
 _NEVER = 1 << 62
 #: Characters of texts encoded at a time; a longer text is encoded alone. Arrays of a chunk take some 20 times its bytes.
@@ -200,12 +200,17 @@ class PrefixEncoder:
 
 
 class _Pieces:
-    """What distinct pieces encode to, as Arrow arrays; new ones are encoded in order, so that neighbours share prefixes."""
+    """What distinct pieces encode to, as Arrow arrays; new ones are encoded in order, so that neighbours share prefixes.
+
+    Once ``PIECES`` are known they become the older ones; those of them which occur again are taken over, the rest are
+    forgotten when the next ``PIECES`` are known.
+    """
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
         #: Ids as text, each with a blank behind it; and what they decode to, where that is not the piece.
         self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         self._other: dict[bytes, bytes] = {}
 
     def _encode(self, names: list[bytes]) -> dict[bytes, bytes]:
@@ -222,13 +227,20 @@ class _Pieces:
     def arrays(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """(tokens, ids as text, decoded bytes) of distinct pieces."""
         names = pieces.to_pylist()
-        made = self._encode([name for name in names if name not in self._ids])
-        self._ids.update(made)
-        made = self._ids
+        made, older = self._ids, self._older
+        new = []
+        for name in names:
+            if name not in made:
+                if name in older:
+                    made[name] = older[name]
+                else:
+                    new.append(name)
+        made.update(self._encode(new))
         ids = [made[name] for name in names]
         data = pa.array([self._other.get(name, name) for name in names], pieces.type) if self._other else pieces
         if len(made) > PIECES:
-            self._ids, self._other = {}, {}
+            self._ids, self._older = {}, made
+            self._other = {name: other for name, other in self._other.items() if name in made}
         return np.fromiter((i.count(b" ") for i in ids), np.int64, len(ids)), pa.array(ids, pa.large_binary()), data
 
 

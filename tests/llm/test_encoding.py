@@ -121,6 +121,21 @@ def test_distinct_pieces_are_encoded_once_and_forgotten(monkeypatch):
     assert sorted(set(encoded) - {b"\n"}) == [w.encode() for w in words] and len(encoded) == len(set(encoded))
 
 
+def test_pieces_that_occur_again_outlive_those_that_do_not(monkeypatch):
+    encoder = prefix_bpe.PrefixEncoder(vocab.read_ranks(RANKS))
+    encoded, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda piece: encoded.append(piece) or encode(piece))
+    monkeypatch.setattr(prefix_bpe, "PIECES", 10)
+    pieces = prefix_bpe._Pieces(encoder)
+    often = "".join(f" xq{chr(97 + i)}zj" for i in range(8))
+    texts = [often + "".join(f" wq{chr(97 + k)}{chr(97 + i)}vj" for i in range(8)) for k in range(20)]
+    found = [prefix_bpe.encode_texts([text], pieces) for text in texts]
+    assert len(encoded) == len(set(encoded))
+    # The older ones are bounded as well.
+    assert len(pieces._ids) + len(pieces._older) <= 4 * 10 + 2
+    assert found == [prefix_bpe.encode_texts([text], prefix_bpe._Pieces(encoder)) for text in texts]
+
+
 def test_texts_split_at_once_like_each_alone():
     texts = [t for t in odd_strings(3000) if t is not None] + ["x'll", "'s", "\n'street", "a  'd", " ''re", "'r", "", "中 'm"]
     cut, bounds = vocab.split_all(texts)
