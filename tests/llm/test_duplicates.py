@@ -34,6 +34,27 @@ def test_components_of_paths_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize(("size", "most"), [(1000, 2), (30, 7)])
+def test_rounds_of_components_lie_in_partitions_by_their_edges(spark, monkeypatch, size, most):
+    held, cut = [], components.cut_lineage
+    monkeypatch.setattr(components, "EDGES", size)
+    monkeypatch.setattr(components, "cut_lineage", lambda df: held.append(cut(df)) or held[-1])
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 301)]
+        found = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+        got = {r.node: r.component for r in found.collect()}
+        assert got == {i: 0 if i < 200 else 200 for i in [*range(101), *range(200, 301)]}
+        assert len(held) > 2 and all(df.rdd.getNumPartitions() <= most for df in held[1:])
+        assert found.rdd.getNumPartitions() <= 2 * most
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def brute_fingerprint(text):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in " \t\n\x0b\f\r" else c for c in lower).split(" ") if w]
