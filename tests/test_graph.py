@@ -261,3 +261,55 @@ def test_graphs_of_all_settings_are_those_of_each(spark):
         want = {tuple(r) for r in genes.graph_from_lines(lines, terms, **options).select("src", "dst").collect()}
         got = [(r.src, r.dst) for r in found if name in r.settings]
         assert set(got) == want and len(got) == len(want), name
+
+
+def _neighbours(edges):
+    found = defaultdict(list)
+    for a, b in edges:
+        for node, other in ((a, b), (b, a)):
+            found[node].append((hashlib.md5(f"{node}|{other}".encode()).hexdigest(), other))
+    return {node: [other for _, other in sorted(ways)] for node, ways in found.items()}
+
+
+def test_walks_step_by_digest_whatever_rows_hubs_have(spark, monkeypatch):
+    """An edge end went through four shuffles, once with its digest; now it is a name in a row of its node."""
+    edges = [("hub", f"n{i}") for i in range(40)] + [("n1", "n2"), ("n3", "n3"), ("n4", "n5"), ("n4", "n5")]
+    ways = _neighbours(edges)
+    given = spark.createDataFrame([*edges, (None, "x"), ("y", None)], "src string, dst string")
+    want = {}
+    for walk, node in ((f"{n}#{i}", n) for n in ways for i in range(2)):
+        path = [node]
+        for step in range(1, 11):
+            draw = int(hashlib.md5(f"3:{walk}:{step}".encode()).hexdigest()[:12], 16)
+            path.append(ways[path[-1]][draw % len(ways[path[-1]])])
+        want[walk] = path
+    for chunk, most, ends in ((64, 1 << 16, 1_000_000), (2, 4, 10), (1, 1, 1_000_000)):
+        monkeypatch.setattr(walks, "CHUNK", chunk)
+        monkeypatch.setattr(graph, "ROW_NEIGHBOURS", most)
+        monkeypatch.setattr(graph, "PARTITION_ENDS", ends)
+        table, hubs = graph.packed_adjacency(given, chunk)
+        assert table.filter("node = 'hub'").count() > 1 if most < 40 else hubs.isEmpty()
+        assert {r["walk"]: r["nodes"] for r in walks.random_walks(given, 11, 2, seed=3).collect()} == want
+
+
+def test_a_step_of_walks_shuffles_the_walkers_only(spark, hub):
+    """The stored adjacency was shuffled and sorted again, as an adaptive plan forgets how it was placed."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = walks.random_walks(hub, 4, 1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Sort [") == 3
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert len({r["walk"] for r in found.collect()}) == found.count() == 121
+
+
+def test_context_counts_by_brute_force(spark):
+    found = [("w1", ["a", "b", "c", "a", "a"]), ("w2", ["b", "b", "d", None]), ("w3", ["e"]), ("w4", [None, "a", None])]
+    frame = spark.createDataFrame(found, "walk string, nodes array<string>")
+    want = Counter((x, y) for _, w in found for i, x in enumerate(w) for j, y in enumerate(w) if i != j and abs(i - j) <= 2)
+    rows = walks.context_counts(frame, 2).collect()
+    assert {(r["a"], r["b"]): r["n"] for r in rows} == want and len(rows) == len(want)
+    once = walks.pair_counts(frame, 2).collect()
+    assert len(once) == len({frozenset(p) for p in want})
