@@ -313,3 +313,24 @@ def test_context_counts_by_brute_force(spark):
     assert {(r["a"], r["b"]): r["n"] for r in rows} == want and len(rows) == len(want)
     once = walks.pair_counts(frame, 2).collect()
     assert len(once) == len({frozenset(p) for p in want})
+
+
+def test_ranks_know_the_size_of_their_group(spark):
+    """Hold-out sent all ranked rows through a second shuffle to meet the sizes of their groups."""
+    rows = [("large", i) for i in range(300)] + [(f"g{i % 40}", i) for i in range(120)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "g string, x long")
+    size = Counter(g for g, _ in rows)
+    for more in ({}, {"hex_digits": 1}):
+        got = ranks.hash_rank(df.filter("g is not null"), F.col("x").cast("string"), ["x"], "r", ["g"], size_col="n", **more).collect()
+        assert {(r["g"], r["n"]) for r in got} == {(g, n) for g, n in size.items() if g}
+        assert Counter((r["g"], r["r"]) for r in got) == Counter((g, i) for g, n in size.items() if g for i in range(1, n + 1))
+
+
+def test_held_out_edges_are_marked_once(spark):
+    """Training and held-out edges were each worked out from the whole graph, digests going through the shuffles."""
+    edges = graph.build_graph(None, edge_frame(spark, [(f"g{i}", f"t{j}") for i in range(4) for j in range(12)]))
+    for side in graph.hold_out_edges(edges):
+        assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString()
+    plan = graph.mark_held_out(edges)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(__gene") :]
+    assert "unhex(md5" in plan and "unhex(md5" not in below
