@@ -13,6 +13,7 @@ from effectframe.queries.base import placed, query, table
 from effectframe.session import cut_lineage, ensure_checkpoint_dir
 
 _CODES = 8
+_SORTED = 250_000
 
 
 def _windows(spark, folder):
@@ -73,11 +74,15 @@ def window_rejects(spark, folder):
 def window_rows(spark, folder):
     """No locus is lost or doubled between windows and rejects."""
     found, bins = _windows(spark, folder)
+    # Windows are cut once for what is kept and what is rejected.
+    found = cut_lineage(found.select("VariationID", "ChromosomeAccession", "reject_reason"))
     given = S.loci(spark, folder)
     out = windows.kept_windows(found).select("VariationID").unionByName(
         windows.rejected_variants(found, bins).select("VariationID")
     )
-    met = given.join(out, "VariationID")
+    # Partitions by the number of loci: as many as a task sorts without spilling.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // _SORTED))
+    met = given.select("VariationID").repartition(partitions, "VariationID").join(out.repartition(partitions, "VariationID"), "VariationID")
     lacking = given.filter("PositionVCF is null or ReferenceAlleleVCF is null or AlternateAlleleVCF is null")
     kinds = {"loci": given, "kept or rejected": met, "without position or allele": lacking}
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in kinds.items()]

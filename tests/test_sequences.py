@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from effectframe.functions.text import sanitize_dna
 from effectframe.operators import sequences, windows
+from effectframe.queries import standins
+from effectframe.queries.sequences import window_rows
 from effectframe.sources import fasta
 
 ONE = "ACGTACGTACGGGTTTNNRACCA"
@@ -199,3 +202,37 @@ def test_texts_are_encoded_where_they_stand(spark):
             tokens = [text[j : j + k] for j in range(len(text) - k + 1)] or [text]
             slots = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in tokens]
             assert vec == pytest.approx([slots.count(d) / len(slots) for d in range(dim)], rel=1e-6)
+
+
+def test_a_rejected_variant_meets_its_contig_once(spark):
+    """A contig whose beginning stood in the bins twice doubled its rejected variants."""
+    bins = windows.bins_from_pieces(spark.createDataFrame([("k", 0, "ACGT" * 30)], "contig string, start long, bases string"), 32, 16)
+    rows = [("a", "k", 5, "G", "C"), ("b", "z", 5, "A", "C"), ("c", "k", 1, "A", "C"), ("d", None, 1, "A", "C")]
+    cut = windows.variant_windows(spark.createDataFrame(rows, SCHEMA).withColumn("contig", F.lit("own")), bins, 3, bin_size=32, halo=16)
+    cut = cut.unionByName(windows.variant_windows(spark.createDataFrame(rows, SCHEMA), bins, 3, bin_size=32, halo=16).withColumn("contig", F.lit("own")))
+    found = windows.rejected_variants(cut, bins.unionByName(bins)).select("VariationID", "reject_reason").collect()
+    assert sorted(map(tuple, found)) == sorted([("a", windows.MISMATCH), ("b", "contig missing"), ("d", "contig missing")] * 2)
+    assert windows.kept_windows(cut).count() == 2
+
+
+def test_window_rows_cuts_windows_once(spark, tmp_path):
+    """Every use of the windows read, placed and joined all loci again, and once more to find their contigs."""
+    lines = [(o, n, p, 7, float(q), "ANR"[n % 3]) for o in range(90) for n in range(1, 4) for p, q in ((o % 5, n), (900, 2))]
+    lines += lines[:6] + [(91, None, None, None, None, None)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = [(i, "ACGT" * 40, 160) for i in range(4)] + [(4, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = window_rows(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        loci_plan = standins.loci(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        got = {r["kind"]: r["n"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Loci, loci that are met, loci that lack something.
+    assert plan.count("FileScan parquet [l_") == 3 and "BroadcastHashJoin" in loci_plan
+    times = Counter((o, n, p, q) for o, n, p, _, q, _ in lines)
+    lacking = sum(o % 97 == 0 or o % 89 == 1 or o % 83 == 2 or n is None for o, n, _, _, _, _ in lines)
+    assert got == {"loci": len(lines), "kept or rejected": sum(n * n for n in times.values()), "without position or allele": lacking}
