@@ -56,3 +56,16 @@ def test_merge_back_replaces_columns(spark):
     update = spark.createDataFrame([(1, "n2"), (1, "n1")], "id int, a string")
     got = {tuple(r) for r in joins.merge_back(base, update, "id").select("id", "a", "b").collect()}
     assert got == {(1, "n1", "x"), (2, None, "y")}
+
+
+def test_members_are_marked_before_a_join(spark, monkeypatch):
+    """Rows that meet nothing went through the shuffles of every join all the same."""
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 600, 2)] + [("k0",), (None,), ("",)], "k string")
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(600)] + [("k0", -1), (None, -2), ("", -3)], "k string, x long")
+    members = {*range(0, 600, 2), -1, -3}
+    flags = {r["x"]: r["m"] for r in joins.mark_members(rows, keys, "k", "m").collect()}
+    assert len(flags) == 603 and {x for x, m in flags.items() if m} == members and flags[-2] is False
+    monkeypatch.setattr(joins, "MEMBER_BITS", 1024)
+    kept = {r["x"] for r in joins.possible_members(rows, keys, "k").collect()}
+    assert members <= kept and len(kept) < 500 and -2 not in kept
+    assert joins.possible_members(rows, keys.limit(0), "k").isEmpty()

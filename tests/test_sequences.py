@@ -236,3 +236,26 @@ def test_window_rows_cuts_windows_once(spark, tmp_path):
     times = Counter((o, n, p, q) for o, n, p, _, q, _ in lines)
     lacking = sum(o % 97 == 0 or o % 89 == 1 or o % 83 == 2 or n is None for o, n, _, _, _, _ in lines)
     assert got == {"loci": len(lines), "kept or rejected": sum(n * n for n in times.values()), "without position or allele": lacking}
+
+
+def test_few_texts_are_met_without_a_shuffle_of_rows(spark):
+    """All rows were shuffled by digest, twice, to meet the vectors of a handful of texts."""
+    rows = spark.createDataFrame([(i, "ACGT" * (i % 3 + 1), None if i % 5 == 0 else "ACGA") for i in range(40)], "id long, ref string, alt string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        every, few = (sequences.effect_vectors(rows, "ref", "alt", sequences.kmer_encoder(2, 8), few=n) for n in (7, 8))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (every, few)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plans[0] and "SortMergeJoin" not in plans[1]
+    assert sorted(map(str, every.collect())) == sorted(map(str, few.collect())) and few.count() == 40
+
+
+def test_requests_on_unknown_contigs_are_not_shuffled(spark):
+    bins = windows.bins_from_pieces(spark.createDataFrame([("k", 0, "ACGT" * 30)], "contig string, start long, bases string"), 32, 16).cache()
+    rows = [("k", 3, 8), ("k", 20, 90), ("z", 3, 8), ("z", 3, 8), ("z", 0, 500), (None, 3, 8), ("k", None, 8), ("k", 500, 510)]
+    found = windows.fetch_slices(spark.createDataFrame(rows, "contig string, start long, stop long"), bins, 32, 16)
+    text = "ACGT" * 30
+    want = [(*r, text[r[1] : r[2]] if r[0] == "k" and r[1] is not None and r[1] < 128 else None) for r in rows]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert "bitmap_construct_agg" in found._jdf.queryExecution().optimizedPlan().toString()
